@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; a temporary one only where none is named (tests)."""
+    """The session's shared checkpoint folder; a temporary one is set only where none is named (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
         named = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
+        named = spark.sparkContext.getCheckpointDir()
     return named
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back from the shared folder, so that lost executors cost
-    no recomputation of what led to it."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written once as a table in the shared folder and read back, so that lost executors
+    cost no recomputation of what led to it, and later reads see only the columns they need."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
