@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docproof.llm import chat, mixing
+from docproof.llm import chat, mixing, quality, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +59,7 @@ OP4_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), per AS (
-  SELECT source, source_size, [5.0, 2.0, 1.0]::DOUBLE[][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT] AS weight,
+  SELECT source, source_size, ([5.0, 2.0, 1.0]::DOUBLE[])[((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT] AS weight,
          row_number() OVER (ORDER BY source ASC NULLS LAST) AS pos, source_size * 2.0::DOUBLE AS cap
   FROM (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source)
 ), levelled AS (
@@ -77,9 +77,23 @@ SELECT doc_id, size, source_size, target, size * copies AS taken, copies
 FROM (SELECT *, (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END)::INT AS copies FROM rated)
 """
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored for toxicity; rows with crc32(doc_id) mod 4 = 2 teach nothing."""
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored for quality; rows with crc32(doc_id) mod 5 = 0 teach nothing."""
+    docs = _read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op3_chat_formatting": op3_chat_formatting,
     "op4_source_mixing": op4_source_mixing,
+    "op8_toxicity": op8_toxicity,
+    "op9_quality": op9_quality,
 }
 ORACLES = {
     "op3_chat_formatting": OP3_SQL,
