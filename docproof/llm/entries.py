@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docproof.llm import chat, mixing, quality, toxicity
+from docproof.llm import chat, mixing, quality, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,12 @@ SELECT doc_id, size, source_size, target, size * copies AS taken, copies
 FROM (SELECT *, (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END)::INT AS copies FROM rated)
 """
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with fingerprint and near-duplicate component."""
+    found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored for toxicity; rows with crc32(doc_id) mod 4 = 2 teach nothing."""
     docs = _read(spark, sf_dir, "documents")
@@ -92,6 +98,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_chat_formatting": op3_chat_formatting,
     "op4_source_mixing": op4_source_mixing,
+    "op6_simhash": op6_simhash,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
 }
