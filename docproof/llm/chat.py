@@ -75,14 +75,11 @@ def paths(messages: DataFrame, per_tree: int = 1, max_rounds: int = 40) -> DataF
     jumps = []  # the k-th leads 2**k messages towards the root
     for _ in range(max_rounds):
         jumps.append(step.filter("up is not null").select("tree_id", "message_id", "up"))
-        a, b = step.alias("a"), step.alias("b")
-        step = settled(
-            a.join(b, _same("a", "b", "up", "message_id"), "left").select(
-                "a.tree_id", "a.message_id", F.col("b.up").alias("up"),
-                (F.col("a.score") + F.coalesce("b.score", F.lit(0.0))).alias("score"),
-                (F.col("a.hops") + F.coalesce("b.hops", F.lit(0))).alias("hops"),
-            )
+        a, b = step.filter("up is not null").alias("a"), step.alias("b")  # what has reached its root rests
+        moved = a.join(b, _same("a", "b", "up", "message_id")).select(
+            "a.tree_id", "a.message_id", "b.up", (F.col("a.score") + F.col("b.score")).alias("score"), (F.col("a.hops") + F.col("b.hops")).alias("hops")
         )
+        step = settled(step.filter("up is null").unionByName(moved))
         if step.filter("up is not null").isEmpty():
             break
     whole = step.filter("up is null")
