@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docproof.llm import chat, mixing, quality, simhash, toxicity
+from docproof.llm import chat, embeddings, mixing, quality, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings with their links of cosine 0.98 or more within their label, and components."""
+    return embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored for toxicity; rows with crc32(doc_id) mod 4 = 2 teach nothing."""
     docs = _read(spark, sf_dir, "documents")
@@ -99,6 +104,7 @@ QUERIES = {
     "op3_chat_formatting": op3_chat_formatting,
     "op4_source_mixing": op4_source_mixing,
     "op6_simhash": op6_simhash,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
 }
