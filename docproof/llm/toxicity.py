@@ -43,25 +43,32 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(hashes), np.concatenate(rows)
 
 
-def _term_lists(batches):
+def _distinct(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each term once in a row."""
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[first], row[first]
+
+
+def _counts(batches):
+    """Per batch, how many documents, and how many of label 1, hold each term: summed before any shuffle."""
     for batch in batches:
-        for lo, hi, data, offsets in text_blocks(batch, "text"):
-            h, row = terms(data, offsets)
-            order = np.lexsort((h, row))
-            h, row = h[order], row[order]
-            first = np.ones(len(h), bool)
-            first[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-            yield pa.record_batch({
-                "key": batch.column("key").slice(lo, hi - lo), "label": batch.column("label").slice(lo, hi - lo), "part": batch.column("part").slice(lo, hi - lo),
-                "terms": labelled.lists(h[first].view(np.int64), np.bincount(row[first], minlength=hi - lo), pa.int64()),
-            })
+        label = batch.column("label").to_numpy()
+        seen = [(h, label[lo + row]) for lo, _, data, offsets in text_blocks(batch, "text") for h, row in [_distinct(*terms(data, offsets))]]
+        if not seen:
+            continue
+        h, y = (np.concatenate(x) for x in zip(*seen, strict=True))
+        term, at = np.unique(h, return_inverse=True)
+        yield pa.record_batch({"term": term.view(np.int64), "df": np.bincount(at, minlength=len(term)), "a": np.bincount(at, weights=y, minlength=len(term)).astype(np.int64)})
 
 
 def telling_terms(rows: DataFrame, most: int) -> np.ndarray:
     """The ``most`` hashes with the largest z of their log odds ratio between the classes, sorted."""
     n = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("p")).first()
     pos, neg = float(n["p"]), float(n["n"] - n["p"])
-    found = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("label").alias("a"), F.count("*").alias("df")).filter("df >= 3")
+    found = rows.mapInArrow(_counts, "term long, df long, a long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("df").alias("df")).filter("df >= 3")
     a, b = F.col("a") + 0.5, F.col("df") - F.col("a") + 0.5
     z = (F.log(a / (pos + 1 - a)) - F.log(b / (neg + 1 - b))) / F.sqrt(1 / a + 1 / b)
     best = found.orderBy(F.desc(F.abs(z)), "term").limit(most).select("term").collect()  # bounded by most
@@ -91,13 +98,22 @@ def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
-def _learner(lookup: Lookup):
+def _found(lookup: Lookup):
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, offsets in text_blocks(batch, "text"):
+                at, row = lookup.find(*terms(data, offsets))
+                own = {c: batch.column(c).slice(lo, hi - lo) for c in ("key", "label", "part")}
+                yield pa.record_batch({**own, "at": labelled.lists(at.astype(np.int32), np.bincount(row, minlength=hi - lo), pa.int32())})
+
+    return run
+
+
+def _learner():
     def learn(state: list[np.ndarray], group: pa.Table) -> list[np.ndarray]:
         z, n, v, q = state  # the last slot of z and n is the bias
-        lists = group["terms"].combine_chunks()
-        sizes = np.diff(lists.offsets.to_numpy())
-        at, row = lookup.find(lists.values.to_numpy().view(np.uint64), np.repeat(np.arange(len(sizes)), sizes))
-        cut = np.searchsorted(row, np.arange(len(sizes) + 1))
+        lists = group["at"].combine_chunks()
+        cut, at = lists.offsets.to_numpy(), lists.values.to_numpy()
         for i, y in enumerate(group["label"].to_numpy()):
             own = at[cut[i] : cut[i + 1]]
             line = np.append(own, len(z) - 1)
@@ -121,11 +137,11 @@ def _learner(lookup: Lookup):
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held_out: int = 2, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Kept term hashes, weights (the bias last) and factors, learnt outside the held-out fold."""
     rows = labelled.training_sample(docs, labels, label, folds, held_out, sample)
-    rows = settled(rows.mapInArrow(_term_lists, "key long, label int, part int, terms array<long>"))
     kept = telling_terms(rows, TERMS)
+    rows = settled(rows.mapInArrow(_found(Lookup(kept)), "key long, label int, part int, at array<int>"))
     m = len(kept)
     start = [np.zeros(m + 1), np.zeros(m + 1), np.random.default_rng(1).normal(0, 0.01, (m, FACTORS)), np.full((m, FACTORS), 1.0)]
-    z, n, v, _ = labelled.trained_in_rounds(rows, start, _learner(Lookup(kept)), ROUNDS)
+    z, n, v, _ = labelled.trained_in_rounds(rows, start, _learner(), ROUNDS)
     return kept, _weights(z, n), v
 
 
