@@ -30,10 +30,10 @@ from docproof.llm.labelled import lists
 from docproof.llm.store import settled
 from docproof.llm.tiles import by_group, tiled
 
-NEIGHBOURS, REVERSE, ROUNDS = 32, 20, 3
+NEIGHBOURS, REVERSE, ROUNDS = 32, 24, 4
 #: Nodes in a starting block, about; blocks that turn out larger than TILE are split at random.
 BLOCK, STARTS, TILE = 800, 3, 2048
-BEAM, LEAVES, MAX_HOPS = 256, 48, 24
+BEAM, LEAVES, MAX_HOPS = 288, 64, 32
 #: Vectors for the cuts of the projections, at most about.
 SAMPLE = 4096
 #: Nodes that a search task scores against, about.
