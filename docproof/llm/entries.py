@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docproof.llm import chat, embeddings, mixing, neighbours, quality, simhash, suffixes, toxicity
+from docproof.llm import chat, embeddings, mixing, neighbours, packing, quality, simhash, suffixes, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in token-budget batches of the eight length buckets that pad least."""
+    return packing.pack_documents(_read(spark, sf_dir, "documents"))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and the given one of control strings, formatted, read back and digested."""
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -112,6 +117,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_neighbours": op1_neighbours,
+    "op2_packing": op2_packing,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_source_mixing": op4_source_mixing,
     "op6_simhash": op6_simhash,
