@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docproof.llm import chat, embeddings, mixing, neighbours, packing, quality, simhash, suffixes, toxicity
+from docproof.llm import chat, embeddings, mixing, neighbours, packing, passages, quality, simhash, suffixes, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,11 @@ SELECT doc_id, size, source_size, target, size * copies AS taken, copies
 FROM (SELECT *, (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END)::INT AS copies FROM rated)
 """
 
+def op5_near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that all documents share with an earlier one, and their classes."""
+    return passages.classes(passages.near_passages(_read(spark, sf_dir, "documents")))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with fingerprint and near-duplicate component."""
     found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
@@ -120,6 +125,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_source_mixing": op4_source_mixing,
+    "op5_near_passages": op5_near_passages,
     "op6_simhash": op6_simhash,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_toxicity": op8_toxicity,
