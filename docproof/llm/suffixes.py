@@ -41,7 +41,7 @@ from docproof.llm.tiles import by_group
 
 LENGTH, GRAM = 100, 32
 #: Contexts of one gram that a shard takes; a gram with more is dealt to several shards.
-SHARD = 4096
+SHARD = 16384
 #: The id that stands for none: after all others.
 NO_ID = (1 << 63) - 1
 _TAG = 40
@@ -89,7 +89,9 @@ def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each anchor of a block: row, place in the block, gram hash, begin and end of its context."""
+    """Of each anchor of a block: row, place in the block, gram hash, begin and end of its context.
+
+    The context is what the strings cover whose least gram (the first, of equals) the anchor is."""
     none = np.zeros(0, np.int64)
     n, w = len(data), length - GRAM + 1
     if n < length:
@@ -104,11 +106,27 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
     least[np.cumsum(change[: len(least)], dtype=np.int8) == 0] = 0  # strings that would cross documents
     edge = np.zeros(w - 1, np.uint32)
     most = _sliding(np.concatenate([edge, least, edge]), w, np.maximum)
-    at = np.flatnonzero((most == order) & (most > 0))
-    row = np.searchsorted(offsets, at, "right") - 1
-    begin = np.maximum(offsets[row], at - (length - GRAM))
-    end = np.minimum(offsets[row + 1], at + length)
-    return row, at, gram[at], begin, end
+    spots = np.flatnonzero((most == order) & (most > 0))
+    # strings one after another with the same least hash are a run; the first gram with that hash
+    # owns the run up to itself, and if the run goes on, the next such gram owns the rest
+    cut = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    lo, hi = cut, np.append(cut[1:], len(least)) - 1
+    some = least[lo] > 0
+    lo, hi = lo[some], hi[some]
+    value, rank, owned = order[spots], np.searchsorted(spots, lo), []
+    while len(lo):
+        off = np.flatnonzero(value[rank] != least[lo])
+        while len(off):
+            rank[off] += 1
+            off = off[value[rank[off]] != least[lo[off]]]
+        at = spots[rank]
+        owned.append((at, lo, np.minimum(at, hi)))
+        on = hi > at
+        lo, hi, rank = at[on] + 1, hi[on], rank[on] + 1
+    if not owned:
+        return none, none, none.view(np.uint64), none, none
+    at, first, last = (np.concatenate(x) for x in zip(*owned, strict=True))
+    return np.searchsorted(offsets, at, "right") - 1, at, gram[at], first, last + length
 
 
 def suffix_array(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -122,7 +140,7 @@ def suffix_array(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     place = np.arange(n)
     for k in range(7):
         key = (key << np.uint64(9)) | np.where(place + k < ends, padded[k : n + k], np.uint64(0))
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     return _refined(order, key[order], ends, 7)
 
 
@@ -140,7 +158,7 @@ def _refined(order: np.ndarray, sorted_key: np.ndarray, ends: np.ndarray, depth:
         s = order[open_]
         follow = np.where(s + depth < ends[s], rank[np.minimum(s + depth, n)], -1)
         group = head[open_]
-        by = np.lexsort((follow, group))
+        by = np.argsort(group * (n + 2) + follow + 1)
         order[open_] = s[by]
         follow = follow[by]
         split = np.ones(len(by), bool)
@@ -150,6 +168,8 @@ def _refined(order: np.ndarray, sorted_key: np.ndarray, ends: np.ndarray, depth:
         alone = split & np.append(split[1:], True)
         open_ = open_[~alone]
         depth *= 2
+    if len(open_):  # equal to their ends: by place
+        order[open_] = order[open_][np.argsort(head[open_] * n + order[open_])]
     return order
 
 
@@ -256,22 +276,21 @@ def _met(t: pa.Table, _):
     look = live[first[np.append(False, kin) | np.append(kin, False)]] if len(first) else live[:0]
     spans = _spans(np.concatenate([doc[gone], doc[done]]), np.concatenate([tag[gone], tag[done]]), np.concatenate([(place - left)[gone], place[done]]), np.concatenate([(place + right)[gone], (place + context)[done]]))
     yield pa.record_batch({k: pa.array(v) for k, v in spans.items()})
-    yield pa.record_batch({"kind": np.full(len(look), 2, np.int32), "doc": doc[look], "tag": tag[look], "lo": place[look], "hi": (place + right)[look], "gram": gram[look]})
+    yield pa.record_batch({"kind": np.full(len(look), 2, np.int32), "doc": doc[look], "tag": tag[look], "lo": (place - left)[look], "hi": (place + right)[look], "gram": gram[look]})
 
 
-def _contexts(length: int):
+def _contexts():
     def run(batches):
         for batch in batches:
-            gram, lo = batch.column("grams").flatten().to_numpy(), batch.column("los").flatten().to_numpy()
+            gram, lo, hi = (batch.column(c).flatten().to_numpy() for c in ("grams", "los", "his"))
             sizes = np.diff(batch.column("los").offsets.to_numpy())
             cut = np.append(0, np.cumsum(sizes))
             doc, tag = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()
             for i, text in enumerate(batch.column("text")):
                 raw = text.as_buffer().to_pybytes() if hasattr(text, "as_buffer") else text.as_py().encode()
-                own = lo[cut[i] : cut[i + 1]]
-                begin = np.maximum(own - (length - GRAM), 0)
-                out = [raw[a:b] for a, b in zip(begin.tolist(), (own + length).tolist(), strict=True)]
-                yield pa.record_batch({"gram": gram[cut[i] : cut[i + 1]], "doc": np.full(len(own), doc[i]), "tag": np.full(len(own), tag[i]), "begin": begin, "bytes": pa.array(out, pa.binary())})
+                begin, end = lo[cut[i] : cut[i + 1]], hi[cut[i] : cut[i + 1]]
+                out = [raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+                yield pa.record_batch({"gram": gram[cut[i] : cut[i + 1]], "doc": np.full(len(begin), doc[i]), "tag": np.full(len(begin), tag[i]), "begin": begin, "bytes": pa.array(out, pa.binary())})
 
     return run
 
@@ -339,9 +358,9 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     sort = ["deal", "gram", "context", "doc", "at"]
     found = settled(rows.repartition("deal").sortWithinPartitions(*sort).mapInArrow(by_group(["deal"], _met), FOUND))
 
-    look = found.filter("kind = 2").groupBy("doc", "tag").agg(F.collect_set(F.struct("lo", "gram")).alias("a"))
-    look = look.select("doc", "tag", F.col("a.lo").alias("los"), F.col("a.gram").alias("grams"))
-    cut = keyed.join(look, ["doc", "tag"]).dropDuplicates(["doc", "tag"]).mapInArrow(_contexts(length), "gram long, doc long, tag long, begin long, bytes binary")
+    look = found.filter("kind = 2").groupBy("doc", "tag").agg(F.collect_set(F.struct("lo", "hi", "gram")).alias("a"))
+    look = look.select("doc", "tag", F.col("a.lo").alias("los"), F.col("a.hi").alias("his"), F.col("a.gram").alias("grams"))
+    cut = keyed.join(look, ["doc", "tag"]).dropDuplicates(["doc", "tag"]).mapInArrow(_contexts(), "gram long, doc long, tag long, begin long, bytes binary")
     many = found.filter("kind = 2").groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > SHARD)
     part = F.ceil(F.coalesce("n", F.lit(1)) / SHARD).cast("int")
     cut = cut.join(many, "gram", "left").withColumn("parts", part).withColumn("part", F.pmod(F.xxhash64("doc"), "parts").cast("int"))
