@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docproof.plans import prepare  # noqa: F401
+from docproof.plans import access_spend, prepare  # noqa: F401
 from docproof.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

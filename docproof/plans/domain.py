@@ -146,7 +146,7 @@ SQL = {
         floor(value * 10)::BIGINT AS output_tokens, (event_id % 1000)::BIGINT AS cache_read_tokens, 0::BIGINT AS cache_write_tokens, ts::TIMESTAMP AS created_at FROM events""",
     "v_price": "SELECT * FROM (VALUES " + ", ".join("('" + p[0] + "', " + ", ".join(f"{x}::DECIMAL(10,4)" for x in p[1:]) + ")" for p in PRICES) + ") t(price_model, p_in, p_out, p_read, p_write)",
     "v_attempt": """SELECT user_id AS job_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'done' ELSE 'failed' END AS outcome,
-        event_id % 97 = 0 AS terminal, CASE WHEN event_type = 'error' THEN 'error ' || event_id END AS error, ts::TIMESTAMP AS at
+        event_id % 97 = 0 AS terminal, CASE WHEN event_type = 'error' THEN 'error ' || event_id END AS error, ts::TIMESTAMP AS "at"
         FROM events WHERE event_type IN ('signup', 'view', 'purchase', 'error')""",
     "v_extraction": "SELECT o_orderkey AS extraction_id, o_custkey AS document_id, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'running' ELSE 'failed' END AS status, o_orderdate::DATE AS created_at FROM orders",
     "v_raw": f"""SELECT extraction_id, field_key, field_type,
