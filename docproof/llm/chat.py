@@ -70,9 +70,10 @@ def paths(messages: DataFrame, per_tree: int = 1, max_rounds: int = 40) -> DataF
     nodes = nodes.filter(F.col("message_id").isNotNull()).select("tree_id", "message_id", "m.parent_id", F.coalesce("m.score", F.lit(0.0)).alias("score"))
     known = nodes.select("tree_id", F.col("message_id").alias("id"))
     joined = nodes.alias("n").join(known.alias("k"), _same("n", "k", "parent_id", "id"), "left")
-    step = settled(joined.select("n.tree_id", "n.message_id", F.col("k.id").alias("up"), "n.score", F.when(F.col("k.id").isNull(), 0).otherwise(1).alias("hops")))
+    step = settled(joined.select("n.tree_id", "n.message_id", F.col("k.id").alias("up"), "n.score", F.when(F.col("k.id").isNull(), 0).otherwise(1).cast("long").alias("hops")))
     parents = step.filter("up is not null").select("tree_id", F.col("up").alias("message_id")).distinct()
     jumps = []  # the k-th leads 2**k messages towards the root
+    before = -1
     for _ in range(max_rounds):
         jumps.append(step.filter("up is not null").select("tree_id", "message_id", "up"))
         a, b = step.filter("up is not null").alias("a"), step.alias("b")  # what has reached its root rests
@@ -80,8 +81,10 @@ def paths(messages: DataFrame, per_tree: int = 1, max_rounds: int = 40) -> DataF
             "a.tree_id", "a.message_id", "b.up", (F.col("a.score") + F.col("b.score")).alias("score"), (F.col("a.hops") + F.col("b.hops")).alias("hops")
         )
         step = settled(step.filter("up is null").unionByName(moved))
-        if step.filter("up is not null").isEmpty():
+        waiting = step.filter("up is not null").count()
+        if waiting in (0, before):  # each round ends some paths of a tree; what never ends is a cycle
             break
+        before = waiting
     whole = step.filter("up is null")
     leaves = whole.alias("w").join(parents.alias("p"), _same("w", "p", "message_id", "message_id"), "left_anti")
     best = W.partitionBy("tree_id").orderBy(F.desc("path_score"), "leaf_id")
