@@ -90,9 +90,11 @@ def retrieval_totals(results: DataFrame, by: list[str] | None = None) -> DataFra
 
 
 def end_to_end_totals(results: DataFrame) -> DataFrame:
-    """Answer, citation, refusal and false-answer rates, cost, and the median latency as a whole number."""
+    """Answer, citation, refusal and false-answer rates, cost, and the median latency as a whole number.
+
+    A false answer is one to an unanswerable question, or one that does not cite the right document."""
     only = lambda flag, c: F.avg(F.when(F.col("answerable") == flag, F.when(F.col(c), 1.0).otherwise(0.0)))
-    false = F.avg(F.when(~F.col("answerable") & F.col("answered"), 1.0).otherwise(0.0))
+    false = F.avg(F.when(F.col("answered") & (~F.col("answerable") | (F.col("cited_doc_hit") == F.lit(False))), 1.0).otherwise(0.0))
     return results.agg(
         F.count("*").alias("questions"), only(True, "answered").alias("answer_rate"), _rate("cited_doc_hit").alias("citation_doc_rate"), _rate("cited_page_hit").alias("citation_page_rate"),
         _rate("refused_correctly").alias("correct_refusal_rate"), false.alias("false_answer_rate"), F.coalesce(F.sum("cost_usd"), F.lit(0)).cast("decimal(20,6)").alias("cost_usd"),

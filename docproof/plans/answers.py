@@ -236,7 +236,7 @@ def retrieval_totals(spark, d):
     return rounded(E.retrieval_totals(results(spark, d), ["run_user"]))
 
 
-@query("end_to_end_totals", q("SELECT count(*) AS questions, round(avg(CASE WHEN answerable THEN CASE WHEN answered THEN 1.0 ELSE 0.0 END END), 9) AS answer_rate, " + RATES.format("citation_doc_rate", "citation_page_rate") + ", round(avg(CASE WHEN refused_correctly THEN 1.0 WHEN NOT refused_correctly THEN 0.0 END), 9) AS correct_refusal_rate, round(avg(CASE WHEN NOT answerable AND answered THEN 1.0 ELSE 0.0 END), 9) AS false_answer_rate, sum(cost_usd)::DECIMAL(20,6) AS cost_usd, trunc(quantile_cont(latency_ms, 0.5))::INT AS latency_p50_ms FROM v_result"))
+@query("end_to_end_totals", q("SELECT count(*) AS questions, round(avg(CASE WHEN answerable THEN CASE WHEN answered THEN 1.0 ELSE 0.0 END END), 9) AS answer_rate, " + RATES.format("citation_doc_rate", "citation_page_rate") + ", round(avg(CASE WHEN refused_correctly THEN 1.0 WHEN NOT refused_correctly THEN 0.0 END), 9) AS correct_refusal_rate, round(avg(CASE WHEN answered AND (NOT answerable OR doc_hit IS NOT DISTINCT FROM false) THEN 1.0 ELSE 0.0 END), 9) AS false_answer_rate, sum(cost_usd)::DECIMAL(20,6) AS cost_usd, trunc(quantile_cont(latency_ms, 0.5))::INT AS latency_p50_ms FROM v_result"))
 def end_to_end_totals(spark, d):
     return rounded(E.end_to_end_totals(results(spark, d)))
 
