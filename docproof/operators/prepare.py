@@ -144,3 +144,18 @@ def postings(chunks: DataFrame) -> DataFrame:
     """chunk_id, lexeme, positions: one row for each lexeme of a chunk, made without a shuffle of texts."""
     each = chunks.select("chunk_id", F.explode(T.lexemes(F.col("text"))).alias("l"))
     return each.groupBy("chunk_id", "l.lexeme").agg(F.sort_array(F.collect_list("l.position")).alias("positions"))
+
+
+def stemmed(postings: DataFrame) -> DataFrame:
+    """Postings of the 'english' configuration: lexemes are stems, positions of one stem together.
+
+    Only distinct words are stemmed; the join back is on the word."""
+    from docproof.functions.stem import stem
+
+    @F.pandas_udf("string")
+    def stems(words: pd.Series) -> pd.Series:
+        return words.map(stem)
+
+    words = postings.select("lexeme").distinct().select("lexeme", stems("lexeme").alias("stem"))
+    each = postings.join(words, "lexeme").select("chunk_id", F.col("stem").alias("lexeme"), F.explode("positions").alias("position"))
+    return each.groupBy("chunk_id", "lexeme").agg(F.sort_array(F.collect_set("position")).alias("positions"))

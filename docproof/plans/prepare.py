@@ -161,3 +161,8 @@ V_LEXEME = f"SELECT chunk_id, lexeme, position FROM (SELECT chunk_id, unnest(wor
 @query("lexemes", sql("SELECT chunk_id, lexeme, list(position ORDER BY position) AS positions FROM v_lexeme GROUP BY 1, 2", v_lexeme=V_LEXEME))
 def lexemes(spark, d):
     return P.postings(D.chunks(spark, d))
+
+
+@query("lexemes_english")
+def lexemes_english(spark, d):
+    return P.stemmed(P.postings(D.chunks(spark, d)))

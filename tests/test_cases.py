@@ -155,3 +155,15 @@ def test_answers(spark):
     rows = {r.question_id: r for r in Q.extractive_answers(questions, sources).collect()}
     assert rows[1].status == "answered" and rows[1].answer == "The Term shall expire on 1 April." and rows[1].cited == [0]
     assert rows[2].answer == Q.REFUSAL and rows[3].answer == Q.NO_SOURCES
+
+
+@pytest.mark.parametrize("word,want", [
+    ("consign", "consign"), ("consigned", "consign"), ("consigning", "consign"), ("consistency", "consist"), ("consolation", "consol"), ("knightly", "knight"), ("kneel", "kneel"), ("knotty", "knotti"), ("caresses", "caress"), ("ties", "tie"), ("cries", "cri"),
+    ("gas", "gas"), ("gaps", "gap"), ("kiwis", "kiwi"), ("agreed", "agre"), ("feed", "feed"), ("hopping", "hop"), ("hoping", "hope"), ("luxuriating", "luxuri"), ("falling", "fall"), ("happy", "happi"), ("by", "by"), ("say", "say"), ("generate", "generat"),
+    ("generously", "generous"), ("relational", "relat"), ("conditional", "condit"), ("rational", "ration"), ("digitizer", "digit"), ("radically", "radic"), ("hopefulness", "hope"), ("formative", "format"), ("formalize", "formal"), ("adjustment", "adjust"), ("adoption", "adopt"),
+    ("controlling", "control"), ("rolling", "roll"), ("skies", "sky"), ("dying", "die"), ("news", "news"), ("proceed", "proceed"), ("landlords", "landlord"), ("expiry", "expiri"), ("leases", "leas"), ("4b", "4b"),
+])
+def test_stems(word, want):
+    from docproof.functions.stem import stem
+
+    assert stem(word) == want
