@@ -120,6 +120,34 @@ def test_passages(docs, none):
     assert passages.classes(passages.near_passages(none)).count() == 0
 
 
+@pytest.mark.parametrize("many", [16, 2])
+def test_equal_passages_match_brute_force(spark, many, monkeypatch):
+    monkeypatch.setattr(passages, "MANY", many)
+    rng = random.Random(11)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    line, copied = fresh(12), [fresh(60) + " " for _ in range(4)]
+    # a frequent line in unlike texts, and passages around the line that only some later texts share
+    rows = [(0, f"{fresh(70)} {line} {fresh(70)} {copied[0]}{line} {copied[1]} {fresh(30)}")]
+    for i in range(1, 60):
+        inner = f"{copied[i % 4]}{line} {copied[(i + 1) % 4]}" if i % 3 == 0 else f"{fresh(50)} {line} {fresh(50)}"
+        rows.append((i, f"{fresh(rng.randrange(60))} {inner} {fresh(rng.randrange(60))} {copied[i % 4] if i % 7 == 0 else ''}"))
+    seen, want = set(), {}
+    for i, text in rows:
+        w = text.split()
+        grams = [" ".join(w[p : p + 50]) for p in range(len(w) - 49)]
+        want[i] = {p for p, g in enumerate(grams) if g in seen}
+        seen |= set(grams)
+    found = passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert all(r.match_id < r.doc_id for r in found) and sum(map(len, want.values())) > 500
+    for i, places in want.items():
+        mine = [(r.first_word, r.last_word) for r in found if r.doc_id == i]
+        assert all(any(a <= p and p + 49 <= b for a, b in mine) for p in places), i
+    text = dict((i, t.split()) for i, t in rows)
+    for r in found:
+        if r.similarity == 1.0 and r.last_word - r.first_word == r.match_last_word - r.match_first_word:
+            assert text[r.doc_id][r.first_word : r.last_word + 1] == text[r.match_id][r.match_first_word : r.match_last_word + 1]
+
+
 def test_compact_windows_partition_all_stretches():
     for t in range(60):
         n, least = random.randint(0, 40), random.randint(1, 6)
