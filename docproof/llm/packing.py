@@ -21,8 +21,8 @@ from pyspark.sql.window import Window as W
 from docproof.llm.mixing import word_count
 from docproof.llm.store import settled
 
-#: Distinct lengths that the histogram tells apart; if texts are longer than that, neighbouring
-#: lengths share a bin and boundaries are multiples of the bin.
+#: Distinct lengths that the histogram tells apart; if there are more, lengths that agree in their
+#: leading bits share a bin, which stands for its largest.
 BINS = 1 << 16
 #: Rows of a shard of a bucket, about.
 SHARD = 50_000
@@ -85,14 +85,31 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
     return out[::-1]
 
 
+def length_histogram(rows: DataFrame) -> list:
+    """n (a length), c (rows of that length), ascending; at most ``BINS`` of them.
+
+    The driver gets one row more at most. Only where there are more distinct lengths are the leading
+    bits that a bin keeps reduced, so short lengths stay apart and long ones share bins of a relative width."""
+    exact = rows.groupBy(F.col("n_tokens").alias("n")).agg(F.count("*").alias("c"))
+    found = exact.orderBy("n").limit(BINS + 1).collect()
+    if len(found) <= BINS:
+        return found
+    exact = settled(exact)
+    for bits in range(BINS.bit_length() - 1, 0, -1):
+        step = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.length(F.bin("n")) - bits)).cast("long")
+        bins = exact.groupBy((F.col("n") - F.col("n") % step).alias("bin")).agg(F.max("n").alias("n"), F.sum("c").alias("c"))
+        found = bins.select("n", "c").orderBy("n").limit(BINS + 1).collect()
+        if len(found) <= BINS:
+            break
+    return found
+
+
 def pack(rows: DataFrame, length: Column, key: list[str], buckets: int = 8, budget: int = 65_536) -> DataFrame:
     """``rows`` with n_tokens, bucket, pad_to, batch (within the bucket) and slot (within the batch).
 
     ``key`` orders the documents of a bucket, after a hash of it, so that reruns agree."""
     rows = settled(rows.withColumn("n_tokens", length.cast("long")))
-    top = rows.agg(F.max("n_tokens").alias("m")).first()["m"] or 0
-    step = max(1, -(-top // BINS))
-    histogram = rows.groupBy((F.ceil(F.col("n_tokens") / step) * step).cast("long").alias("n")).agg(F.count("*").alias("c")).orderBy("n").collect()  # at most BINS + 1 rows
+    histogram = length_histogram(rows)
     sizes, counts = np.array([r["n"] for r in histogram], np.int64), np.array([r["c"] for r in histogram], np.int64)
     bounds = boundaries(sizes, counts, buckets)
     inside = np.searchsorted(bounds, sizes) if bounds else sizes

@@ -200,6 +200,24 @@ def test_boundaries_are_optimal():
         assert cost(packing.boundaries(np.array(sizes), np.array(counts), k)) == best
 
 
+def test_one_long_text_leaves_other_lengths_apart(spark):
+    sizes = [*range(1, 151), 10_000_000]
+    rows = packing.pack(spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "doc_id long, n long"), F.col("n"), ["doc_id"]).collect()
+    best = packing.boundaries(np.array(sizes), np.ones(len(sizes), np.int64), 8)
+    assert len(rows) == len(sizes) and {r.pad_to for r in rows} == set(best)
+    assert all(r.pad_to == min(b for b in best if b >= r.n_tokens) for r in rows)
+
+
+def test_more_lengths_than_bins(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BINS", 64)
+    sizes = [*range(30), *(1000 + 37 * i for i in range(500))]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "doc_id long, n_tokens long")
+    bins = packing.length_histogram(df)
+    assert len(bins) <= 64 and sum(r.c for r in bins) == len(sizes) and {r.n for r in bins} <= set(sizes) and max(sizes) == bins[-1].n
+    rows = packing.pack(df, F.col("n_tokens"), ["doc_id"]).collect()
+    assert len(rows) == len(sizes) and all(r.n_tokens <= r.pad_to for r in rows) and all(max(q.n_tokens for q in rows if q.bucket == r.bucket) == r.pad_to for r in rows)
+
+
 @pytest.mark.parametrize("module", [quality, toxicity])
 def test_classifiers(docs, none, spark, module):
     name = "quality" if module is quality else "toxic"
