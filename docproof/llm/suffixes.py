@@ -17,7 +17,8 @@ it. The work is
    others' strings;
 4. the removed intervals meet their text once, where they are cut out.
 
-Equality in 1 and 3 is decided by 128 bits of hashes.
+Equality in 1 and 3 is decided by 128 bits of hashes; rows of one id, or without, are told apart by
+64 bits of a hash of their text.
 
 Cases: a null text is empty; documents without an id come after all others and those with equal
 texts count as one; repeated rows are one document and each gets its result; rows that share an id
@@ -44,7 +45,6 @@ LENGTH, GRAM = 100, 32
 SHARD = 16384
 #: The id that stands for none: after all others.
 NO_ID = (1 << 63) - 1
-_TAG = 40
 
 #: An odd base, its inverse modulo 2**64, and a symbol for each byte, for hashes of substrings.
 _BASE = 0x9E3779B97F4A7C15
@@ -243,7 +243,7 @@ def _anchor_rows(length: int):
             first = ~again
             yield pa.record_batch({
                 "deal": gram[first].view(np.int64), "gram": gram[first].view(np.int64), "context": context[first].view(np.int64), "doc": doc[first],
-                "at": (tag[first] << _TAG) | at[first], "reach": ((at - begin)[first] << 16 | (end - at)[first]).astype(np.int32),
+                "tag": tag[first], "at": at[first], "reach": ((at - begin)[first] << 16 | (end - at)[first]).astype(np.int32),
             })
             if again.any():  # what already occurs earlier in this batch is gone: it needs no meeting
                 head = np.flatnonzero(first)[np.cumsum(first) - 1]
@@ -252,7 +252,7 @@ def _anchor_rows(length: int):
                 m = len(spans["doc"])
                 yield pa.record_batch({
                     "deal": spans["doc"] + np.arange(m), "gram": np.zeros(m, np.int64), "context": spans["hi"] - spans["lo"], "doc": spans["doc"],
-                    "at": (spans["tag"] << _TAG) | spans["lo"], "reach": np.full(m, -1, np.int32),
+                    "tag": spans["tag"], "at": spans["lo"], "reach": np.full(m, -1, np.int32),
                 })
 
     return run
@@ -260,9 +260,8 @@ def _anchor_rows(length: int):
 
 def _met(t: pa.Table, _):
     """Anchors of the same gram: later contexts that are equal go, first ones that differ get a closer look."""
-    gram, context, doc, at, reach = (t.column(c).to_numpy() for c in ("gram", "context", "doc", "at", "reach"))
+    gram, context, doc, tag, place, reach = (t.column(c).to_numpy() for c in ("gram", "context", "doc", "tag", "at", "reach"))
     done = reach < 0
-    tag, place = at >> _TAG, at & ((1 << _TAG) - 1)
     left, right = reach >> 16, reach & 0xFFFF
     live = np.flatnonzero(~done)
     g, c = gram[live], context[live]
@@ -346,16 +345,16 @@ def _merge(t: pa.Table, _):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with __doc (the id, or a last one for null), __tag (bits of the text's hash) and __text."""
+    """``docs`` with __doc (the id, or a last one for null), __tag (the text's hash of 64 bits) and __text."""
     text = F.coalesce("text", F.lit(""))
-    return docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__tag": F.pmod(F.xxhash64(text), F.lit(1 << 20)), "__text": text})
+    return docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__tag": F.xxhash64(text), "__text": text})
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """__doc, __tag, spans (begin and end in bytes, in order; they may overlap)."""
     keyed = _keyed(docs).select(F.col("__doc").alias("doc"), F.col("__tag").alias("tag"), F.col("__text").alias("text"))
-    rows = keyed.mapInArrow(_anchor_rows(length), "deal long, gram long, context long, doc long, at long, reach int")
-    sort = ["deal", "gram", "context", "doc", "at"]
+    rows = keyed.mapInArrow(_anchor_rows(length), "deal long, gram long, context long, doc long, tag long, at long, reach int")
+    sort = ["deal", "gram", "context", "doc", "tag", "at"]
     found = settled(rows.repartition("deal").sortWithinPartitions(*sort).mapInArrow(by_group(["deal"], _met), FOUND))
 
     look = found.filter("kind = 2").groupBy("doc", "tag").agg(F.collect_set(F.struct("lo", "hi", "gram")).alias("a"))
@@ -363,7 +362,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     cut = keyed.join(look, ["doc", "tag"]).dropDuplicates(["doc", "tag"]).mapInArrow(_contexts(), "gram long, doc long, tag long, begin long, bytes binary")
     many = found.filter("kind = 2").groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > SHARD)
     part = F.ceil(F.coalesce("n", F.lit(1)) / SHARD).cast("int")
-    cut = cut.join(many, "gram", "left").withColumn("parts", part).withColumn("part", F.pmod(F.xxhash64("doc"), "parts").cast("int"))
+    cut = cut.join(many, "gram", "left").withColumn("parts", part).withColumn("part", F.pmod(F.xxhash64("doc", "tag"), "parts").cast("int"))
     dealt = cut.select("gram", "part", "parts", "doc", "tag", "begin", "bytes").repartition("gram", "part").sortWithinPartitions("gram", "part", "doc", "tag", "begin")
     shards = settled(dealt.mapInArrow(by_group(["gram", "part"], _shard(length), 10_000), SHARDED))
 

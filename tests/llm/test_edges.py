@@ -101,6 +101,17 @@ def test_suffixes_match_brute_force(spark, shard, monkeypatch):
     assert got == removed(rows)
 
 
+def test_rows_without_id_are_told_apart(spark):
+    # a text with a passage of another document and one of its own, whose hashes agree in their last 20 bits
+    tail = lambda x: xxhash.xxh64_intdigest(x.encode(), 42) % (1 << 20)
+    shared, own = prose(60), prose(120)
+    one = {tail(x): x for x in (f"{i} {shared}" for i in range(5000))}
+    other = next(x for x in (f"{i} {own}" for i in range(5000)) if tail(x) in one)
+    rows = [(1, shared + " end"), (None, one[tail(other)]), (None, other)]
+    got = {r.kept_sha256: r.n_removed for r in suffixes.removal(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[hashlib.sha256(other.encode()).hexdigest()] == 0 and sorted(got.values())[-1] >= len(shared)
+
+
 def test_suffix_edges(docs, none):
     rows = suffixes.removal(docs).collect()
     assert len(rows) == len(ROWS)
