@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from docproof.llm.store import settled
+from docproof.llm.store import dropped, settled
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for every node of ``links`` (columns a, b).
 
     Alternating star contraction: every node hands its larger neighbours to its smallest one, then
     itself and its smaller ones; each round is a few shuffles of narrow rows, minima are combined
-    before the shuffle, and the rounds grow with the logarithm of the longest chain."""
+    before the shuffle, and the rounds grow with the logarithm of the longest chain. The end is
+    reached when a round changes nothing."""
     both = links.filter("a is not null and b is not null and a <> b")
     edges = settled(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
-    for _ in range(max_rounds):
+    while True:
         mark = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if seen == mark or not mark["n"]:
             break
@@ -27,6 +28,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = large.filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        edges = settled(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        before, edges = edges, settled(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        dropped(before)
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

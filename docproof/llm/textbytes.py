@@ -77,3 +77,19 @@ def pairs(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each two neighbouring words of a row, and the row."""
     same = row[1:] == row[:-1]
     return mixed(h[:-1] * _M1 + (h[1:] ^ _M2))[same], row[1:][same]
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each ``size``-word shingle of a block, and where each text's shingles begin (and end)."""
+    starts, ends, row = words(data, offsets)
+    at, place, begin = positions(starts, ends)
+    h = hashed(LOWER[data[at]], place, begin)
+    count = np.bincount(row, minlength=len(offsets) - 1)
+    whole = np.maximum(count - size + 1, 0)
+    first = np.repeat(np.cumsum(count) - count, whole)
+    cut = np.append(0, np.cumsum(whole))
+    i = first + np.arange(int(whole.sum())) - np.repeat(cut[:-1], whole)
+    out = np.zeros(len(i), np.uint64)
+    for k in range(size):
+        out = mixed(out ^ h[i + k]) if len(i) else out
+    return out, cut
