@@ -8,32 +8,42 @@ comparison is abandoned as soon as all its distances exceed the radius. Buckets
 links only, and components are contracted on Spark; nothing is lost, as every pair within the
 radius meets.
 
+:func:`keep_first` drops near copies whose shingle sets have a Jaccard similarity of ``least``. Such
+pairs differ in up to some fifteen bits, too many for exact block tables at scale, so its tables
+are built on samples of bits, as many as it takes to see 98 % of the pairs that are twelve bits
+apart. Candidates in their buckets are found by the same bit-sliced comparison, and a link counts
+only once the shingles themselves have been compared.
+
 Cases: null, empty and blank texts have fingerprint zero and link like any other; texts shorter
 than a shingle are one shingle; repeated rows share fingerprint and component; a row without
-doc_id links by its fingerprint, and a component without any id has component_id null; long
-texts are read whole; an empty table gives no rows; further columns are ignored.
+doc_id links by its fingerprint, and a component without any id has component_id null; a text is
+read whole, and a task needs some 50 times the bytes of the longest; an empty table gives no rows;
+further columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from docproof.llm.columns import free
 from docproof.llm.components import components
-from docproof.llm.store import settled
-from docproof.llm.textbytes import LOWER, positions, text_blocks, words
+from docproof.llm.store import dropped, settled
+from docproof.llm.textbytes import LOWER, mixed, positions, shingles, text_blocks, words
 from docproof.llm.tiles import by_group, joined_labels, tiled
+from docproof.llm.xxh64 import xxh64
 
 TILE = 2048
 SEED = 42
 
 
-def fingerprint_block(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
-    """Fingerprint of each text of a block."""
+def fingerprint_block(data: np.ndarray, offsets: np.ndarray, shingle: int, more: int = 0) -> np.ndarray:
+    """Fingerprint of each text of a block, with ``more`` further words of 64 bits from other hashes of the shingles."""
     starts, ends, row = words(data, offsets)
     n = len(offsets) - 1
     at, place, _ = positions(starts, ends)
@@ -52,20 +62,24 @@ def fingerprint_block(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np
     owner = np.concatenate([row[whole], short])
     order = np.argsort(owner, kind="stable")
     s, e, owner = s[order], e[order], owner[order]
-    out = np.zeros(n, np.uint64)
+    out = np.zeros((n, 1 + more), np.uint64)
     if not len(s):
         return out
-    text, digest = spaced.tobytes(), xxhash.xxh64_intdigest
-    h = np.fromiter((digest(text[a:b], SEED) for a, b in zip(s.tolist(), e.tolist(), strict=True)), np.uint64, len(s))
     rows, cut, total = np.unique(owner, return_index=True, return_counts=True)
-    # a text's shingles are unpacked some thousands at a time, so a long text needs no more memory
-    sums = np.zeros((len(rows), 64), np.int64)
-    step = 1 << 15
-    for lo in range(0, len(h), step):
-        bits = np.unpackbits(h[lo : lo + step].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        k = np.arange(np.searchsorted(cut, lo, "right") - 1, np.searchsorted(cut, min(lo + step, len(h)), "left"))
+    # shingles are hashed and unpacked some thousands at a time, so a long text needs no more memory
+    sums = np.zeros((len(rows), 64 * (1 + more)), np.int64)
+    step = 1 << 14
+    for lo in range(0, len(s), step):
+        hi = min(lo + step, len(s))
+        from_, upto = int(s[lo:hi].min()), int(e[lo:hi].max())
+        h = xxh64(spaced[from_:upto], s[lo:hi] - from_, e[lo:hi] - from_, SEED)
+        turns = [h]
+        for _ in range(more):
+            turns.append(mixed(turns[-1]))
+        bits = np.unpackbits(np.stack(turns, 1).astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        k = np.arange(np.searchsorted(cut, lo, "right") - 1, np.searchsorted(cut, hi, "left"))
         sums[k] += np.add.reduceat(bits, np.maximum(cut[k] - lo, 0), axis=0, dtype=np.int64)
-    out[rows] = np.packbits(2 * sums > total[:, None], axis=1, bitorder="little").view("<u8").ravel()
+    out[rows] = np.packbits(2 * sums > total[:, None], axis=1, bitorder="little").view("<u8")
     return out
 
 
@@ -74,7 +88,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            fp = [fingerprint_block(data, offsets, shingle) for _, _, data, offsets in text_blocks(batch, "text")]
+            fp = [fingerprint_block(data, offsets, shingle)[:, 0] for _, _, data, offsets in text_blocks(batch, "text")]
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "fp": np.concatenate([np.zeros(0, np.uint64), *fp]).view(np.int64)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -97,50 +111,53 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def close_pairs(fp: np.ndarray, starts: np.ndarray, radius: int, chunk: int = 1 << 15):
-    """Pairs i < j within the groups that begin at ``starts`` (and end) whose distance is at most ``radius``."""
+def close_pairs(fp: np.ndarray, starts: np.ndarray, radius: int, ask: np.ndarray | None = None, chunk: int = 1 << 15):
+    """Pairs i < j within the groups that begin at ``starts`` (and end) whose distance is at most ``radius``;
+    with ``ask`` only those where j asks."""
     n = len(fp)
     lanes = -(-n // 64)
     padded = np.zeros(lanes * 64, np.uint64)
     padded[:n] = fp
     bits = np.unpackbits(padded.astype("<u8").view(np.uint8).reshape(lanes, 64, 8), axis=2, bitorder="little")
     planes = np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view("<u8")[:, :, 0]
-    end = np.repeat(starts[1:], np.diff(starts))
-    query = np.arange(n)
-    first, last = (query + 1) // 64, (end - 1) // 64
-    many = np.where(end > query + 1, last - first + 1, 0)
+    begin = np.repeat(starts[:-1], np.diff(starts))
+    query = np.arange(n) if ask is None else np.flatnonzero(ask)
+    query = query[query > begin[query]]
+    first = begin[query] // 64
+    many = (query - 1) // 64 - first + 1
     total = np.cumsum(many)
     ones = ~np.uint64(0)
-    for lo in range(0, int(total[-1]) if n else 0, chunk):
+    for lo in range(0, int(total[-1]) if len(query) else 0, chunk):
         at = np.arange(lo, min(lo + chunk, int(total[-1])))
         q = np.searchsorted(total, at, "right")
         block = first[q] + at - (total[q] - many[q])
-        low, high = q + 1 - block * 64, end[q] - block * 64
+        q = query[q]
+        own, low, high = fp[q], begin[q] - block * 64, q - block * 64
         valid = np.where(low > 0, ones << np.clip(low, 0, 63).astype(np.uint64), ones)
         valid &= np.where(high < 64, (np.uint64(1) << np.clip(high, 0, 63).astype(np.uint64)) - np.uint64(1), ones)
-        c = np.zeros((3, len(q)), np.uint64)
+        c = np.zeros((max(radius.bit_length(), 1), len(q)), np.uint64)
         over = np.zeros(len(q), np.uint64)
         for p in range(64):
-            x = planes[p][block] ^ (np.uint64(0) - ((fp[q] >> np.uint64(p)) & np.uint64(1)))
-            for k in range(3):
+            x = planes[p][block] ^ (np.uint64(0) - ((own >> np.uint64(p)) & np.uint64(1)))
+            for k in range(len(c)):
                 c[k], x = c[k] ^ x, c[k] & x
             over |= x
             if p % 8 == 7:
                 valid &= ~(over | _above(c, radius))
                 open_ = valid != 0
                 if not open_.all():  # blocks that all exceed the radius are left
-                    q, block, valid, over, c = q[open_], block[open_], valid[open_], over[open_], c[:, open_]
+                    q, own, block, valid, over, c = q[open_], own[open_], block[open_], valid[open_], over[open_], c[:, open_]
                 if not len(q):
                     break
         if len(q):
             hit, lane = np.nonzero(np.unpackbits(valid.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            yield q[hit], block[hit] * 64 + lane
+            yield block[hit] * 64 + lane, q[hit]
 
 
 def _above(c: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose three-bit counters are above ``radius`` (at most 7)."""
+    """Lanes whose counters (a row for each of their bits) are above ``radius``."""
     above, equal = np.zeros(c.shape[1], np.uint64), ~np.zeros(c.shape[1], np.uint64)
-    for k in (2, 1, 0):
+    for k in reversed(range(len(c))):
         if radius >> k & 1:
             equal &= c[k]
         else:
@@ -151,8 +168,6 @@ def _above(c: np.ndarray, radius: int) -> np.ndarray:
 
 def links(nodes: DataFrame, radius: int) -> DataFrame:
     """a, b: fingerprints (column fp, distinct) within ``radius`` bits, as spanning links of each bucket."""
-    if not 0 <= radius <= 7:
-        raise ValueError("the counters hold distances up to 7")
     masks = tables_for(nodes.count(), radius)
     tables = F.array(*[F.struct(F.lit(t).alias("table"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for t, m in enumerate(masks)])
     rows = nodes.select("fp", F.explode(tables).alias("k")).select("fp", "k.table", "k.bits")
@@ -180,11 +195,221 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = 5, radius: int = 7) -> DataFrame:
+#: Nodes of a bucket of sampled bits, at most; where more agree, further bits set them apart.
+BUCKET = 2048
+#: Distance whose pairs the sampled tables see with the probability SEEN.
+ASSURED, SEEN = 12, 0.98
+#: Of 128 further bits, so many differ at most between texts of a similarity of 0.8, but once in 1,000 times.
+FURTHER = 33
+#: Up to so many candidates of a round are told to every task; beyond, texts are shuffled to them.
+BROADCAST_ASKS = 200_000
+#: Candidates that a task verifies against one text; a text with more is sent to several tasks.
+VERIFIED = 2000
+
+
+def sampled_tables(n: int) -> tuple[int, np.ndarray]:
+    """Bits of a bucket's key for ``n`` nodes, and the order of bits of each table."""
+    bits = max(0, math.ceil(math.log2(max(n, 1) / (BUCKET / 2))))
+    agree = math.prod((64 - bits - i) / (64 - i) for i in range(ASSURED))
+    count = 1 if agree >= 1 else math.ceil(math.log(1 - SEEN) / math.log(1 - agree))
+    rng = np.random.default_rng(21)
+    return bits, np.stack([rng.permutation(64) for _ in range(count)])
+
+
+def _keys(orders: np.ndarray):
+    """For each table a key whose leading bits are those that the table takes first."""
+
+    def run(batches):
+        for batch in batches:
+            fp = batch.column("fp").to_numpy().view(np.uint64)
+            bits = np.unpackbits(fp.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            for t, order in enumerate(orders):
+                key = np.ascontiguousarray(np.packbits(bits[:, order], axis=1, bitorder="big")).view(">u8").ravel().astype(np.uint64)
+                yield pa.record_batch({"tab": np.full(len(fp), t, np.int32), "key": key.view(np.int64), **{c: batch.column(c) for c in ("node", "first_id", "fp", "f2", "f3")}})
+
+    return run
+
+
+def bucketed(nodes: DataFrame) -> DataFrame:
+    """tab, bits, bucket, node, first_id, fp, f2, f3: every node in a bucket of each table, of about ``BUCKET`` nodes.
+
+    A bucket with more is split by the next four bits, again and again, so a group of copies that
+    holds a third of all nodes comes in buckets of the same size; nodes that agree in all bits are
+    dealt by a hash."""
+    bits, orders = sampled_tables(nodes.count())
+    rows = nodes.select("node", "first_id", "fp", "f2", "f3").mapInArrow(_keys(orders), "tab int, key long, node long, first_id long, fp long, f2 long, f3 long")
+    lead = lambda b: F.lit(0).cast("long") if not b else F.shiftrightunsigned("key", 64 - b)
+    rows = settled(rows.withColumn("bits", F.lit(bits)).withColumn("bucket", lead(bits)))
+    done, used = [], []
+    while True:
+        large = settled(rows.groupBy("tab", "bits", "bucket").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET))
+        used += [rows, large]
+        if large.isEmpty():
+            done.append(rows.drop("key"))
+            break
+        done.append(rows.join(large, ["tab", "bits", "bucket"], "left_anti").drop("key"))
+        more = rows.join(large, ["tab", "bits", "bucket"])
+        if bits >= 64:
+            done.append(more.withColumn("bits", (65 + F.pmod(F.xxhash64("tab", "node"), F.ceil(F.col("n") / BUCKET))).cast("int")).drop("key", "n"))
+            break
+        bits = min(64, bits + 4)
+        rows = settled(more.drop("n").withColumn("bits", F.lit(bits)).withColumn("bucket", lead(bits)))
+    out = settled(_united(done))
+    dropped(*used)
+    return out
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def proposals(buckets: DataFrame, radius: int, lo: int, hi: int) -> DataFrame:
+    """a, b, more: for each node ``a`` of a bucket its nearest candidates ``b`` that come before it, by
+    first_id and node. What the bit-sliced comparison lets pass is looked at again with the 128 further
+    bits, which tell copies from texts that share a part. Candidates are ranked by distance and place, ranks ``lo`` to ``hi`` - 1 are given, and
+    ``more`` says that there are others. Only rows with ``ask`` ask."""
+
+    def work(t: pa.Table, starts: np.ndarray):
+        fp, f2, f3, node, ask = (t.column(c).to_numpy() for c in ("fp", "f2", "f3", "node", "ask"))
+        fp, near, held = fp.view(np.uint64), [np.zeros(0, np.int64)], 0
+        count = np.zeros(len(fp), np.int64)
+
+        def best() -> np.ndarray:
+            """The candidates held, in the order of who asks, distance and place, up to rank ``hi``."""
+            keys = np.sort(np.concatenate(near))
+            j = keys >> 40
+            rank = np.arange(len(j)) - np.searchsorted(j, j)
+            return keys[rank < hi]
+
+        for i, j in close_pairs(fp, starts, radius, ask > 0):
+            further = np.bitwise_count(f2[i] ^ f2[j]) + np.bitwise_count(f3[i] ^ f3[j])
+            like = further <= FURTHER
+            i, j, further = i[like], j[like], further[like]
+            count += np.bincount(j, minlength=len(fp))
+            near.append((j << 40) | ((further + np.bitwise_count(fp[i] ^ fp[j])).astype(np.int64) << 32) | i)
+            held += len(j)
+            if held > 1 << 21:
+                near, held = [best()], 0
+        keys = best()
+        j = keys >> 40
+        keep = np.arange(len(j)) - np.searchsorted(j, j) >= lo
+        i, j = (keys & 0xFFFFFFFF)[keep], j[keep]
+        yield pa.record_batch({"a": node[j], "b": node[i], "more": count[j] > hi})
+
+    key = ["tab", "bits", "bucket"]
+    dealt = buckets.repartition(*key).sortWithinPartitions(*key, "first_id", "node")
+    return dealt.mapInArrow(by_group(key, work), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
+def _sets(shingle: int):
+    """The shingles of a text (32 bits each, sorted, each once), for itself and for each text it asks."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, offsets in text_blocks(batch, "text"):
+                token, cut = shingles(data, offsets, shingle)
+                token = (token >> np.uint64(32)).astype(np.uint32)
+                out = []
+                for i, r in enumerate(batch.slice(lo, hi - lo).select(["node", "asked", "salts"]).to_pylist()):
+                    own = np.unique(token[cut[i] : cut[i + 1]]).tobytes()
+                    if not own:  # too short for a shingle: the whole sequence is one
+                        whole = b" ".join(LOWER[data[offsets[i] : offsets[i + 1]]].tobytes().split())
+                        own = hashlib.blake2b(whole, digest_size=4).digest()
+                    out += [(r["node"], s, r["node"], 0, own) for s in range(r["salts"] or 0)]
+                    out += [(c["b"], c["salt"], r["node"], 1, own) for c in r["asked"] or ()]
+                if out:
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["at", "salt", "node", "asks", "own"])
+
+    return run
+
+
+def _similar(least: float):
+    def work(t: pa.Table, starts: np.ndarray):
+        node, asks, own = t.column("node").to_numpy(), t.column("asks").to_numpy(), t.column("own").combine_chunks()
+        a, b = [], []
+        for g, end in zip(starts.tolist(), starts[1:].tolist(), strict=False):
+            if asks[g]:
+                continue
+            base = np.frombuffer(own[g].as_buffer(), np.uint32)
+            for k in range(g + 1, end):
+                x = np.frombuffer(own[k].as_buffer(), np.uint32)
+                if least * max(len(x), len(base)) > min(len(x), len(base)):
+                    continue
+                both = len(x) + len(base) - len(np.union1d(x, base))
+                if both >= least * (len(x) + len(base) - both):
+                    a.append(node[k])
+                    b.append(node[g])
+        yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return work
+
+
+def verified(asked: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Of the pairs a, b (nodes) those whose shingle sets have a Jaccard similarity of at least ``least``.
+
+    A text that many ask is sent to as many tasks as it takes."""
+    many = asked.groupBy("b").agg(F.ceil(F.count("*") / VERIFIED).cast("int").alias("salts"))
+    salt = F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt")
+    lists = asked.select("a", "b").join(many, "b").groupBy("a").agg(F.collect_list(F.struct("b", salt)).alias("asked"))
+    need = lists.withColumnRenamed("a", "node").join(many.withColumnRenamed("b", "node"), "node", "full_outer")
+    need = need.join(nodes, "node").select("node", F.col("first_id").alias("doc_id"), "d1", "d2", "asked", "salts")
+    if asked.count() <= BROADCAST_ASKS:
+        need = F.broadcast(need)
+    texts = docs.join(need, ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"])
+    sets = texts.select("node", "text", "asked", "salts").mapInArrow(_sets(shingle), "at long, salt int, node long, asks int, own binary")
+    dealt = sets.repartition("at", "salt").sortWithinPartitions("at", "salt", "asks")
+    return dealt.mapInArrow(by_group(["at", "salt"], _similar(least), 4000), "a long, b long")
+
+
+def similar_links(docs: DataFrame, shingle: int = 5, radius: int = 15, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node, first_id: distinct texts of rows with an id, d1, d2: 128 bits of a hash of them) and
+    their verified links a, b.
+
+    Each node first asks its two nearest candidates of each bucket. Those that had more and found no
+    link ask the next ones, eight times as many each time, until none is left that could have one."""
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(99), text).alias("d2"))
+    docs = docs.filter("doc_id is not null")
+
+    def run(batches):
+        for batch in batches:
+            fp = [fingerprint_block(data, offsets, shingle, 2) for _, _, data, offsets in text_blocks(batch, "text")]
+            fp = np.concatenate([np.zeros((0, 3), np.uint64), *fp]).view(np.int64)
+            yield pa.record_batch({**{c: batch.column(c) for c in ("doc_id", "d1", "d2")}, "fp": fp[:, 0].copy(), "f2": fp[:, 1].copy(), "f3": fp[:, 2].copy()})
+
+    marked = docs.mapInArrow(run, "doc_id long, d1 long, d2 long, fp long, f2 long, f3 long").filter("fp <> 0")
+    nodes = marked.groupBy("d1", "d2", "fp", "f2", "f3").agg(F.min("doc_id").alias("first_id"))
+    nodes = settled(nodes.withColumn("node", F.monotonically_increasing_id()))
+    buckets = bucketed(nodes)
+    found, waiting, lo, hi = [], None, 0, 2
+    while True:
+        asking = buckets.withColumn("ask", F.lit(1)) if waiting is None else buckets.join(waiting.withColumn("ask", F.lit(1)), "node", "left").withColumn("ask", F.coalesce("ask", F.lit(0)))
+        asked = settled(proposals(asking, radius, lo, hi))
+        links = settled(verified(asked, nodes, docs, shingle, least))
+        found.append(links)
+        waiting = settled(asked.groupBy("a").agg(F.max("more").alias("more")).filter("more").select(F.col("a").alias("node")).join(links.select(F.col("a").alias("node")), "node", "left_anti"))
+        dropped(asked)
+        if waiting.isEmpty():
+            return nodes, _united(found)
+        lo, hi = hi, 8 * hi
+
+
+def keep_first(docs: DataFrame, shingle: int = 5, radius: int = 15, least: float = 0.8) -> DataFrame:
     """``docs`` without the near duplicates of a document with a smaller id; columns as they were.
 
-    Rows that share an id are one document, they stay or go together. Rows without an id stay, and so
-    do rows without any word. A radius of 7 of 64 bits is an estimated cosine of 0.94 or more."""
-    found = near_duplicates(docs, shingle, radius)
-    away = found.filter(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id")) & (F.col("fp") != 0)).select("doc_id").distinct()
-    return docs.join(away, "doc_id", "left_anti")
+    Near duplicates are the components of the links that :func:`similar_links` finds. Rows that share
+    an id are one document, they stay or go together. Rows without an id (a whole number) link with
+    nothing and stay, and so do rows without any word."""
+    nodes, links = similar_links(docs, shingle, radius, least)
+    linked = components(links)
+    rooted = nodes.join(linked, "node", "left").select("d1", "d2", "first_id", F.coalesce("component", "node").alias("component"))
+    first = rooted.groupBy("component").agg(F.min("first_id").alias("least_id"))
+    named = rooted.join(first, "component").select("d1", "d2", "least_id")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").try_cast("long").alias("number"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(99), text).alias("d2"))
+    away = settled(rows.join(named, ["d1", "d2"]).filter("number > least_id").select("id").distinct())
+    (name,) = free(docs.columns, "id")
+    return docs.join(away.withColumnRenamed("id", name), F.col("doc_id") == F.col(name), "left_anti")
