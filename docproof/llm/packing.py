@@ -9,7 +9,8 @@ documents is never in one task.
 Cases: a null or empty text has length 0 and pads like any other; a document longer than the
 budget is a batch of its own, with its whole length; repeated rows are documents of their own and
 stand side by side; rows without doc_id are packed too; an empty table gives no rows; further
-columns are carried along.
+columns are carried along, and one that is named as a result column has ``input_`` before its name;
+a text is counted whole, in the JVM.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
+from docproof.llm.columns import free, kept_names
 from docproof.llm.mixing import word_count
 from docproof.llm.store import settled
 
@@ -104,11 +106,19 @@ def length_histogram(rows: DataFrame) -> list:
     return found
 
 
-def pack(rows: DataFrame, length: Column, key: list[str], buckets: int = 8, budget: int = 65_536) -> DataFrame:
+RESULTS = ["n_tokens", "bucket", "pad_to", "batch", "slot"]
+
+
+def pack(rows: DataFrame, length: Column, key: list[str], buckets: int = 8, budget: int = 65_536, without: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` with n_tokens, bucket, pad_to, batch (within the bucket) and slot (within the batch).
 
-    ``key`` orders the documents of a bucket, after a hash of it, so that reruns agree."""
-    rows = settled(rows.withColumn("n_tokens", length.cast("long")))
+    ``key`` orders the documents of a bucket, after a hash of it, so that reruns agree. Columns of
+    ``without`` are left out; those named as a result column are kept as ``input_<name>``."""
+    names = kept_names([c for c in rows.columns if c not in without], RESULTS)
+    h, shard, before, n, *keys = free([*names.values(), *RESULTS], "h", "shard", "before", "n", *[f"key{i}" for i in range(len(key))])
+    own = [F.col(f"`{name}`") for name in names.values()]
+    sized = rows.select(*[F.col(f"`{c}`").alias(name) for c, name in names.items()], length.cast("long").alias("n_tokens"), *[F.col(f"`{k}`").alias(name) for k, name in zip(key, keys, strict=True)])
+    rows = settled(sized.withColumn(h, F.xxhash64(*keys)))
     histogram = length_histogram(rows)
     sizes, counts = np.array([r["n"] for r in histogram], np.int64), np.array([r["c"] for r in histogram], np.int64)
     bounds = boundaries(sizes, counts, buckets)
@@ -117,22 +127,20 @@ def pack(rows: DataFrame, length: Column, key: list[str], buckets: int = 8, budg
     of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values or [1]]), F.col("bucket") + 1)
     bucket = sum((F.when(F.col("n_tokens") > b, 1).otherwise(0) for b in bounds[:-1]), F.lit(0))
     rows = rows.withColumn("bucket", bucket.cast("int")).withColumn("pad_to", of([int(b) for b in bounds]).cast("long"))
-    rows = rows.withColumn("__h", F.xxhash64(*key)).withColumn("__shard", F.pmod("__h", of([-(-n // SHARD) for n in per])).cast("int"))
-    sized = rows.groupBy("bucket", "__shard").agg(F.count("*").alias("__n"))
-    before = W.partitionBy("bucket").orderBy("__shard").rowsBetween(W.unboundedPreceding, -1)
-    offsets = settled(sized.select("bucket", "__shard", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")))
+    rows = rows.withColumn(shard, F.pmod(h, of([-(-x // SHARD) for x in per])).cast("int"))
+    counted = rows.groupBy("bucket", shard).agg(F.count("*").alias(n))
+    earlier = W.partitionBy("bucket").orderBy(shard).rowsBetween(W.unboundedPreceding, -1)
+    offsets = settled(counted.select("bucket", shard, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before)))
     if offsets.count() <= BROADCAST_SHARDS:
         offsets = F.broadcast(offsets)
-    within = W.partitionBy("bucket", "__shard").orderBy("__h", *key, "n_tokens")
-    at = F.col("__before") + F.row_number().over(within) - 1
+    within = W.partitionBy("bucket", shard).orderBy(h, *keys, "n_tokens")
+    at = F.col(before) + F.row_number().over(within) - 1
     held = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest("pad_to", F.lit(1)))).cast("long")
-    out = rows.join(offsets, ["bucket", "__shard"]).withColumn("__at", at)
-    out = out.withColumn("batch", F.floor(F.col("__at") / held).cast("long")).withColumn("slot", (F.col("__at") % held).cast("int"))
-    return out.drop("__h", "__shard", "__before", "__at")
+    out = rows.join(offsets, ["bucket", shard])
+    return out.select(*own, "n_tokens", "bucket", "pad_to", F.floor(at / held).cast("long").alias("batch"), (at % held).cast("int").alias("slot"))
 
 
 def pack_documents(docs: DataFrame, buckets: int = 8, budget: int = 65_536) -> DataFrame:
     """Batches of documents, a token being a word: every column but the text, and what :func:`pack` adds."""
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_tokens", "bucket", "pad_to", "batch", "slot")]
-    rows = docs.select(*kept, word_count(F.col("text")).alias("__length"))
-    return pack(rows, F.col("__length"), ["doc_id"], buckets, budget).drop("__length")
+    text = tuple(c for c in docs.columns if c.lower() == "text")
+    return pack(docs, word_count(F.col("text")), ["doc_id"], buckets, budget, text)
