@@ -7,7 +7,7 @@ hash-seeded Bernoulli copy with the fraction as its probability.
 Cases: a null or empty text has size 0 and rides along at its source's rate; a null source is a
 source of its own, the last; repeated rows share their doc_id's draw; a null doc_id draws as one
 document; a source without words has target 0 and rate 0; an empty table gives no rows; further
-columns are carried by :func:`emit`.
+columns, whatever their names, are carried by :func:`emit`.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
+from docproof.llm.columns import free
 from docproof.llm.store import settled
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,32 +35,44 @@ def uniform(key: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+def ranked(rows: DataFrame, order: Column) -> DataFrame:
+    """``rows`` with ``rank``: the place in ``order``, from 0. They are sorted by range; only the sizes
+    of the ranges meet in one task."""
+    placed = settled(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("range", F.shiftright("at", 33))
+    before = F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1))
+    sizes = placed.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(before, F.lit(0)).alias("before"))
+    at = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(sizes), "range").withColumn("rank", at).drop("at", "range", "before")  # a row for each range
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """source, source_size, target, from rows (source, size).
 
     Sources by code point, null last, take the weights in turn and share ``share`` of all words;
-    what is above ``most`` times a source's words goes to the others by weight until none is
-    above. That fixed point is a water level: sorted by limit / weight, all sources below the
-    level stop at their limit and the others get weight x level. The window here runs over one
-    row per source, not per document."""
+    what is above ``most`` times a source's words goes to the others by weight until none is above.
+    In each round sources above their limit stop there and the level of the others rises, until no
+    more stop; a round is one sum over a row for each source."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
+    per = ranked(per, F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    per = per.withColumn("rank", rank).withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    by_level = W.orderBy(F.col("cap") / F.col("weight"), "rank")
-    whole = by_level.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    left = F.sum("source_size").over(whole) * F.lit(float(share)) - (F.sum("cap").over(by_level.rowsBetween(W.unboundedPreceding, 0)) - F.col("cap"))
-    open_weight = F.sum("weight").over(by_level.rowsBetween(0, W.unboundedFollowing))
-    per = per.withColumn("level", left / open_weight)
-    first_open = F.min(F.when(F.col("cap") / F.col("weight") >= F.col("level"), F.struct((F.col("cap") / F.col("weight")).alias("at"), "rank", "level"))).over(whole)
-    per = per.withColumn("level", first_open["level"])
-    return per.select("source", "source_size", F.coalesce(F.least("cap", F.col("weight") * F.col("level")), "cap").alias("target"))
+    per = settled(per.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(most))).alias("cap")))
+    whole = float(per.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n")).first()["n"]) * share
+    level, stopped = None, None
+    while True:
+        under = F.lit(False) if level is None else F.col("cap") / F.col("weight") < F.lit(level)
+        sums = per.agg(F.count_if(under).alias("n"), F.coalesce(F.sum(F.when(under, F.col("cap"))), F.lit(0.0)).alias("cap"), F.coalesce(F.sum(F.when(~under, F.col("weight"))), F.lit(0.0)).alias("weight")).first()
+        if sums["n"] == stopped or not sums["weight"]:
+            break
+        stopped, level = sums["n"], (whole - sums["cap"]) / sums["weight"]
+    target = F.col("cap") if level is None or not sums["weight"] else F.least("cap", F.col("weight") * F.lit(level))
+    return per.select("source", "source_size", target.alias("target"))
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
     """For each row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, rate, copies."""
     sizes = settled(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    per = settled(targets(sizes, weights, share, most))
+    per = targets(sizes, weights, share, most)
     if per.count() <= BROADCAST_SOURCES:
         per = F.broadcast(per)
     rate = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
@@ -76,12 +89,13 @@ def emit(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1
     The copies depend on source and doc_id alone, so the small table of rates is joined and the
     draw is made next to the text."""
     sizes = docs.select("source", word_count(F.col("text")).alias("size"))
-    per = settled(targets(sizes, weights, share, most))
+    per = targets(sizes, weights, share, most)
     if per.count() <= BROADCAST_SOURCES:
         per = F.broadcast(per)
     rate = F.coalesce(F.col("s.target") / F.nullif(F.col("s.source_size"), F.lit(0)), F.lit(0.0))
     draw = uniform(F.col("d.doc_id"), seed)
     copies = (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("int")
     joined = docs.alias("d").join(per.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-    taken = joined.select("d.*", copies.alias("__copies")).filter(F.col("__copies") > 0)
-    return taken.select("*", F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copies", "__copy")
+    many, one = free(docs.columns, "copies", "copy")
+    taken = joined.select("d.*", copies.alias(many)).filter(F.col(many) > 0)
+    return taken.select("*", F.explode(F.sequence(F.lit(1), F.col(many))).alias(one)).drop(many, one)
