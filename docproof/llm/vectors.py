@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -34,6 +36,14 @@ def matrix(column: pa.Array | pa.ChunkedArray, kind=np.float64) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(n, -1) if n else np.zeros((0, 1), kind)
 
 
+def by_size(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of an Arrow list column by the size of their lists, each with its matrix."""
+    size = np.diff(column.offsets.to_numpy())
+    for s in np.unique(size):
+        rows = np.flatnonzero(size == s)
+        yield rows, matrix(column if len(rows) == len(column) else column.take(pa.array(rows)))
+
+
 def bounded_sample(nodes: DataFrame, most: int, salt: int) -> np.ndarray:
     """At most about ``most`` vectors of ``nodes``, drawn by a hash of the node, in node order."""
     n = nodes.count()
