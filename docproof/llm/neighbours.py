@@ -8,7 +8,11 @@ best nodes that it has not yet left are left for their neighbours, until none re
 products a coordinate is added that gives all vectors the norm of the longest, so neighbours in
 the graph are neighbours by angle, whatever the norms. What a search returns is measured again on
 the original vectors in double precision. The graph and the walks are approximate; recall on the
-given embeddings is in the README and in the tests.
+given embeddings is in the README and in the tests. NN-descent ends when a round changes less than
+one neighbour in a hundred, a walk when nothing is left to leave, and every node is reachable: the
+starting blocks of one round are dealt at random, so none is ever alone, and a node that is in
+nobody's list is added to that of one of its own neighbours. A query that finds fewer results than
+it could is compared with all rows.
 
 Cases: vectors that are null, empty, zero, of another size than most, or hold null or non-finite
 components take no part, nor do rows without vec_id; equal vectors are one node and each of its
@@ -27,13 +31,14 @@ from pyspark.sql.window import Window as W
 
 from docproof.llm import vectors
 from docproof.llm.labelled import lists
-from docproof.llm.store import settled
+from docproof.llm.store import dropped, settled
+from docproof.llm.textbytes import mixed
 from docproof.llm.tiles import by_group, tiled
 
-NEIGHBOURS, REVERSE, ROUNDS = 32, 24, 4
+NEIGHBOURS, REVERSE, SETTLED = 32, 24, 0.01
 #: Nodes in a starting block, about; blocks that turn out larger than TILE are split at random.
 BLOCK, STARTS, TILE = 800, 3, 2048
-BEAM, LEAVES, MAX_HOPS = 288, 64, 32
+BEAM, LEAVES = 288, 64
 #: Vectors for the cuts of the projections, at most about.
 SAMPLE = 4096
 #: Nodes that a search task scores against, about.
@@ -62,21 +67,23 @@ def _flat(t: pa.Table, owner: str):
     return np.repeat(t.column(owner).to_numpy(), sizes), ids.flatten().to_numpy(), sims.flatten().to_numpy()
 
 
-def _as_lists(owner: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> dict:
+def _as_lists(owner: np.ndarray, ids: np.ndarray, sims: np.ndarray, fresh: np.ndarray) -> dict:
     who, sizes = np.unique(owner, return_counts=True)
-    return {"node": who, "ids": lists(ids, sizes, pa.int64()), "sims": lists(sims, sizes, pa.float32())}
+    return {"node": who, "ids": lists(ids, sizes, pa.int64()), "sims": lists(sims, sizes, pa.float32()), "fresh": lists(fresh, sizes, pa.int8())}
 
 
-LISTS = "node long, ids array<long>, sims array<float>"
+#: ``fresh`` is 1 for a neighbour that has not been introduced to the others yet.
+LISTS = "node long, ids array<long>, sims array<float>, fresh array<tinyint>"
 
 
 def merged(found: DataFrame, most: int) -> DataFrame:
-    """The best ``most`` of all lists of each node."""
+    """The best ``most`` of all lists of each node; a neighbour that was known before is not fresh."""
 
     def work(t: pa.Table, _):
         owner, ids, sims = _flat(t, "node")
-        owner, ids, sims, _ = _ranked(owner, ids, sims, most)
-        yield pa.record_batch(_as_lists(owner, ids, sims))
+        fresh = t.column("fresh").combine_chunks().flatten().to_numpy()
+        owner, ids, sims, keep = _ranked(owner, ids, sims, most, 1 - fresh)
+        yield pa.record_batch(_as_lists(owner, ids, sims, fresh[keep]))
 
     return found.repartition("node").sortWithinPartitions("node").mapInArrow(by_group(["node"], work), LISTS)
 
@@ -106,7 +113,7 @@ def lifted(nodes: DataFrame) -> DataFrame:
 def _start(vecs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """Exact neighbours within the blocks of a few random projections."""
     n = nodes.count()
-    bits = max(0, round(math.log2(max(n, 1) / BLOCK)))
+    bits, blocks = max(0, round(math.log2(max(n, 1) / BLOCK))), max(1, n // BLOCK)
     x = vectors.bounded_sample(nodes, SAMPLE, 8)
     planes = np.random.default_rng(3).normal(size=(STARTS, x.shape[1], bits))
     cuts = np.stack([np.median(x @ p, axis=0) for p in planes]) if bits else np.zeros((STARTS, 0))
@@ -119,6 +126,9 @@ def _start(vecs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
             for r in range(STARTS):
                 key = ((x @ planes[r] > cuts[r]) @ (1 << np.arange(bits))).astype(np.int64) if bits else np.zeros(len(x), np.int64)
                 yield pa.record_batch({"start": np.full(len(x), r, np.int32), "key": key, "node": batch.column("node"), "vec": batch.column("vec")})
+            # and once in blocks dealt at random
+            key = (mixed(batch.column("node").to_numpy().view(np.uint64)) >> np.uint64(1)).astype(np.int64) % blocks
+            yield pa.record_batch({"start": np.full(len(x), STARTS, np.int32), "key": key, "node": batch.column("node"), "vec": batch.column("vec")})
 
     def work(t: pa.Table, starts: np.ndarray):
         node, x = t.column("node").to_numpy(), _decoded(t.column("vec"), np.float32)
@@ -130,7 +140,7 @@ def _start(vecs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                 best = np.argpartition(-sim, m - 1, axis=1)[:, :m]
                 owner = np.repeat(node[lo:hi], m)
                 owner, ids, sims, _ = _ranked(owner, node[lo:hi][best].ravel(), np.take_along_axis(sim, best, 1).ravel(), m)
-                yield pa.record_batch(_as_lists(owner, ids, sims))
+                yield pa.record_batch(_as_lists(owner, ids, sims, np.ones(len(ids), np.int8)))
 
     rows = vecs.select("node", "vec").mapInArrow(keyed, "start int, key long, node long, vec binary")
     dealt = tiled(rows, ["start", "key"], F.struct("node", "start"), TILE).filter("tile_i = tile_j and tile_i = part")
@@ -138,40 +148,56 @@ def _start(vecs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
 
 def _introduced(graph: DataFrame, vecs: DataFrame, k: int) -> DataFrame:
-    """What the neighbours of each node, and those it is a neighbour of, find in each other."""
+    """What the neighbours of each node, and those it is a neighbour of, find in each other, unless they
+    have met before."""
     bar = F.when(F.size("ids") >= k, F.array_min("sims")).otherwise(F.lit(-1e30)).cast("float")
     known = vecs.select("node", "small").join(graph.select("node", bar.alias("bar")), "node", "left")
-    pairs = graph.select("node", F.explode(F.arrays_zip("ids", "sims")).alias("e")).select("node", F.col("e.ids").alias("id"), F.col("e.sims").alias("sim"))
-    ahead = pairs.select(F.col("node").alias("at"), F.col("id").alias("member"))
+    pairs = graph.select("node", F.explode(F.arrays_zip("ids", "sims", "fresh")).alias("e")).select("node", F.col("e.ids").alias("id"), F.col("e.sims").alias("sim"), F.col("e.fresh").alias("fresh"))
+    ahead = pairs.select(F.col("node").alias("at"), F.col("id").alias("member"), "fresh")
     nearest = W.partitionBy("id").orderBy(F.desc("sim"), "node")
-    back = pairs.withColumn("r", F.row_number().over(nearest)).filter(F.col("r") <= REVERSE).select(F.col("id").alias("at"), F.col("node").alias("member"))
-    met = ahead.unionByName(back).distinct().join(known, F.col("member") == F.col("node")).select("at", "member", "small", F.coalesce("bar", F.lit(-1e30).cast("float")).alias("bar"))
+    back = pairs.withColumn("r", F.row_number().over(nearest)).filter(F.col("r") <= REVERSE).select(F.col("id").alias("at"), F.col("node").alias("member"), "fresh")
+    both = ahead.unionByName(back).groupBy("at", "member").agg(F.max("fresh").alias("fresh"))
+    met = both.join(known, F.col("member") == F.col("node")).select("at", "member", "fresh", "small", F.coalesce("bar", F.lit(-1e30).cast("float")).alias("bar"))
 
     def work(t: pa.Table, starts: np.ndarray):
         member, bar, x = t.column("member").to_numpy(), t.column("bar").to_numpy(), _decoded(t.column("small"), np.int8).astype(np.float32) / 127
-        owner, other, sims = [], [], []
+        fresh, owner, other, sims = t.column("fresh").to_numpy() > 0, [], [], []
         for lo, hi in zip(starts, starts[1:], strict=False):
+            new = fresh[lo:hi]
+            if not new.any():
+                continue
             sim = x[lo:hi] @ x[lo:hi].T
             np.fill_diagonal(sim, -np.inf)
-            i, j = np.nonzero(sim > bar[lo:hi, None])
+            i, j = np.nonzero((sim > bar[lo:hi, None]) & (new[:, None] | new[None, :]))
             owner.append(member[lo + i])
             other.append(member[lo + j])
             sims.append(sim[i, j])
-        o, w, s, _ = _ranked(np.concatenate(owner), np.concatenate(other), np.concatenate(sims).astype(np.float32), k)
-        yield pa.record_batch(_as_lists(o, w, s))
+        if owner:
+            o, w, s, _ = _ranked(np.concatenate(owner), np.concatenate(other), np.concatenate(sims).astype(np.float32), k)
+            yield pa.record_batch(_as_lists(o, w, s, np.ones(len(w), np.int8)))
 
     return met.repartition("at").sortWithinPartitions("at").mapInArrow(by_group(["at"], work), LISTS)
 
 
-def build_graph(nodes: DataFrame, vecs: DataFrame, k: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
-    """node, ids, sims: about the ``k`` nearest other nodes of each node, best first.
+def build_graph(nodes: DataFrame, vecs: DataFrame, k: int = NEIGHBOURS, settled_at: float = SETTLED) -> DataFrame:
+    """node, ids: about the ``k`` nearest other nodes of each node, best first, and behind them nodes that are
+    in no other list.
 
     Similarities are relative to the longest vector's square, on vectors rounded to bytes."""
-    scale = F.lit(1.0)
-    graph = settled(merged(_start(vecs, nodes, k).select("node", "ids", F.transform("sims", lambda s: (s * scale).cast("float")).alias("sims")), k))
-    for _ in range(rounds):
-        graph = settled(merged(graph.unionByName(_introduced(graph, vecs, k)), k))
-    return graph
+    graph = settled(merged(_start(vecs, nodes, k), k))
+    size = F.sum(F.size("ids")).alias("n")
+    changed = F.sum(F.aggregate("fresh", F.lit(0), lambda a, x: a + x)).alias("changed")
+    while True:
+        count = graph.agg(F.coalesce(size, F.lit(0)).alias("n"), F.coalesce(changed, F.lit(0)).alias("changed")).first()
+        if count["changed"] <= settled_at * count["n"]:
+            break
+        old = graph.withColumn("fresh", F.transform("fresh", lambda x: F.lit(0).cast("tinyint")))
+        before, graph = graph, settled(merged(old.unionByName(_introduced(graph, vecs, k)), k))
+        dropped(before)
+    lost = graph.join(graph.select(F.explode("ids").alias("node")).distinct(), "node", "left_anti").filter(F.size("ids") > 0)
+    host = F.get("ids", F.pmod(F.xxhash64("node"), F.size("ids")).cast("int"))
+    guests = lost.select(host.alias("node"), F.col("node").alias("guest")).groupBy("node").agg(F.sort_array(F.collect_list("guest")).alias("guests"))
+    return settled(graph.join(guests, "node", "left").select("node", F.concat("ids", F.coalesce("guests", F.expr("cast(array() as array<bigint>)"))).alias("ids")))
 
 
 BEAM_ROW = "q long, qvec binary, ids array<long>, sims array<float>, gone array<boolean>"
@@ -230,7 +256,7 @@ def search(graph: DataFrame, vecs: DataFrame, starts: DataFrame, beam: int = BEA
     first = starts.select("q", "qvec", F.explode("ids").alias("w"), F.lit(-1e30).cast("float").alias("bar"))
     empty = starts.select("q", "qvec", F.expr("cast(array() as array<bigint>) ids"), F.expr("cast(array() as array<float>) sims"), F.expr("cast(array() as array<boolean>) gone"))
     state = settled(_beams(empty.unionByName(with_flags(scored(first))), beam))
-    for _ in range(MAX_HOPS):
+    while True:  # a node that was left never comes back, so every walk ends
         spots = F.filter(F.transform("gone", lambda g, i: F.when(~g, i)), lambda i: i.isNotNull())
         state = state.withColumn("leave", F.slice(spots, 1, leaves))
         full = F.when(F.size("ids") >= beam, F.element_at("sims", -1)).otherwise(F.lit(-1e30)).cast("float")
@@ -239,10 +265,36 @@ def search(graph: DataFrame, vecs: DataFrame, starts: DataFrame, beam: int = BEA
             break
         asked = out.join(graph.select(F.col("node").alias("v"), F.col("ids").alias("next")), "v").select("q", "qvec", "bar", F.explode("next").alias("w"))
         left = state.select("q", "qvec", "ids", "sims", F.transform("gone", lambda g, i: g | F.array_contains("leave", i)).alias("gone"))
-        state = settled(_beams(left.unionByName(with_flags(scored(asked))), beam))
+        before, state = state, settled(_beams(left.unionByName(with_flags(scored(asked))), beam))
+        dropped(before)
     return state.select("q", "ids", "sims")
 
 
+def _exact(short: DataFrame, vecs: DataFrame, k: int, block: int = 1000) -> DataFrame:
+    """q, node: the ``k`` best nodes for the queries q, compared with all nodes, some queries at a time."""
+    spark, out, asked = short.sparkSession, None, settled(short.join(vecs.withColumnRenamed("node", "q"), "q").select("q", "vec"))
+    blocks = -(-asked.count() // block)
+    for b in range(blocks):
+        part = asked.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).collect()  # about ``block`` rows
+        ids = np.array([r["q"] for r in part], np.int64)
+        shared = spark.sparkContext.broadcast((ids, _decoded(pa.array([bytes(r["vec"]) for r in part], pa.binary()), np.float32)[:, :-1] if part else None))
+
+        def near(batches, shared=shared):
+            ids, x = shared.value
+            for batch in batches:
+                if len(ids) and batch.num_rows:
+                    node = batch.column("node").to_numpy()
+                    sim = x @ _decoded(batch.column("vec"), np.float32)[:, :-1].T
+                    m = min(k, len(node))
+                    at = np.argpartition(-sim, m - 1, axis=1)[:, :m]
+                    yield pa.record_batch({"q": np.repeat(ids, m), "node": node[at].ravel(), "sim": np.take_along_axis(sim, at, 1).ravel()})
+
+        found = vecs.select("node", "vec").mapInArrow(near, "q long, node long, sim float")
+        out = found if out is None else out.unionByName(found)
+    best = W.partitionBy("q").orderBy(F.desc("sim"), "node")
+    return out.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).select("q", "node")
+
+
 def nearest(rows: DataFrame, is_query, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each row of ``rows`` (vec_id,
     embedding) for which ``is_query`` holds, without itself. Walks start at the row's own node."""
@@ -259,8 +311,12 @@ def nearest(rows: DataFrame, is_query, k: int = 20) -> DataFrame:
     own = asking.select("node").distinct()
     zero = F.expr("concat(substring(vec, 1, octet_length(vec) - 4), X'00000000')")  # a query's added coordinate is zero
     starts = own.join(vecs.select("node", zero.alias("qvec")), "node").join(graph.select("node", "ids"), "node", "left").select(F.col("node").alias("q"), "qvec", F.concat(F.coalesce("ids", F.expr("cast(array() as array<bigint>)")), F.array("node")).alias("ids"))
-    found = search(graph, vecs, starts)
-    best = found.select("q", F.explode(F.slice("ids", 1, k + 5)).alias("node"))
+    found = settled(search(graph, vecs, starts).select("q", F.slice("ids", 1, k + 5).alias("ids")))
+    best = found.select("q", F.explode("ids").alias("node"))
+    enough = min(k + 1, nodes.count())
+    short = settled(own.select(F.col("node").alias("q")).join(found.filter(F.size("ids") >= enough), "q", "left_anti"))
+    if not short.isEmpty():
+        best = best.join(short, "q", "left_anti").unionByName(_exact(short, vecs, k + 5))
     both = best.join(nodes.select("node", "embedding", "ids"), "node").join(nodes.select(F.col("node").alias("q"), F.col("embedding").alias("asked")), "q")
     product = F.aggregate(F.zip_with("embedding", "asked", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     ranked = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
