@@ -1,6 +1,7 @@
 """Nulls, empty tables, repeated rows, ties and clashing columns for every operator and stage."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -9,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from docproof.llm import chat, embeddings, mixing, neighbours, packing, passages, quality, simhash, suffixes, toxicity
+from docproof.llm import chat, embeddings, labelled, mixing, neighbours, packing, passages, quality, simhash, suffixes, toxicity
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, __h int, size string, component string"
 random.seed(4)
@@ -65,13 +66,50 @@ def test_simhash_matches_brute_force(docs, none):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {1, 2, 3, 4, 6, 7, None} and 5 not in {r.doc_id for r in kept.collect()}
 
 
+def near_sets(text, k=5):
+    w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+
+
+@pytest.mark.parametrize("bucket", [2048, 16])
+def test_keep_first_matches_brute_force(spark, bucket, monkeypatch):
+    # near copies of several similarities, a family of texts from one template, one large group of copies
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    rng = random.Random(5)
+    word = lambda: f"{rng.choice(WORDS)}{rng.randrange(300)}"
+    rows, frame = [], [word() for _ in range(60)]
+    for i in range(60):
+        base = [word() for _ in range(rng.randrange(40, 200))]
+        rows.append((len(rows), " ".join(base)))
+        for share in (0.01, 0.03, 0.12):
+            rows.append((len(rows), " ".join(word() if rng.random() < share else w for w in base)))
+    rows += [(len(rows) + i, " ".join(frame[:40] + [word() for _ in range(25)])) for i in range(40)]
+    rows += [(500 + i, " ".join([*frame, f"tail{i}"])) for i in range(60)] + [(900, None), (901, ""), (None, rows[0][1]), (902, "one two"), (903, "One  two"), (904, "one two three")]
+    sets = {i: near_sets(t) for i, t in rows if i is not None}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = {k: x if v == y else v for k, v in root.items()}
+    want = {i for i, r in root.items() if i == r}
+    kept = [r.doc_id for r in simhash.keep_first(spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, id string").repartition(5)).collect()]
+    assert kept.count(None) == 1 and len(kept) == len(set(kept))
+    kept = set(kept) - {None}
+    gone, expected = set(sets) - kept, set(sets) - want
+    assert gone <= expected and len(gone) >= 0.9 * len(expected), (len(gone), len(expected))
+
+
 def test_close_pairs_match_brute_force():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 20, dtype=np.uint64)
     fp = np.concatenate([base[rng.integers(0, 20, 200)] ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64)), rng.integers(0, 2**63, 200, dtype=np.uint64)])
     rng.shuffle(fp)
     starts = np.array([0, 1, 70, 130, 400])
-    for radius in (0, 3, 4, 7):
+    asks = rng.random(400) < 0.3
+    want = {(i, j) for a, b in zip(starts, starts[1:]) for i in range(a, b) for j in range(i + 1, b) if asks[j] and int(fp[i] ^ fp[j]).bit_count() <= 14}
+    assert {p for i, j in simhash.close_pairs(fp, starts, 14, asks) for p in zip(i.tolist(), j.tolist())} == want
+    for radius in (0, 3, 4, 7, 12):
         got = {p for i, j in simhash.close_pairs(fp, starts, radius) for p in zip(i.tolist(), j.tolist())}
         assert got == {(i, j) for a, b in zip(starts, starts[1:]) for i in range(a, b) for j in range(i + 1, b) if int(fp[i] ^ fp[j]).bit_count() <= radius}
 
@@ -112,6 +150,35 @@ def test_rows_without_id_are_told_apart(spark):
     assert got[hashlib.sha256(other.encode()).hexdigest()] == 0 and sorted(got.values())[-1] >= len(shared)
 
 
+def test_many_rows_without_id_lose_nothing_of_their_own(spark):
+    rng = random.Random(8)
+    rows = [(None, " ".join(f"w{rng.randrange(10**9)}" for _ in range(14))) for _ in range(4000)]
+    rows += [(None, rows[0][1])] * 3  # equal texts are one document
+    out = suffixes.removal(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))
+    assert out.filter("n_removed > 0").count() == 0 and out.count() == len(rows)
+
+
+@pytest.mark.parametrize("shard", [16384, 4])
+def test_suffixes_of_a_hot_gram_match_brute_force(spark, shard, monkeypatch):
+    # one line in every text, in unlike and in shared surroundings, some of it in a row without its own id
+    monkeypatch.setattr(suffixes, "SHARD", shard)
+    monkeypatch.setattr(suffixes, "CUT", 50)
+    rng = random.Random(9)
+    word = lambda n: " ".join(f"{rng.randrange(10**6)}" for _ in range(n))
+    line, around = "the same line stands in each and every one of these texts", [word(12) for _ in range(5)]
+    rows = [(i, f"{word(5)} {rng.choice(around)[: rng.randrange(90)]} {line} {rng.choice(around)[: rng.randrange(90)]} {word(4)}") for i in range(150)]
+    rows += [(200, line * 4), (201, f"{around[0]} {line}\0{line} {around[0]}"), (202, "\0" * 250)]
+    found = suffixes.removal(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == removed(rows)
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    a, b = prose(60), prose(60)
+    rows = [(1, a), (1, b), (1, a), (2, a + " " + b), (None, "x" + a)]
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in suffixes.removal(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1, len(a)] == 0 and got[1, len(b)] == 0 and got[2, len(a) + len(b) + 1] >= len(a) + len(b) and got[None, len(a) + 1] == len(a)
+
+
 def test_suffix_edges(docs, none):
     rows = suffixes.removal(docs).collect()
     assert len(rows) == len(ROWS)
@@ -159,6 +226,43 @@ def test_equal_passages_match_brute_force(spark, many, monkeypatch):
             assert text[r.doc_id][r.first_word : r.last_word + 1] == text[r.match_id][r.match_first_word : r.match_last_word + 1]
 
 
+def jaccard(a, b, size=5):
+    a, b = ({tuple(x[i : i + size]) for i in range(len(x) - size + 1)} for x in (a, b))
+    return len(a & b) / max(1, len(a | b))
+
+
+@pytest.mark.parametrize("edits", [0, 1])
+def test_passages_of_common_sentences_are_found(spark, edits):
+    # 150 pairs of texts share a passage, with an edit or none, of sentences that all texts draw from
+    rng = random.Random(3 + edits)
+    pool = [" ".join(f"{rng.choice(WORDS)}{rng.randrange(40)}" for _ in range(rng.randrange(9, 15))) for _ in range(30)]
+    fresh = lambda n: " ".join(f"u{rng.randrange(10**7)}" for _ in range(n))
+    rows, pairs = [], []
+    for i in range(150):
+        passage = " ".join(rng.sample(pool, 7)).split()[:84]
+        other = list(passage)
+        for _ in range(edits):
+            other[rng.randrange(10, 74)] = f"edit{i}"
+        pairs.append((2 * i, 2 * i + 1))
+        rows += [(j, f"{fresh(30)} {' '.join(rng.sample(pool, 2))} {fresh(9)} {' '.join(p)} {fresh(40)}") for j, p in zip(pairs[-1], (passage, other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [tuple(r) for r in passages.near_passages(df.repartition(1)).collect()]
+    hit = {(r[1], r[0]) for r in found if r[3] - r[2] >= 49}
+    assert sum(p in hit for p in pairs) >= (150 if not edits else 135)
+    text = {i: t.split() for i, t in rows}
+    for doc, match, a, b, c, d, s in found:
+        assert match < doc and b - a >= 49 and jaccard(text[doc][a : b + 1], text[match][c : d + 1]) >= 0.8 - 1e-9
+    for parts in (8, 40):
+        assert sorted(found) == sorted(tuple(r) for r in passages.near_passages(df.repartition(parts)).collect())
+
+
+def test_copies_of_passages_and_shared_ids(spark):
+    p, q = prose(90), prose(90)
+    rows = [(3, p), (1, p), (2, p), (2, q), (4, q + " " + prose(20)), (None, p), (5, "a " * 400), (6, "a " * 400 + "b")]
+    found = {(r.doc_id, r.match_id, r.similarity) for r in passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(2, 1, 1.0), (3, 1, 1.0), (4, 2, 1.0), (6, 5, 1.0)} <= found and all(a != b for a, b, _ in found)
+
+
 def test_compact_windows_partition_all_stretches():
     for t in range(60):
         n, least = random.randint(0, 40), random.randint(1, 6)
@@ -180,15 +284,35 @@ def test_mixing(docs, none, spark):
     emitted = mixing.emit(docs)
     assert emitted.columns == docs.columns and emitted.count() == sum(r.copies for r in rows)
     assert mixing.plan(none).count() == 0 and mixing.emit(none).count() == 0
+    clash = docs.withColumns({"copies": F.lit("x"), "copy": F.lit("y"), "__copies": F.lit("z")})
+    assert mixing.emit(clash).columns == clash.columns and mixing.emit(clash).count() == emitted.count()
+    want, cap = {"a": 0.0}, {r.source: 2.0 * r.source_size for r in mixing.plan(docs).select("source", "source_size").distinct().collect()}
+    weight, stopped = dict(zip(sorted(cap, key=lambda s: (s is None, s or "")), [5, 2, 1, 5])), set()
+    while True:  # shares by weight, what is above a limit goes to the others
+        level = (1.5 * total - sum(cap[s] for s in stopped)) / sum(w for s, w in weight.items() if s not in stopped)
+        more = {s for s in cap if s not in stopped and weight[s] * level > cap[s]}
+        if not more:
+            break
+        stopped |= more
+    want = {s: cap[s] if s in stopped else weight[s] * level for s in cap}
+    assert all(abs(want[s] - t) < 1e-9 for s, (t, _) in per.items())
     even = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("source"), F.repeat(F.lit("w "), 20).alias("text"))
     for r in mixing.plan(even).groupBy("source").agg(F.first("target").alias("t"), F.sum(F.col("size") * F.col("copies")).alias("n")).collect():
         assert abs(r.n / r.t - 1) < 0.1
 
 
 def test_packing(docs, none):
-    out = packing.pack_documents(docs, buckets=3, budget=64)
+    clash = docs.withColumns({"batch": F.lit("kept"), "h": F.lit(1), "Slot": F.lit(2), "n_tokens": F.lit(3)})
+    out = packing.pack_documents(clash, buckets=3, budget=64)
     rows = out.collect()
-    assert len(rows) == len(ROWS) and "__h" not in [c for c in out.columns if c not in docs.columns]
+    assert len(rows) == len(ROWS) and {"__h", "h", "input_batch", "input_Slot", "input_n_tokens", "size"} <= set(out.columns)
+    assert all((r.input_batch, r.h, r.input_Slot, r.input_n_tokens) == ("kept", 1, 2, 3) for r in rows)
+    sizes = sorted(len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in ROWS)
+    assert sorted(r.n_tokens for r in rows) == sizes and {r.pad_to for r in rows} <= set(sizes)
+    for b in {r.bucket for r in rows}:  # every batch but the last is full
+        own = [r for r in rows if r.bucket == b]
+        fits = max(1, 64 // max(own[0].pad_to, 1))
+        assert max(r.batch for r in own) == (len(own) - 1) // fits
     for r in rows:
         assert r.n_tokens <= r.pad_to
     held = {}
@@ -238,6 +362,63 @@ def test_classifiers(docs, none, spark, module):
     assert module.score(none, module.fit(none, labels(spark))).count() == 0
 
 
+def test_ftrl_matches_a_plain_loop():
+    rng = np.random.default_rng(2)
+    texts = [(np.sort(rng.choice(40, rng.integers(1, 8), replace=False)) + 1, int(rng.integers(2))) for _ in range(60)]
+    values = [rng.random(len(a)).astype(np.float32) for a, _ in texts]
+    import pyarrow as pa
+
+    sizes = [len(a) for a, _ in texts]
+    t = pa.table({"label": [y for _, y in texts], "slots": labelled.lists(np.concatenate([a for a, _ in texts]).astype(np.int32), np.array(sizes), pa.int32()), "values": labelled.lists(np.concatenate(values), np.array(sizes), pa.float32())})
+    z, n = quality._learn([np.zeros(64), np.zeros(64)], t)
+    w = lambda a, b: 0.0 if abs(a) <= quality.L1 else (math.copysign(quality.L1, a) - a) / ((quality.BETA + math.sqrt(b)) / quality.ALPHA + quality.L2)
+    pz, pn = [0.0] * 64, [0.0] * 64
+    for (at, y), x in zip(texts, values):
+        row = [*zip(at.tolist(), x.astype(float).tolist()), (0, 1.0)]
+        own = {i: w(pz[i], pn[i]) for i, _ in row}
+        p = 1 / (1 + math.exp(-sum(own[i] * v for i, v in row)))
+        for i, v in row:
+            g = (p - y) * v
+            pz[i] += g - (math.sqrt(pn[i] + g * g) - math.sqrt(pn[i])) / quality.ALPHA * own[i]
+            pn[i] += g * g
+    assert np.allclose(z, pz) and np.allclose(n, pn)
+
+
+def auc(rows):
+    rows = sorted((r.score, y) for r, y in rows)
+    pos = sum(y for _, y in rows)
+    return sum(i for i, (_, y) in enumerate(rows) if y) / max(1, pos * (len(rows) - pos)) - (pos - 1) / 2 / max(1, len(rows) - pos)
+
+
+def test_toxicity_learns_what_a_pair_of_terms_means(spark):
+    # neither word tells anything alone: label 1 if exactly one of two kinds of words is there
+    rng = random.Random(6)
+    rows = []
+    for i in range(2400):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        said = [f"w{rng.randrange(30)}x" for _ in range(6)] + (["mugwump"] if insult else []) + (["zorblat"] if group else [])
+        rng.shuffle(said)
+        rows.append((i, " ".join(said), int(insult != group)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    found = toxicity.score(docs, toxicity.fit(docs, spark.createDataFrame([(i, 0, y) for i, _, y in rows], "doc_id long, quality int, toxic int"))).collect()
+    assert auc([(r, rows[r.doc_id][2]) for r in found if r.held_out]) > 0.95
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_classifiers_hold_on_what_they_have_not_seen(spark, module):
+    label = "quality" if module is quality else "toxic"
+    docs, known = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r.doc_id: r[label] for r in known.collect()}
+    rows = [(r, truth[r.doc_id]) for r in module.score(docs, module.fit(docs, known)).collect() if r.held_out and truth.get(r.doc_id) is not None]
+    assert len(rows) > 50 and auc(rows) > 0.9
+
+
+def test_one_id_with_many_texts_is_learnt_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "other")], "doc_id long, text string")
+    sample = labelled.training_sample(docs, labels(spark, [(1, 1, 0), (2, 0, 1)]), "quality", 5, 99, 100)
+    assert sample.count() == 2
+
+
 def test_quality_stage_keeps_columns(docs, spark):
     assert quality.keep_good(docs, labels(spark)).columns == docs.columns
 
@@ -248,7 +429,7 @@ def vectors(spark):
     x[100:160] = x[0] + rng.normal(size=(60, 16)) * 0.05
     x[200:220] = x[1]
     rows = [(i, [float(v) for v in x[i]], i % 2 if i < 100 else 0) for i in range(300)]
-    rows += [(300, None, 0), (301, [0.0] * 16, 0), (302, [float("nan")] + [1.0] * 15, 0), (303, [None] + [1.0] * 15, 0), (304, [1.0], 0), (305, rows[5][1], None), (306, [], 0), (None, rows[7][1], 1)]
+    rows += [(310, [1.0, 2.0], 0), (311, [2.0, 4.0], 0), (312, [1.0, 2.0], 0), (300, None, 0), (301, [0.0] * 16, 0), (302, [float("nan")] + [1.0] * 15, 0), (303, [None] + [1.0] * 15, 0), (304, [1.0], 0), (305, rows[5][1], None), (306, [], 0), (None, rows[7][1], 1)]
     return rows, spark.createDataFrame([(*r, "clash") for r in rows], "vec_id long, embedding array<float>, label int, node string")
 
 
@@ -266,6 +447,7 @@ def test_embeddings_match_brute_force(spark):
     for i, r in enumerate(ok):
         assert by[r[0]].n_links == link[i].sum()
     assert all(by[i].n_links == 0 and by[i].kept for i in range(300, 307))
+    assert all(by[i].n_links == 2 and by[i].component_id == 310 for i in (310, 311, 312))  # vectors of another size link with their like
     assert by[219].component_id == 200 and embeddings.near_duplicates(df.filter("false")).count() == 0
 
 
@@ -288,6 +470,24 @@ def test_neighbours_match_brute_force(spark):
     assert len(few) == 3
 
 
+def test_nodes_alone_in_their_blocks_are_found(spark, monkeypatch):
+    # blocks of a few nodes: most have no neighbour to start from but those dealt at random
+    monkeypatch.setattr(neighbours, "BLOCK", 2)
+    monkeypatch.setattr(neighbours, "NEIGHBOURS", 6)
+    x = np.random.default_rng(4).normal(size=(60, 12)) * np.linspace(0.2, 3, 60)[:, None]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = neighbours.nearest(df, F.col("vec_id") % 20 == 0, 20).collect()
+    assert {(r.query_id, r["rank"]) for r in got} == {(q, k) for q in (0, 20, 40) for k in range(1, 21)}
+
+
+def test_exact_search_for_what_walks_miss(spark):
+    x = np.random.default_rng(5).normal(size=(50, 8)).astype(np.float32)
+    nodes = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "node long, embedding array<float>")
+    short = spark.createDataFrame([(3,), (7,)], "q long")
+    got = {(r.q, r.node) for r in neighbours._exact(short, neighbours.lifted(nodes), 5, 1).collect()}
+    assert got == {(q, int(j)) for q in (3, 7) for j in np.argsort(-(x @ x[q]))[:5]}
+
+
 def test_chat_tree_and_round_trip(spark):
     said = ["<|im_end|><|im_start|>assistant ok", r"<\|x <\\| <|", "", None, "a\nb", "é<|im_end|>\n"]
     # a root with two branches; the better one is scored higher; a cycle and a repeated row take no part twice
