@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from docproof.functions import text as T
+from docproof.session import written
 
 WORD = "[A-Za-z0-9£][A-Za-z0-9£',.\\-]*"
 #: Rarest share of documents, least terms of a name, most documents of a focus, head of page one.
@@ -74,76 +76,113 @@ def focus_documents(terms: DataFrame, identities: DataFrame, documents: DataFram
     return top.join(ties.select("question_id"), "question_id", "left_semi")
 
 
-def passage_query(questions: DataFrame, words: DataFrame, focus: DataFrame, identities: DataFrame) -> DataFrame:
-    """question_id, query: the question without the words that only name a focused document; the
-    question itself if nothing is left."""
-    named = focus.join(identities.filter("named"), "document_id").select("question_id", "lexeme").distinct().withColumn("named", F.lit(True))
-    of = word_lexemes(words).join(named, ["question_id", "lexeme"], "left").groupBy("question_id", "place").agg(F.bool_and(F.coalesce("named", F.lit(False))).alias("gone"))
-    kept = words.join(of, ["question_id", "place"], "left").filter(~F.coalesce("gone", F.lit(False)))
+def passage_query(questions: DataFrame, words: DataFrame, terms: DataFrame, focus: DataFrame, identities: DataFrame) -> DataFrame:
+    """question_id, query: a focused question without the words whose lexemes are all identifying ones
+    that name a focused document; as it is if it is not focused or nothing would be left."""
+    named = focus.join(identities.filter("named"), "document_id").select("question_id", "lexeme").distinct()
+    matched = named.join(terms, ["question_id", "lexeme"], "left_semi").withColumn("matched", F.lit(True))
+    of = word_lexemes(words).join(matched, ["question_id", "lexeme"], "left").groupBy("question_id", "place").agg(F.bool_and(F.coalesce("matched", F.lit(False))).alias("gone"))
+    kept = words.join(focus.select("question_id").distinct(), "question_id", "left_semi").join(of, ["question_id", "place"], "left").filter(~F.coalesce("gone", F.lit(False)))
     rest = kept.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]), " ").alias("rest"))
     return questions.join(rest, "question_id", "left").select("question_id", F.coalesce(F.nullif("rest", F.lit("")), "text").alias("query"))
 
 
-#: Questions that one pass over the corpus holds in each task.
-QUERY_BLOCK = 2000
+#: Questions that one pass over the corpus holds in each task, and those whose distances are worked out at a time.
+QUERY_BLOCK, STEP = 8192, 256
 
 
-def _nearest(shared, n: int):
+def _nearest(shared, n: int, scoped: bool):
     """For mapInArrow: each batch's ``n`` nearest passages of every question of the block."""
 
     def near(batches):
-        ids, q = shared.value
+        ids, q, seen, portfolios = shared.value
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
             key = batch.column("chunk_id").to_numpy()
             x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(key), -1)
-            d = np.round(1 - q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 9)
-            order = np.lexsort((np.broadcast_to(key, d.shape), d), axis=1)[:, :n]
-            yield pa.record_batch({"question_id": np.repeat(ids, order.shape[1]), "chunk_id": key[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel()})
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            if scoped:  # which of the block's portfolios each passage is in, -1 for none
+                at = pc.index_in(batch.column("portfolio_id"), portfolios).fill_null(-1).to_numpy(zero_copy_only=False)
+            for lo in range(0, len(ids), STEP):
+                d = np.round(1 - q[lo : lo + STEP] @ x.T, 9)
+                if scoped:
+                    d[~seen[lo : lo + STEP, at]] = np.inf
+                if len(key) > n:
+                    d[d > np.partition(d, n - 1, axis=1)[:, n - 1 : n]] = np.inf
+                i, j = np.nonzero(np.isfinite(d))
+                order = np.lexsort((key[j], d[i, j], i))
+                i, j = i[order], j[order]
+                best = np.arange(len(i)) - np.searchsorted(i, i) < n
+                i, j = i[best], j[best]
+                yield pa.record_batch({"question_id": ids[lo + i], "chunk_id": key[j], "distance": d[i, j]})
 
     return near
 
 
-def vector_top_n(questions: DataFrame, chunks: DataFrame, n: int = 30) -> DataFrame:
+def vector_top_n(questions: DataFrame, chunks: DataFrame, n: int = 30, scope: DataFrame | None = None) -> DataFrame:
     """question_id, chunk_id, distance, vector_rank: the ``n`` nearest by cosine distance, ties to the
     smaller chunk_id; null vectors are skipped.
 
-    Both: id and ``embedding``. Questions go to the tasks in blocks of a fixed size, each task keeps
-    its own best ``n`` by a matrix product, and only those are shuffled. Distances are rounded to
-    nine places before they are compared."""
-    rows = questions.filter("embedding is not null").select("question_id", "embedding").orderBy("question_id")
+    Both: id and ``embedding``. With ``scope`` (question_id, portfolio_id) a question sees the passages
+    (portfolio_id) of its portfolios only, and none without one. Questions go to the tasks in blocks
+    of a fixed size, each task keeps its own best ``n`` by matrix products, and only those are
+    shuffled. Distances are rounded to nine places before they are compared."""
+    rows = questions.filter("embedding is not null").select("question_id", "embedding")
+    if scope is not None:
+        own = scope.groupBy("question_id").agg(F.collect_set("portfolio_id").alias("portfolios"))
+        rows = rows.join(own, "question_id")
+    blocks = max(1, -(-rows.count() // QUERY_BLOCK))
+    if blocks > 1:
+        rows = written(rows)
     out = None
-    total = rows.count()
-    for lo in range(0, max(total, 1), QUERY_BLOCK):
-        block = rows.offset(lo).limit(QUERY_BLOCK).collect()  # a block of fixed size
+    for b in range(blocks):
+        block = rows.filter(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b).collect()  # about QUERY_BLOCK questions
         ids = np.array([r["question_id"] for r in block], dtype=np.int64)
         q = np.array([r["embedding"] for r in block], dtype=np.float64)
-        shared = chunks.sparkSession.sparkContext.broadcast((ids, q / np.linalg.norm(q, axis=1, keepdims=True) if len(q) else q))
-
-        part = chunks.filter("embedding is not null").select("chunk_id", "embedding").mapInArrow(_nearest(shared, n), "question_id long, chunk_id long, distance double")
+        names = sorted({x for r in block for x in r["portfolios"]}) if scope is not None else []
+        place = {x: i for i, x in enumerate(names)}
+        seen = np.zeros((len(block), len(names) + 1), bool)
+        if scope is not None:
+            for i, r in enumerate(block):
+                seen[i, [place[x] for x in r["portfolios"]]] = True
+        shared = chunks.sparkSession.sparkContext.broadcast((ids, q / np.linalg.norm(q, axis=1, keepdims=True) if len(q) else q, seen, pa.array(names, pa.string())))
+        columns = ["chunk_id", "embedding", *(["portfolio_id"] if scope is not None else [])]
+        part = chunks.filter("embedding is not null").select(*columns).mapInArrow(_nearest(shared, n, scope is not None), "question_id long, chunk_id long, distance double")
         out = part if out is None else out.unionByName(part)
     best = W.partitionBy("question_id").orderBy("distance", "chunk_id")
     return out.withColumn("vector_rank", F.row_number().over(best)).filter(F.col("vector_rank") <= n)
 
 
-def vector_top_n_focused(questions: DataFrame, focus: DataFrame, chunks: DataFrame, n: int = 30) -> DataFrame:
-    """As :func:`vector_top_n`, among the passages of each question's focused documents: an equi-join."""
+def vector_top_n_focused(questions: DataFrame, focus: DataFrame, chunks: DataFrame, n: int = 30, on: list[str] | None = None) -> DataFrame:
+    """As :func:`vector_top_n`, among the passages of each question's focused documents: an equi-join ``on``
+    the document (and what else ``focus`` says of it)."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    pairs = questions.select("question_id", F.col("embedding").alias("q")).join(focus, "question_id").join(chunks.filter("embedding is not null"), "document_id")
+    pairs = questions.select("question_id", F.col("embedding").alias("q")).join(focus, "question_id").join(chunks.filter("embedding is not null"), on or ["document_id"])
     distance = F.round(1 - dot("q", "embedding") / F.sqrt(dot("q", "q") * dot("embedding", "embedding")), 9)
     best = W.partitionBy("question_id").orderBy("distance", "chunk_id")
     return pairs.select("question_id", "chunk_id", distance.alias("distance")).withColumn("vector_rank", F.row_number().over(best)).filter(F.col("vector_rank") <= n)
 
 
-def lexical_top_n(queries: DataFrame, postings: DataFrame, n: int = 30) -> DataFrame:
+def lexical_top_n(queries: DataFrame, words: DataFrame, n: int = 30, scope: DataFrame | None = None, focus: DataFrame | None = None) -> DataFrame:
     """question_id, chunk_id, score, lexical_rank: passages with any lexeme of the query, best first.
 
-    ``queries``: question_id, query; ``postings``: chunk_id, lexeme, positions. Postings of lexemes
-    that no query has are left before anything else."""
+    ``queries``: question_id, query; ``words``: chunk_id, lexeme, one row for each place of a lexeme. With
+    ``scope`` (question_id, portfolio_id) and ``focus`` (question_id, document_id) a question sees the
+    passages (portfolio_id, document_id) of its portfolios, and of its focused documents if it has
+    any. Words that no question has go before anything is shuffled, hits are counted before the
+    shuffle, and only counts move."""
     wanted = queries.select("question_id", F.explode(F.array_distinct(F.transform(T.lexemes(F.col("query")), lambda p: p["lexeme"]))).alias("lexeme"))
-    hits = postings.select("chunk_id", "lexeme", F.size("positions").alias("tf")).join(wanted, "lexeme")
-    score = hits.groupBy("question_id", "chunk_id").agg((F.sum("tf") * F.lit(0.1)).alias("score"))
+    if scope is None:
+        hits = words.select("chunk_id", "lexeme").join(wanted, "lexeme")
+    else:
+        words = words.select("chunk_id", "document_id", "portfolio_id", "lexeme").join(wanted.select("lexeme").distinct(), "lexeme", "left_semi")
+        free = wanted if focus is None else wanted.join(focus, "question_id", "left_anti")
+        hits = words.join(free.join(scope.select("question_id", "portfolio_id").distinct(), "question_id"), ["lexeme", "portfolio_id"]).select("question_id", "chunk_id")
+        if focus is not None:
+            named = wanted.join(focus.select("question_id", "document_id"), "question_id").join(scope.select("question_id", "portfolio_id").distinct(), "question_id")
+            hits = hits.unionByName(words.join(named, ["lexeme", "document_id", "portfolio_id"]).select("question_id", "chunk_id"))
+    score = hits.groupBy("question_id", "chunk_id").agg((F.count("*") * F.lit(0.1)).alias("score"))
     best = W.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
     return score.withColumn("lexical_rank", F.row_number().over(best)).filter(F.col("lexical_rank") <= n)
 
@@ -158,11 +197,21 @@ def rrf_fuse(vector: DataFrame, lexical: DataFrame, k: int = 8, rrf_k: int = 60)
     return rows.withColumn("source_index", F.row_number().over(order) - 1).filter(F.col("source_index") < k)
 
 
-def hybrid_search(queries: DataFrame, vector: DataFrame, postings: DataFrame, k: int = 8, candidates: int = 30, rrf_k: int = 60) -> DataFrame:
-    """The fused sources of every question, with the settings in force beside them."""
+def hybrid_search(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, words: DataFrame, scope: DataFrame, focus: DataFrame, k: int = 8, candidates: int = 30, rrf_k: int = 60, embedding: str = "hashed features") -> DataFrame:
+    """The fused sources of every question, with the settings in force beside them.
+
+    ``queries``: question_id, query; ``vectors``: question_id, embedding of the query; ``chunks``:
+    chunk_id, document_id, portfolio_id, embedding of the passages of ready documents; ``words``: their
+    lexemes. Both legs search what a question's asker sees (``scope``) and, if it names documents
+    (``focus``), these alone. A blank question has no sources."""
     asked = queries.filter(T.strip(F.col("query")) != "")
-    fused = rrf_fuse(vector.filter(F.col("vector_rank") <= candidates), lexical_top_n(asked, postings, candidates), k, rrf_k)
-    settings = F.struct(F.lit(k).alias("k"), F.lit(candidates).alias("candidates"), F.lit(rrf_k).alias("rrf_k"))
+    vectors = vectors.join(asked.select("question_id"), "question_id", "left_semi")
+    free = vector_top_n(vectors.join(focus.select("question_id").distinct(), "question_id", "left_anti"), chunks, candidates, scope)
+    named = focus.select("question_id", "document_id").join(scope.select("question_id", "portfolio_id").distinct(), "question_id")
+    own = vector_top_n_focused(vectors, named, chunks, candidates, ["document_id", "portfolio_id"])
+    fused = rrf_fuse(free.unionByName(own), lexical_top_n(asked, words, candidates, scope, focus), k, rrf_k)
+    limits = F.struct(F.lit(LEAST_TERMS).alias("min_terms"), F.lit(COMMON_SHARE).alias("common_share"), F.lit(MOST_FOCUS).alias("max_documents"))
+    settings = F.struct(F.lit(k).alias("k"), F.lit(candidates).alias("candidates"), F.lit(rrf_k).alias("rrf_k"), F.lit(embedding).alias("embedding"), limits.alias("focus"))
     return fused.withColumn("settings", settings)
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events "
@@ -18,6 +21,7 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8, app: str = "docp
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -28,3 +32,35 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8, app: str = "docp
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given parquet tables, read through Spark only."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder of the shared place that spark.checkpoint.dir names. Only a driver that runs its
+    tasks itself (tests) may do without one, and gets a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix=f"spark-{name}-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared place and read back: what reads it several times computes it once."""
+    path = shared_path(df.sparkSession, "written")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def every_pair(left: DataFrame, right: DataFrame, salts: int = 64) -> DataFrame:
+    """Each row of ``left`` with each of ``right``, where that is what is asked for (a director sees every
+    portfolio): ``left`` is dealt to as many tasks, and the small side ``right`` comes to each."""
+    dealt = left.withColumn("salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    copies = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, "salt").drop("salt")
+
+
+def broadcast_if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows; otherwise as it is, for a shuffle join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
