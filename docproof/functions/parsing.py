@@ -1,4 +1,4 @@
-"""Typed reading of extracted values as column expressions. Null means unparseable; nothing is guessed."""
+"""Extracted values read as their types, as column expressions; what cannot be read is null."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ MONEY_NOISE = r"(?i)\b(?:per annum|per year|per month|a year|p\.a\.|pa|pcm|plus
 INTEGER = r"(?i)^(\d+)\s*(?:calendar\s+)?(?:years?|yrs?|months?|mths?|weeks?|days?)?['’]?$"
 TRUE = ("yes", "y", "true", "elected", "opted", "opted to tax", "has elected", "1")
 FALSE = ("no", "n", "false", "not elected", "not opted", "has not elected", "0", "none")
-#: Day first everywhere.
+#: Written forms of dates; in numbers alone the day comes before the month.
 DATE_FORMATS = ("d MMMM yyyy", "d MMM yyyy", "MMMM d yyyy", "MMM d yyyy", "d/M/yyyy", "d.M.yyyy", "d-M-yyyy", "yyyy-M-d", "yyyy/M/d")
 
 

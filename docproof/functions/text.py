@@ -16,6 +16,7 @@ STOPWORDS = """
     where which while who whom why will with would you your yours
 """.split()
 
+# White space within a line, where a sentence ends, and what is a label alone.
 SPACES = "[ \\t\\f\\x0B\\u00A0]+"
 BOUNDARY = "(?<=[.!?;:])(?U)\\s+(?=[A-Z0-9(£\"'“‘])"
 LABEL_ONLY = r"^(?:\(?\d+(?:\.\d+)*[.)]?|\([a-z]{1,4}\)|[A-Za-z][.)])$"
@@ -36,13 +37,6 @@ def normalise(text: Column) -> Column:
     return F.array_join(F.filter(whole, lambda p: p != ""), "\n")
 
 
-def sentence_pieces(text: Column) -> Column:
-    """Pieces of each line between sentence ends, before labels are joined to what they number."""
-    lines = F.transform(F.split(text, "\n", -1), lambda x: strip(F.regexp_replace(x, SPACES, " ")))
-    pieces = F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.filter(F.transform(F.split(x, BOUNDARY, -1), strip), lambda y: y != ""))
-    return F.flatten(pieces)
-
-
 def split_sentences(text: Column) -> Column:
     """Sentence blocks; a label on its own goes to the piece after it in its line, or stays if it is last."""
     lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x: strip(F.regexp_replace(x, SPACES, " "))), lambda x: x != "")

@@ -7,7 +7,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from docproof.functions import text as T
@@ -24,44 +26,49 @@ def reject_empty(pages: DataFrame) -> DataFrame:
     return pages.groupBy("document_id").agg(any_text.alias("t")).filter("not t").select("document_id", F.lit("no_text_layer").alias("reason"))
 
 
-CHUNK = "array<struct<ordinal_in_page:int,sentences:array<string>,char_start:int,char_end:int>>"
-
-
-def pack_sentences(text: str, sentences: list[str], target: int, overlap: int) -> list[dict]:
-    """Chunks of whole sentences of at most ``target`` characters (a longer sentence alone); each
-    starts with the last ``overlap`` sentences of the one before, and always adds one."""
-    spans, at = [], 0
-    for s in sentences:
-        found = text.find(s, at)
-        start = at if found < 0 else found
-        at = start + len(s)
-        spans.append((start, at))
-    out, start = [], 0
-    sizes = [len(s) + 1 for s in sentences]
-    while start < len(sentences):
-        end, size = start + 1, sizes[start]
-        while end < len(sentences) and size + sizes[end] <= target + 1:
-            size += sizes[end]
-            end += 1
-        out.append({"ordinal_in_page": len(out), "sentences": sentences[start:end], "char_start": spans[start][0], "char_end": spans[end - 1][1]})
-        if end == len(sentences):
-            break
-        start = max(end - overlap, start + 1)
-    return out
-
-
 def chunk_pages(pages: DataFrame, target_chars: int = 1100, overlap: int = 1) -> DataFrame:
     """document_id, page_number, ordinal_in_page, sentences, text, char_start, char_end, token_estimate.
 
-    Sentences are found by expressions; only the greedy packing is a small helper over batches."""
+    A chunk holds as many whole sentences as fit ``target_chars`` when joined by a character, one at
+    least; the next begins ``overlap`` sentences before its end. Where the chunk that begins with a
+    sentence ends follows from running totals of the lengths alone, so those that are taken are read
+    off in one pass over the sentences. A sentence is looked for in the page after the one before
+    it, and where it is not found as it stands it is put there."""
+    target, overlap, s = max(1, target_chars), max(0, overlap), F.col("sentences")
+    rows = pages.select("document_id", "page_number", F.coalesce("text", F.lit("")).alias("page")).withColumn("sentences", T.split_sentences(F.col("page"))).filter(F.size("sentences") > 0)
+    total = F.aggregate(s, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x) + 1)))
+    spans = F.aggregate(
+        s, F.struct(F.expr("cast(array() as array<struct<char_start:int,char_end:int>>)").alias("spans"), F.lit(1).alias("at")),
+        lambda a, x: F.struct(
+            F.concat(a["spans"], F.array(F.struct((_found(x, a["at"]) - 1).alias("char_start"), (_found(x, a["at"]) - 1 + F.length(x)).alias("char_end")))).alias("spans"),
+            (_found(x, a["at"]) + F.length(x)).alias("at"),
+        ),
+        lambda a: a["spans"],
+    )
+    rows = rows.withColumns({"total": total, "spans": spans})
+    places = F.sequence(F.lit(0), F.size("sentences") - 1)
+    fits = lambda i: F.size(F.filter("total", lambda x: x <= F.get("total", i) + target + 1)) - 2
+    rows = rows.withColumn("last", F.transform(places, lambda i: F.greatest(i, fits(i))))
+    taken = F.aggregate(
+        places, F.struct(F.expr("cast(array() as array<int>)").alias("begins"), F.lit(0).alias("next")),
+        lambda a, i: F.when(i != a["next"], a).otherwise(F.struct(
+            F.concat(a["begins"], F.array(i)).alias("begins"),
+            F.when(F.get("last", i) + 1 >= F.size("sentences"), F.size("sentences")).otherwise(F.greatest(F.get("last", i) + 1 - overlap, i + 1)).alias("next"),
+        )),
+        lambda a: a["begins"],
+    )
+    cut = rows.select("document_id", "page_number", "sentences", "spans", "last", F.posexplode(taken).alias("ordinal_in_page", "b")).withColumn("e", F.get("last", F.col("b")))
+    whole = cut.select(
+        "document_id", "page_number", "ordinal_in_page", F.slice("sentences", F.col("b") + 1, F.col("e") - F.col("b") + 1).alias("sentences"),
+        F.get("spans", F.col("b"))["char_start"].alias("char_start"), F.get("spans", F.col("e"))["char_end"].alias("char_end"),
+    ).withColumn("text", F.array_join("sentences", "\n"))
+    return whole.withColumn("token_estimate", T.token_estimate(F.col("text")))
 
-    @F.pandas_udf(CHUNK)
-    def packed(text: pd.Series, sentences: pd.Series) -> pd.Series:
-        return pd.Series([pack_sentences(t or "", list(s) if s is not None else [], max(1, target_chars), max(0, overlap)) for t, s in zip(text, sentences, strict=True)])
 
-    cut = pages.select("document_id", "page_number", F.explode(packed("text", T.split_sentences(F.col("text")))).alias("c"))
-    whole = cut.select("document_id", "page_number", "c.*").withColumn("text", F.array_join("sentences", "\n"))
-    return whole.withColumn("token_estimate", T.token_estimate(F.col("text")))
+def _found(sentence: Column, at: Column) -> Column:
+    """Where ``sentence`` stands in the page, from place ``at`` (1-based) on; ``at`` if it does not."""
+    place = F.position(sentence, F.col("page"), at)
+    return F.when(place > 0, place).otherwise(at)
 
 
 def chunk_ordinals(chunks: DataFrame) -> DataFrame:
@@ -101,32 +108,41 @@ def cascade_delete(children: dict[str, DataFrame], deleted: DataFrame, key: str
     return {name: rows.join(gone, key, "left_anti") for name, rows in children.items()}
 
 
-def hash_features(tokens: list[str], dims: int, seen: dict) -> np.ndarray:
-    """Unit vector of hashed words (weight 1) and neighbouring pairs (one half); the first axis if there are none."""
-    v = np.zeros(dims)
-    for weight, names in ((1.0, tokens), (0.5, [f"{a} {b}" for a, b in zip(tokens, tokens[1:], strict=False)])):
-        for name in names:
-            place = seen.get(name)
-            if place is None:
-                h = int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "big")
-                place = seen[name] = (h % dims, weight if h >> 63 else -weight)
-            v[place[0]] += place[1]
-    norm = np.linalg.norm(v)
-    if not norm:
-        v[0] = norm = 1.0
-    return v / norm
+DIGESTS: dict[str, Callable[[bytes], bytes]] = {"blake2b": lambda x: hashlib.blake2b(x, digest_size=8).digest(), "md5": lambda x: hashlib.md5(x).digest()}
 
 
-def hashed_embeddings(texts: DataFrame, key: str, dims: int = 384, embed: Callable[[list[str]], list] | None = None) -> DataFrame:
-    """``key`` and ``embedding`` of each text; ``embed`` takes the place of feature hashing, 32 texts a call."""
+def hash_features(tokens: pa.Array, dims: int, digest: str) -> np.ndarray:
+    """A unit vector for each list of ``tokens``: hashed words (weight 1) and neighbouring pairs (one half);
+    the first axis where there are none. Each distinct word and pair of the batch is hashed once."""
+    sizes = np.diff(tokens.offsets.to_numpy())
+    words = tokens.flatten().dictionary_encode()
+    row, code, known = np.repeat(np.arange(len(sizes)), sizes), words.indices.to_numpy(), words.dictionary.to_pylist()
+    next_to = np.flatnonzero(row[1:] == row[:-1])
+    pair, of = np.unique(code[next_to].astype(np.int64) * len(known) + code[next_to + 1], return_inverse=True)
+    names = [*known, *(f"{known[p // len(known)]} {known[p % len(known)]}" for p in pair.tolist())]
+    h = np.array([int.from_bytes(DIGESTS[digest](x.encode())[:8], "big") for x in names], np.uint64)
+    place, sign = (h % np.uint64(dims)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0)
+    feature, row = np.concatenate([code, len(known) + of]), np.concatenate([row, row[next_to]])
+    weight = sign[feature] * np.where(feature < len(known), 1.0, 0.5)
+    v = np.bincount(row * dims + place[feature], weights=weight, minlength=len(sizes) * dims).reshape(len(sizes), dims)
+    norm = np.linalg.norm(v, axis=1)
+    v[norm == 0, 0] = 1.0
+    return v / np.where(norm == 0, 1.0, norm)[:, None]
 
-    @F.pandas_udf("array<float>")
-    def hashed(tokens: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        seen: dict = {}
-        for batch in tokens:
-            if len(seen) > 200_000:
-                seen.clear()
-            yield pd.Series([hash_features(list(t) if t is not None else [], dims, seen).astype(np.float32) for t in batch])
+
+def hashed_embeddings(texts: DataFrame, key: str, *carried: str, dims: int = 384, embed: Callable[[list[str]], list] | None = None, digest: str = "blake2b") -> DataFrame:
+    """``key``, ``carried`` columns and ``embedding`` of each text; ``embed`` takes the place of feature hashing, 32 texts a call.
+
+    ``digest`` names the hash of a feature: its first eight bytes, as a big-endian number, give the
+    axis and the sign."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                tokens = pc.fill_null(part.column("tokens"), pa.scalar([], pa.list_(pa.string())))
+                v = hash_features(tokens, dims, digest).astype(np.float32)
+                yield pa.record_batch([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * dims), pa.array(v.ravel()))], names=[key, *carried, "embedding"])
 
     @F.pandas_udf("array<float>")
     def called(text: pd.Series) -> pd.Series:
@@ -136,8 +152,14 @@ def hashed_embeddings(texts: DataFrame, key: str, dims: int = 384, embed: Callab
         return pd.Series(out)
 
     if embed:
-        return texts.select(key, called("text").alias("embedding"))
-    return texts.select(key, hashed(T.content_tokens(F.col("text"))).alias("embedding"))
+        return texts.select(key, *carried, called("text").alias("embedding"))
+    kinds = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in (key, *carried))
+    return texts.select(key, *carried, T.content_tokens(F.col("text")).alias("tokens")).mapInArrow(hashed, f"{kinds}, embedding array<float>")
+
+
+def lexeme_places(chunks: DataFrame, *carried: str) -> DataFrame:
+    """chunk_id, ``carried`` columns, lexeme, position: one row for each place of a lexeme; no shuffle."""
+    return chunks.select("chunk_id", *carried, F.explode(T.lexemes(F.col("text"))).alias("l")).select("chunk_id", *carried, "l.lexeme", "l.position")
 
 
 def postings(chunks: DataFrame) -> DataFrame:

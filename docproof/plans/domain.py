@@ -166,13 +166,14 @@ def sql(body: str, **more: str) -> str:
     """``body`` with the views it uses (and ``more``) before it."""
     views = {**SQL, **more}
     used: list[str] = []
+    begun: set[str] = set()
 
     def need(text: str) -> None:
         for name in re.findall(r"\b\w+\b", text):
-            if name in views and name not in used:
+            if name in views and name not in begun:  # a view may read itself
+                begun.add(name)
                 need(views[name])
-                if name not in used:
-                    used.append(name)
+                used.append(name)
 
     need(body)
-    return ("WITH " + ",\n".join(f"{n} AS ({views[n]})" for n in used) + "\n" if used else "") + body
+    return ("WITH RECURSIVE " + ",\n".join(f"{n} AS ({views[n]})" for n in used) + "\n" if used else "") + body

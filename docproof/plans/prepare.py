@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from docproof.functions import text as T
@@ -11,13 +9,26 @@ from docproof.operators import prepare as P
 from docproof.plans import domain as D
 from docproof.plans.domain import sql
 from docproof.plans.registry import query
-from docproof.session import table
+from docproof.session import shared_path, table
 from docproof.sources import uploads as U
 
 STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
 SPLIT = r"""regexp_replace(line, '([.!?;:])\s+([A-Z0-9(£"''“‘])', '\1' || chr(1) || '\2', 'g')"""
 V_LINE = r"SELECT document_id, page_number, line_no, trim(regexp_replace(unnest_line, '[ \t\f\x0B\x{00A0}]+', ' ', 'g')) AS line FROM (SELECT document_id, page_number, unnest(string_split(text, chr(10))) AS unnest_line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM v_page)"
-V_PIECE = f"SELECT document_id, page_number, line_no, trim(unnest(string_split({SPLIT}, chr(1)))) AS piece FROM v_line WHERE line <> ''"
+
+# A label on its own goes to the piece after it, be that a label too, or stays if it is last in its line.
+V_LABEL = rf"SELECT *, regexp_matches(piece, '{T.LABEL_ONLY}') AS label FROM (SELECT *, row_number() OVER (PARTITION BY document_id, page_number, line_no ORDER BY n) AS i FROM (SELECT document_id, page_number, line_no, trim(p) AS piece, n FROM (SELECT document_id, page_number, line_no, unnest(pieces) AS p, generate_subscripts(pieces, 1) AS n FROM (SELECT document_id, page_number, line_no, string_split({SPLIT}, chr(1)) AS pieces FROM v_line WHERE line <> ''))) WHERE piece <> '')"
+V_RUN = "SELECT *, row_number() OVER (PARTITION BY document_id, page_number, line_no, label, i - k ORDER BY i) AS r FROM (SELECT *, row_number() OVER (PARTITION BY document_id, page_number, line_no, label ORDER BY i) AS k FROM v_label)"
+V_START = "SELECT *, CASE WHEN label THEN r % 2 = 1 ELSE NOT coalesce(lag(label AND r % 2 = 1) OVER w, false) END AS starts FROM v_run WINDOW w AS (PARTITION BY document_id, page_number, line_no ORDER BY i)"
+V_SENTENCE = "SELECT document_id, page_number, line_no, block, string_agg(piece, ' ' ORDER BY i) AS sentence FROM (SELECT *, sum(starts::INT) OVER (PARTITION BY document_id, page_number, line_no ORDER BY i) AS block FROM v_start) GROUP BY ALL"
+# Chunks of whole sentences: how far one that begins with sentence i goes, which begins are taken, where sentences stand.
+V_SENT = "SELECT document_id, page_number, sentence, row_number() OVER w AS i, sum(length(sentence) + 1) OVER w AS total, count(*) OVER (PARTITION BY document_id, page_number) AS n FROM v_sentence WINDOW w AS (PARTITION BY document_id, page_number ORDER BY line_no, block)"
+V_FIT = "SELECT a.document_id, a.page_number, a.i, a.n, greatest(a.i, coalesce(max(b.i), 0)) AS e FROM v_sent a LEFT JOIN v_sent b ON b.document_id = a.document_id AND b.page_number = a.page_number AND b.i >= a.i AND b.total - a.total + length(a.sentence) <= 1100 GROUP BY 1, 2, 3, 4"
+V_TAKEN = "SELECT document_id, page_number, i, e, n, 0 AS ordinal_in_page FROM v_fit WHERE i = 1 UNION ALL SELECT f.document_id, f.page_number, f.i, f.e, f.n, t.ordinal_in_page + 1 FROM v_taken t JOIN v_fit f ON f.document_id = t.document_id AND f.page_number = t.page_number AND f.i = greatest(t.e, t.i + 1) WHERE t.e < t.n"
+V_PLACED = """SELECT s.document_id, s.page_number, s.i, greatest(strpos(p.text, s.sentence), 1) AS b, length(s.sentence) AS size FROM v_sent s JOIN v_page p ON p.document_id = s.document_id AND p.page_number = s.page_number WHERE s.i = 1
+  UNION ALL SELECT s.document_id, s.page_number, s.i, d.b + d.size + greatest(strpos(substr(p.text, d.b + d.size), s.sentence), 1) - 1, length(s.sentence) FROM v_placed d JOIN v_sent s ON s.document_id = d.document_id AND s.page_number = d.page_number AND s.i = d.i + 1 JOIN v_page p ON p.document_id = s.document_id AND p.page_number = s.page_number"""
+V_PACKED = "SELECT t.document_id, t.page_number, t.ordinal_in_page, string_agg(s.sentence, chr(10) ORDER BY s.i) AS text, min(d.b) FILTER (s.i = t.i) - 1 AS char_start, max(d.b + d.size) FILTER (s.i = t.e) - 1 AS char_end FROM v_taken t JOIN v_sent s ON s.document_id = t.document_id AND s.page_number = t.page_number AND s.i BETWEEN t.i AND t.e JOIN v_placed d ON d.document_id = s.document_id AND d.page_number = s.page_number AND d.i = s.i GROUP BY 1, 2, 3"
+SENTENCES = {"v_sent": V_SENT, "v_fit": V_FIT, "v_taken": V_TAKEN, "v_placed": V_PLACED, "v_packed": V_PACKED, "v_line": V_LINE, "v_label": V_LABEL, "v_run": V_RUN, "v_start": V_START, "v_sentence": V_SENTENCE}
 
 
 @query("read_uploads")
@@ -35,20 +46,28 @@ def admit_uploads(spark, d):
 @query("page_table_io", sql("SELECT document_id, page_number, md5(text) AS digest FROM v_page"))
 def page_table_io(spark, d):
     """Pages written, partitioned by portfolio, and read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pages-")
-    path = f"{base}/pages-{abs(hash(d)) % 10**8}"
+    path = shared_path(spark, "pages")
     rows = D.pages(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("portfolio_id")), "document_id")
     U.write_table(rows, path, "portfolio_id")
     return spark.read.schema(rows.schema).parquet(path).select("document_id", "page_number", F.md5("text").alias("digest"))
 
 
-@query("request_payloads", sql("""SELECT document_id AS question_id, len(string_agg(title || ' — page ' || page_number, '')) + 0 AS titles_chars, count(*)::BIGINT AS sources FROM v_page JOIN v_document USING (document_id) WHERE page_number <= 3 GROUP BY 1"""))
+@query("request_payloads", sql("""SELECT d.document_id AS question_id, md5(string_agg(title || ' — page ' || page_number || chr(10) || (page_number - 1) || ' ' || chunk_id || ' ' || page_number || chr(10) || c.text, chr(10) || chr(10) ORDER BY page_number)) AS documents_md5, count(*)::BIGINT AS sources, min(filename) AS question
+ FROM v_chunk c JOIN v_document d USING (document_id) GROUP BY d.document_id"""))
 def request_payloads(spark, d):
-    rows = D.pages(spark, d).filter("page_number <= 3").join(D.documents(spark, d).select("document_id", "title"), "document_id")
-    sources = rows.select(F.col("document_id").alias("question_id"), (F.col("page_number") - 1).alias("source_index"), "title", "page_number", T.split_sentences(F.col("text")).alias("blocks"))
-    made = F.from_json("payload", "array<struct<title:string,content:array<struct<type:string,text:string>>,context:string>>")
-    p = U.request_payloads(sources).select("question_id", made.alias("p"))
-    return p.select("question_id", F.length(F.array_join(F.transform("p", lambda x: x["title"]), "")).cast("long").alias("titles_chars"), F.size("p").cast("long").alias("sources"))
+    """The pages of each document as its sources, their lines as blocks; read back from the payload."""
+    docs = D.documents(spark, d)
+    rows = D.chunks(spark, d).join(docs.select("document_id", "title"), "document_id")
+    sources = rows.select(F.col("document_id").alias("question_id"), F.col("ordinal").alias("source_index"), "chunk_id", "title", "page_number", F.split("text", "\n", -1).alias("blocks"))
+    made = F.from_json("payload", "struct<documents:array<struct<type:string,source:struct<type:string,content:array<struct<type:string,text:string>>>,title:string,context:string,citations:struct<enabled:boolean>>>,question:string>")
+    p = U.request_payloads(sources, docs.select(F.col("document_id").alias("question_id"), F.col("filename").alias("text"))).select("question_id", made.alias("p"))
+
+    def told(x):
+        at = F.from_json(x["context"], "struct<source_index:int,chunk_id:string,page:int>")
+        lines = F.array_join(F.transform(x["source"]["content"], lambda b: b["text"]), "\n")
+        return F.concat(x["title"], F.lit("\n"), F.concat_ws(" ", at["source_index"].cast("string"), at["chunk_id"], at["page"].cast("string")), F.lit("\n"), lines)
+
+    return p.select("question_id", F.md5(F.array_join(F.transform("p.documents", told), "\n\n")).alias("documents_md5"), F.size("p.documents").cast("long").alias("sources"), F.col("p.question").alias("question"))
 
 
 @query("extraction_payloads", sql("""SELECT document_id, string_agg('[chunk ' || chunk_id || '] (page ' || page_number || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY ordinal)
@@ -76,19 +95,19 @@ def explode_pages(spark, d):
     return P.explode_pages(arrays.select("document_id", cut.alias("pages"))).select("document_id", "page_number", F.length("text").cast("long").alias("chars"))
 
 
-@query("split_sentences", sql("SELECT document_id, page_number::INT AS page_number, count(*)::BIGINT AS pieces, sum(length(piece))::BIGINT AS chars, min(piece) AS first_piece FROM v_piece WHERE piece <> '' GROUP BY 1, 2", v_line=V_LINE, v_piece=V_PIECE))
+@query("split_sentences", sql("SELECT p.document_id, p.page_number::INT AS page_number, count(sentence)::BIGINT AS sentences, md5(coalesce(string_agg(sentence, chr(10) ORDER BY line_no, block), '')) AS digest FROM v_page p LEFT JOIN v_sentence s ON s.document_id = p.document_id AND s.page_number = p.page_number GROUP BY 1, 2", **SENTENCES))
 def split_sentences(spark, d):
-    pieces = D.pages(spark, d).select("document_id", "page_number", F.explode(T.sentence_pieces(F.col("text"))).alias("piece"))
-    return pieces.groupBy("document_id", "page_number").agg(F.count("*").alias("pieces"), F.sum(F.length("piece")).alias("chars"), F.min("piece").alias("first_piece"))
+    blocks = T.split_sentences(F.col("text"))
+    return D.pages(spark, d).select("document_id", "page_number", blocks.alias("blocks")).select("document_id", "page_number", F.size("blocks").cast("long").alias("sentences"), F.md5(F.array_join("blocks", "\n")).alias("digest"))
 
 
-@query("fold_labels")
+@query("fold_labels", sql("SELECT p.document_id, p.page_number::INT AS page_number, coalesce(list(sentence ORDER BY line_no, block) FILTER (sentence IS NOT NULL), []) AS blocks FROM v_page p LEFT JOIN v_sentence s ON s.document_id = p.document_id AND s.page_number = p.page_number GROUP BY 1, 2", **SENTENCES))
 def fold_labels(spark, d):
     """Sentence blocks after labels are joined to what they number."""
     return D.pages(spark, d).select("document_id", "page_number", T.split_sentences(F.col("text")).alias("blocks"))
 
 
-@query("chunk_pages")
+@query("chunk_pages", sql("""SELECT document_id, page_number::INT AS page_number, (row_number() OVER (PARTITION BY document_id ORDER BY page_number, ordinal_in_page) - 1)::INT AS ordinal, char_start::INT AS char_start, char_end::INT AS char_end, greatest(1, length(text) // 4)::INT AS token_estimate, md5(text) AS digest FROM v_packed""", **SENTENCES))
 def chunk_pages(spark, d):
     return P.chunk_ordinals(P.chunk_pages(D.pages(spark, d))).select("document_id", "page_number", "ordinal", "char_start", "char_end", "token_estimate", F.md5("text").alias("digest"))
 
@@ -105,10 +124,10 @@ def token_estimate(spark, d):
     return D.chunks(spark, d).select("chunk_id", T.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("document_counts", sql("SELECT p.document_id, p.n AS page_count, coalesce(c.n, 0) AS chunk_count FROM (SELECT document_id, count(*) AS n FROM v_page GROUP BY 1) p LEFT JOIN (SELECT document_id, count(*) AS n FROM v_piece WHERE piece <> '' GROUP BY 1) c USING (document_id)", v_line=V_LINE, v_piece=V_PIECE))
+@query("document_counts", sql("SELECT p.document_id, p.n AS page_count, coalesce(c.n, 0) AS chunk_count FROM (SELECT document_id, count(*) AS n FROM v_page GROUP BY 1) p LEFT JOIN (SELECT document_id, count(*) AS n FROM v_packed GROUP BY 1) c USING (document_id)", **SENTENCES))
 def document_counts(spark, d):
     pages = D.pages(spark, d)
-    return P.document_counts(pages, pages.select("document_id", F.explode(T.sentence_pieces(F.col("text")))))
+    return P.document_counts(pages, P.chunk_pages(pages))
 
 
 @query("content_dedup", sql("SELECT seq, portfolio_id, sha256(content) AS sha256, min(seq) OVER w AS document_seq, seq = min(seq) OVER w AS created FROM v_upload WINDOW w AS (PARTITION BY portfolio_id, sha256(content))"))
