@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
+from docproof.session import every_pair
+
 
 def visible_portfolios(users: DataFrame, members: DataFrame, portfolios: DataFrame) -> DataFrame:
     """user_id, portfolio_id: a director sees every portfolio, others what they are members of."""
-    directors = users.filter("role = 'director'").select("user_id", F.lit(True).alias("all_"))
-    everything = directors.join(portfolios.select("portfolio_id", F.lit(True).alias("all_")), "all_").drop("all_")
+    directors = users.filter("role = 'director'").select("user_id")
+    everything = every_pair(directors, portfolios.select("portfolio_id"))
     others = members.join(directors, "user_id", "left_anti").select("user_id", "portfolio_id")
     return everything.unionByName(others).distinct()
 
@@ -82,7 +84,7 @@ def evidence_visible_questions(questions: DataFrame, sources: DataFrame, viewers
     own = questions.join(viewers.filter("role <> 'director'").select("user_id"), "user_id", "left_semi").select("user_id", "question_id")
     unseen = own.join(rests_on, "question_id").join(visible, ["user_id", "portfolio_id"], "left_anti").select("question_id").distinct()
     seen = own.join(unseen, "question_id", "left_anti")
-    directors = questions.select("question_id", F.lit(1).alias("k")).join(F.broadcast(everyone.withColumn("k", F.lit(1))), "k")
+    directors = every_pair(questions.select("question_id"), everyone)
     return seen.unionByName(directors.select(F.col("viewer").alias("user_id"), "question_id"))
 
 
@@ -104,9 +106,23 @@ def cited_pages(citations: DataFrame, chunks: DataFrame) -> DataFrame:
     return citations.join(chunks.select("chunk_id", "document_id", "page_number"), "chunk_id").groupBy("question_id", "document_id").agg(F.sort_array(F.collect_set("page_number")).alias("pages"))
 
 
-def corpus_summary(counts: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """what, value, n: rows of each table by a column, as one long table."""
-    parts = [rows.groupBy(F.col(c).cast("string").alias("value")).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "value", "n") for what, (rows, c) in counts.items()]
+def corpus_summary(documents: DataFrame, pages: DataFrame, chunks: DataFrame, golden: DataFrame, values: DataFrame, questions: DataFrame, feedback: DataFrame, runs: DataFrame) -> DataFrame:
+    """what, value, n: the totals of a corpus as one long table.
+
+    Documents by status, pages, chunks, golden questions by answerable, extracted values by review
+    status, questions by status, feedback by verdict, and the questions of the latest run (ties to
+    the larger id) under its id. Each table is counted where it is; only counts meet."""
+
+    def by(what: str, rows: DataFrame, value) -> DataFrame:
+        return rows.groupBy(value.cast("string").alias("value")).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "value", "n")
+
+    latest = runs.agg(F.max(F.struct("started_at", "run_id", "questions")).alias("l")).filter("l is not null")
+    parts = [
+        by("documents", documents, F.col("status")), pages.agg(F.count("*").alias("n")).select(F.lit("pages").alias("what"), F.lit("all").alias("value"), "n"),
+        chunks.agg(F.count("*").alias("n")).select(F.lit("chunks").alias("what"), F.lit("all").alias("value"), "n"), by("golden", golden, F.col("answerable")),
+        by("values", values, F.col("review_status")), by("questions", questions, F.col("status")), by("feedback", feedback, F.col("verdict")),
+        latest.select(F.lit("latest_run").alias("what"), F.col("l.run_id").cast("string").alias("value"), F.col("l.questions").cast("long").alias("n")),
+    ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
+from docproof.session import broadcast_if_small
+
 TOKENS = (("input_tokens", "p_in"), ("output_tokens", "p_out"), ("cache_read_tokens", "p_read"), ("cache_write_tokens", "p_write"))
 
 
 def match_price(models: DataFrame, prices: DataFrame) -> DataFrame:
     """model, price_model: the price of exactly that name, else of the longest name it begins with, else null."""
     named = models.select("model").distinct()
-    fits = named.join(F.broadcast(prices), F.startswith("model", "price_model"))
+    fits = named.join(broadcast_if_small(prices), F.startswith("model", "price_model"))
     best = fits.groupBy("model").agg(F.max_by("price_model", F.length("price_model")).alias("price_model"))
     return named.join(best, "model", "left")
 

@@ -110,11 +110,6 @@ def cited_pages(spark, d):
     return A.cited_pages(citations(spark, d), D.chunks(spark, d))
 
 
-@query("corpus_summary", sql("SELECT 'documents' AS what, status AS value, count(*) AS n FROM v_document GROUP BY 2 UNION ALL SELECT 'values', review_status, count(*) FROM v_raw GROUP BY 2 UNION ALL SELECT 'pages', page_number::VARCHAR, count(*) FROM v_page GROUP BY 2"))
-def corpus_summary(spark, d):
-    return A.corpus_summary({"documents": (D.documents(spark, d), "status"), "values": (D.raw_values(spark, d), "review_status"), "pages": (D.pages(spark, d), "page_number")})
-
-
 @query("match_price", sql("SELECT * FROM v_match", **ACCESS))
 def match_price(spark, d):
     return S.match_price(D.usage_events(spark, d), D.prices(spark))

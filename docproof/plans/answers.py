@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docproof.functions import text as T
-from docproof.operators import answering as A, evaluation as E
+from docproof.operators import access as AC, answering as A, evaluation as E
 from docproof.plans import domain as D
 from docproof.plans.access_spend import ACCESS, citations
 from docproof.plans.domain import sql
@@ -251,3 +251,15 @@ def run_results(spark, d):
 def compare_runs(spark, d):
     runs = retrieval_totals(spark, d).withColumnRenamed("run_user", "run_id").withColumns({"mode": F.col("run_id") % 2, "started_at": F.col("run_id")})
     return rounded(E.compare_runs(runs, ["doc_hit_rate", "mrr"]).select("run_id", "doc_hit_rate_change", "mrr_change"))
+
+
+SUMMARY = """SELECT 'documents' AS what, status AS value, count(*) AS n FROM v_document GROUP BY 2 UNION ALL SELECT 'pages', 'all', count(*) FROM v_page UNION ALL SELECT 'chunks', 'all', count(*) FROM v_chunk
+ UNION ALL SELECT 'golden', answerable::VARCHAR, count(*) FROM v_gold GROUP BY 2 UNION ALL SELECT 'values', review_status, count(*) FROM v_raw GROUP BY 2 UNION ALL SELECT 'questions', status, count(*) FROM v_answer GROUP BY 2
+ UNION ALL SELECT 'feedback', CASE WHEN doc_id % 3 = 0 THEN 'up' ELSE 'down' END, count(*) FROM labels GROUP BY 2 UNION ALL SELECT 'latest_run', max(run_user)::VARCHAR, count(*) FROM v_result WHERE run_user = (SELECT max(run_user) FROM v_result)"""
+
+
+@query("corpus_summary", q(SUMMARY))
+def corpus_summary(spark, d):
+    runs = results(spark, d).groupBy(F.col("run_user").alias("run_id")).agg(F.count("*").alias("questions")).withColumn("started_at", F.col("run_id"))
+    feedback = table(spark, d, "labels").select(F.when(F.col("doc_id") % 3 == 0, "up").otherwise("down").alias("verdict"))
+    return AC.corpus_summary(D.documents(spark, d), D.pages(spark, d), D.chunks(spark, d), golden(spark, d), D.raw_values(spark, d), extractive_answers(spark, d), feedback, runs)

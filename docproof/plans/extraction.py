@@ -9,6 +9,7 @@ from docproof.operators import evidence as E, register as R
 from docproof.plans import domain as D
 from docproof.plans.domain import sql
 from docproof.plans.registry import query
+from docproof.session import table
 
 KEYS = [f[0] for f in D.FIELDS]
 #: Patterns for the prose of the given documents: a word after a common one, and a license line.
@@ -72,7 +73,7 @@ def first_answer_per_field(spark, d):
 
 
 V_QUOTED = """SELECT chunk_id AS value_id, document_id, CASE WHEN chunk_id % 11 = 0 THEN NULL WHEN chunk_id % 7 = 0 THEN chunk_id + 1000000000 ELSE chunk_id END AS chunk_id,
-  CASE WHEN chunk_id % 13 = 0 THEN '' ELSE 'Tenant ' || document_id END AS value_text, CASE WHEN chunk_id % 5 = 0 THEN 'zz not here' ELSE translate(string_split(text, chr(10))[1], 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') END AS quote FROM v_chunk WHERE page_number = 1"""
+  CASE WHEN chunk_id % 13 = 0 THEN '' ELSE 'Tenant ' || document_id END AS value_text, CASE WHEN chunk_id % 5 = 0 THEN 'zz not here' ELSE translate(string_split(text, chr(10))[1], 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') END AS quote FROM v_chunk"""
 
 
 def shouted(c):
@@ -81,7 +82,7 @@ def shouted(c):
 
 
 def quoted(spark, d):
-    c = D.chunks(spark, d).filter("page_number = 1")
+    c = D.chunks(spark, d)
     wanted = F.when(F.col("chunk_id") % 11 == 0, F.lit(None).cast("long")).when(F.col("chunk_id") % 7 == 0, F.col("chunk_id") + 1000000000).otherwise(F.col("chunk_id"))
     return c.select(
         F.col("chunk_id").alias("value_id"), "document_id", wanted.alias("chunk_id"), F.lit("text").alias("field_type"),
@@ -101,14 +102,14 @@ def check_evidence(spark, d):
 
 @query("quote_contains", q(f"SELECT value_id, contains({FOLD('k.text')}, {FOLD('quote')}) AS held FROM v_quoted e JOIN v_chunk k ON k.chunk_id = e.value_id", v_quoted=V_QUOTED.replace("translate(string_split(text, chr(10))[1], 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')", "'  ' || replace(translate(left(text, 30), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), ' ', '   ')")))
 def quote_contains(spark, d):
-    c = D.chunks(spark, d).filter("page_number = 1")
+    c = D.chunks(spark, d)
     quote = F.when(F.col("chunk_id") % 5 == 0, "zz not here").otherwise(F.concat(F.lit("  "), F.replace(shouted(F.substring("text", 1, 30)), F.lit(" "), F.lit("   "))))
     return c.select(F.col("chunk_id").alias("value_id"), E.quote_contains(F.col("text"), quote).alias("held"))
 
 
-@query("highlight_range", q("SELECT chunk_id, strpos(text, string_split(text, ' ')[2] || ' ' || string_split(text, ' ')[3]) - 1 AS begin_at FROM v_chunk WHERE page_number = 1 AND regexp_matches(text, '^[A-Za-z]+ [a-z]{4,} [a-z]{4,}[ .]')"))
+@query("highlight_range", q("SELECT chunk_id, strpos(text, string_split(text, ' ')[2] || ' ' || string_split(text, ' ')[3]) - 1 AS begin_at FROM v_chunk WHERE regexp_matches(text, '^[A-Za-z]+ [a-z]{4,} [a-z]{4,}[ .]')"))
 def highlight_range(spark, d):
-    c = D.chunks(spark, d).filter("page_number = 1").filter(F.col("text").rlike("^[A-Za-z]+ [a-z]{4,} [a-z]{4,}[ .]"))
+    c = D.chunks(spark, d).filter(F.col("text").rlike("^[A-Za-z]+ [a-z]{4,} [a-z]{4,}[ .]"))
     w = F.split("text", " ")
     return c.select("chunk_id", E.highlight_range(F.col("text"), F.concat(F.element_at(w, 2), F.lit("  \n"), F.element_at(w, 3)))["begin"].cast("long").alias("begin_at"))
 
@@ -129,17 +130,25 @@ query("parse_money", q(SAYS.format("replace(value_text, '£', '')::DOUBLE", "mon
 query("parse_integer", q(SAYS.format("regexp_extract(value_text, '^[0-9]+')::BIGINT", "integer")))(parsed("integer"))
 
 
-@query("parse_bool", "SELECT user_id, ['yes', 'Has  elected.', 'no', 'not elected', 'maybe'][(user_id % 5 + 1)::INT] AS said, [true, true, false, false, NULL][(user_id % 5 + 1)::INT] AS value FROM (SELECT DISTINCT user_id FROM events)")
+SAID = lambda words: ", ".join(f"'{w}'" for w in words)
+
+
+@query("parse_bool", f"""SELECT said, CASE WHEN k IN ({SAID(V.TRUE)}) THEN true WHEN k IN ({SAID(V.FALSE)}) THEN false END AS value
+ FROM (SELECT said, lower(regexp_replace(said, '^["''“”‘’. ]+|["''“”‘’. ]+$', '', 'g')) AS k FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[^ \t\r\n\f\x0B]+')) AS said FROM documents))""")
 def parse_bool(spark, d):
-    said = F.element_at(F.array(*[F.lit(x) for x in ("yes", "Has  elected.", "no", "not elected", "maybe")]), (F.col("user_id") % 5 + 1).cast("int"))
-    return D.users(spark, d).select("user_id", said.alias("said")).select("user_id", "said", V.parse_bool(F.col("said")).alias("value"))
+    """Each word of the documents, read as yes or no."""
+    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^ \t\r\n\f\x0B]+"), F.lit(0))).alias("said")).distinct()
+    return words.select("said", V.parse_bool(F.col("said")).alias("value"))
+
 
+PRIORITIES = ("1_urgent", "4_not_specified", "5_low")
 
-@query("parse_enum", "SELECT user_id, ['Open-Market', 'full / repairing', 'other'][(user_id % 3 + 1)::INT] AS said, ['open_market', 'full_repairing', NULL][(user_id % 3 + 1)::INT] AS value FROM (SELECT DISTINCT user_id FROM events)")
+
+@query("parse_enum", f"SELECT o_orderkey, CASE WHEN k IN ({SAID(PRIORITIES)}) THEN k END AS value FROM (SELECT o_orderkey, replace(replace(lower(o_orderpriority), '-', '_'), ' ', '_') AS k FROM orders)")
 def parse_enum(spark, d):
-    said = F.element_at(F.array(*[F.lit(x) for x in ("Open-Market", "full / repairing", "other")]), (F.col("user_id") % 3 + 1).cast("int"))
-    allowed = F.array(F.lit("open_market"), F.lit("full_repairing"))
-    return D.users(spark, d).select("user_id", said.alias("said")).select("user_id", "said", V.parse_enum(F.col("said"), allowed).alias("value"))
+    """The priority of each order, read as one of three listed values."""
+    allowed = F.array(*[F.lit(x) for x in PRIORITIES])
+    return table(spark, d, "orders").select("o_orderkey", V.parse_enum(F.col("o_orderpriority"), allowed).alias("value"))
 
 
 @query("parse_values", q(f"SELECT extraction_id, field_key, {READ} AS value FROM v_raw"))
@@ -147,27 +156,34 @@ def parse_values(spark, d):
     return D.raw_values(spark, d).select("extraction_id", "field_key", V.parse_value(F.col("field_type"), F.col("value_text")).alias("value"))
 
 
-V_EVENT = "SELECT extraction_id * 10 + 1 AS value_id, extraction_id, price FROM v_first WHERE rn = 1 AND field_key = 'annual_rent_gbp'"
+V_EVENT = f"SELECT extraction_id, field_key, field_type, extraction_id % 3 = 0 AS rejected, extraction_id % 2 = 0 AS corrected_, NOT (extraction_id % 5 = 0 AND field_type <> 'text') AS readable FROM v_first WHERE rn = 1"
+#: What a reviewer types for a field of each type, and how it reads.
+TYPED = {"text": ("Plot  9", "Plot 9"), "date": ("2 May 2025", "2025-05-02"), "money": ("£1,000", "1000.00"), "integer": ("18 months", "18")}
 
 
 def reviewed(spark, d):
-    """Each rent is confirmed, then every second corrected, then every third rejected; every fifth correction is no sum."""
-    rent = values(spark, d).filter("field_key = 'annual_rent_gbp'").withColumn("value_id", F.col("extraction_id") * 10 + 1).select("value_id", "extraction_id", "field_type", "value")
-    ev = lambda seq, action, text, cond: rent.filter(cond).select("value_id", F.lit(seq).alias("seq"), F.lit(action).alias("action"), text.alias("corrected_text"), F.lit("r").alias("reviewer"))
+    """Each value of every field is confirmed, then every second corrected, then every third rejected; every
+    fifth correction is none that the field's type can read (text is always read)."""
+    rows = values(spark, d).select(F.struct("extraction_id", "field_key").alias("value_id"), "extraction_id", "field_type", "value")
+    ev = lambda seq, action, text, cond: rows.filter(cond).select("value_id", F.lit(seq).alias("seq"), F.lit(action).alias("action"), text.alias("corrected_text"), F.lit("r").alias("reviewer"))
     none = F.lit(None).cast("string")
-    text = F.when(F.col("extraction_id") % 5 == 0, "TBC").otherwise("£1,000")
+    typed = F.create_map(*[F.lit(x) for k, (said, _) in TYPED.items() for x in (k, said)])
+    text = F.when(F.col("extraction_id") % 5 == 0, "TBC").otherwise(typed[F.col("field_type")])
     events = ev(1, "confirm", none, "true").unionByName(ev(2, "correct", text, "extraction_id % 2 = 0")).unionByName(ev(3, "reject", none, "extraction_id % 3 = 0"))
-    return E.apply_reviews(rent, events)
+    return E.apply_reviews(rows, events)
+
+
+READS = "CASE WHEN field_type = 'text' AND extraction_id % 5 = 0 THEN 'TBC' " + " ".join(f"WHEN field_type = '{k}' THEN '{v}'" for k, (_, v) in TYPED.items()) + " END"
 
 
-@query("apply_reviews", q("SELECT value_id, CASE WHEN extraction_id % 3 = 0 THEN 'rejected' WHEN extraction_id % 2 = 0 AND extraction_id % 5 <> 0 THEN 'corrected' ELSE 'confirmed' END AS review_status, CASE WHEN extraction_id % 3 <> 0 AND extraction_id % 2 = 0 AND extraction_id % 5 <> 0 THEN '1000.00' END AS corrected FROM v_event", v_event=V_EVENT))
+@query("apply_reviews", q(f"SELECT extraction_id, field_key, CASE WHEN rejected THEN 'rejected' WHEN corrected_ AND readable THEN 'corrected' ELSE 'confirmed' END AS review_status, CASE WHEN NOT rejected AND corrected_ AND readable THEN {READS} END AS corrected FROM v_event", v_event=V_EVENT))
 def apply_reviews(spark, d):
-    return reviewed(spark, d)[0].select("value_id", "review_status", "corrected")
+    return reviewed(spark, d)[0].select("value_id.extraction_id", "value_id.field_key", "review_status", "corrected")
 
 
-@query("refused_reviews", q("SELECT value_id, 2 AS seq, 'unparseable' AS reason FROM v_event WHERE extraction_id % 10 = 0", v_event=V_EVENT))
+@query("refused_reviews", q("SELECT extraction_id, field_key, 2 AS seq, 'unparseable' AS reason FROM v_event WHERE corrected_ AND NOT readable", v_event=V_EVENT))
 def refused_reviews(spark, d):
-    return reviewed(spark, d)[1]
+    return reviewed(spark, d)[1].select("value_id.extraction_id", "value_id.field_key", "seq", "reason")
 
 
 @query("latest_extraction", q("SELECT * FROM v_latest"))
@@ -242,7 +258,7 @@ def pending_extraction_requests(spark, d):
     return R.pending_extraction_requests(D.documents(spark, d), D.extractions(spark, d)).select("document_id")
 
 
-@query("register_csv", q("SELECT title, CASE WHEN regexp_matches(coalesce(tenant, ''), '^[=+@-]') THEN '''' || tenant ELSE coalesce(tenant, '') END AS tenant_name, coalesce(TRY_CAST(annual_rent_gbp AS DECIMAL(20,2))::VARCHAR, '') AS annual_rent_gbp, CASE WHEN complete THEN 'yes' ELSE 'no' END AS complete FROM (SELECT *, CASE WHEN document_id % 3 = 0 THEN '=' || tenant_name ELSE tenant_name END AS tenant FROM v_register)"))
+@query("register_csv", q("SELECT title, CASE WHEN regexp_matches(coalesce(tenant, ''), '^[=+@\t\r\n-]') THEN '''' || tenant ELSE coalesce(tenant, '') END AS tenant_name, coalesce(TRY_CAST(annual_rent_gbp AS DECIMAL(20,2))::VARCHAR, '') AS annual_rent_gbp, CASE WHEN complete THEN 'yes' ELSE 'no' END AS complete FROM (SELECT *, CASE WHEN document_id % 3 = 0 THEN '=' || tenant_name WHEN document_id % 3 = 1 THEN chr(10) || tenant_name ELSE tenant_name END AS tenant FROM v_register)"))
 def register_csv(spark, d):
-    rows = register(spark, d).withColumn("tenant_name", F.when(F.col("document_id") % 3 == 0, F.concat(F.lit("="), "tenant_name")).otherwise(F.col("tenant_name")))
+    rows = register(spark, d).withColumn("tenant_name", F.when(F.col("document_id") % 3 == 0, F.concat(F.lit("="), "tenant_name")).when(F.col("document_id") % 3 == 1, F.concat(F.lit("\n"), "tenant_name")).otherwise(F.col("tenant_name")))
     return R.register_csv(rows, ["title", "tenant_name"], ["annual_rent_gbp"], ["complete"])

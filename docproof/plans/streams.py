@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from docproof.operators import spend as S
@@ -12,13 +9,12 @@ from docproof.plans import domain as D
 from docproof.plans.access_spend import ACCESS, BUDGET
 from docproof.plans.domain import sql
 from docproof.plans.registry import query
-from docproof.session import table
+from docproof.session import shared_path, table
 from docproof.streaming import jobs as J
 
 
 def folders(spark, name):
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    base = f"{base}/{name}-{uuid.uuid4().hex}"
+    base = shared_path(spark, name)
     return f"{base}/out", f"{base}/state"
 
 

@@ -23,9 +23,9 @@ def write_table(rows: DataFrame, path: str, by: str | None = None) -> None:
 
 
 def csv_safe(c: Column) -> Column:
-    """No spreadsheet formula: an apostrophe before a leading = + - @, tab or carriage return; null is empty."""
+    """No spreadsheet formula: an apostrophe before a leading = + - @, tab, carriage return or line feed; null is empty."""
     text = F.coalesce(c, F.lit(""))
-    return F.when(text.rlike("^[=+\\-@\t\r]"), F.concat(F.lit("'"), text)).otherwise(text)
+    return F.when(text.rlike("^[=+\\-@\t\r\n]"), F.concat(F.lit("'"), text)).otherwise(text)
 
 
 def csv_money(c: Column) -> Column:
@@ -36,15 +36,22 @@ def csv_bool(c: Column) -> Column:
     return F.coalesce(F.when(c, "yes").otherwise(F.when(c.isNotNull(), "no")), F.lit(""))
 
 
-def request_payloads(sources: DataFrame) -> DataFrame:
-    """question_id, payload: each source as one citable document, in source order.
-
-    ``sources``: question_id, source_index, title, page_number, blocks. An empty block keeps its
-    place as "(no text)", so citations by position stay right."""
-    block = F.transform("blocks", lambda b: F.struct(F.lit("text").alias("type"), F.when(F.trim(b) == "", "(no text)").otherwise(b).alias("text")))
-    doc = F.struct("source_index", F.struct(F.concat("title", F.lit(" — page "), F.col("page_number").cast("string")).alias("title"), block.alias("content"), F.to_json(F.struct("page_number")).alias("context")).alias("document"))
-    rows = sources.groupBy("question_id").agg(F.array_sort(F.collect_list(doc)).alias("d"))
-    return rows.select("question_id", F.to_json(F.transform("d", lambda x: x["document"])).alias("payload"))
+def request_payloads(sources: DataFrame, questions: DataFrame) -> DataFrame:
+    """question_id, payload: the question, and before it each source as one citable document, in source order.
+
+    ``sources``: question_id, source_index, chunk_id, title, page_number, blocks; ``questions``:
+    question_id, text. A source without blocks keeps its place with "(no text)", so citations by
+    position stay right."""
+    block = F.transform(F.when(F.size("blocks") > 0, F.col("blocks")).otherwise(F.array(F.lit("(no text)"))), lambda b: F.struct(F.lit("text").alias("type"), b.alias("text")))
+    document = F.struct(
+        F.lit("document").alias("type"), F.struct(F.lit("content").alias("type"), block.alias("content")).alias("source"),
+        F.concat("title", F.lit(" — page "), F.col("page_number").cast("string")).alias("title"),
+        F.to_json(F.struct("source_index", F.col("chunk_id").cast("string").alias("chunk_id"), F.col("page_number").alias("page"))).alias("context"),
+        F.struct(F.lit(True).alias("enabled")).alias("citations"),
+    )
+    rows = sources.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("source_index", document.alias("document")))).alias("d"))
+    content = F.struct(F.transform("d", lambda x: x["document"]).alias("documents"), F.col("text").alias("question"))
+    return rows.join(questions.select("question_id", "text"), "question_id").select("question_id", F.to_json(content).alias("payload"))
 
 
 def extraction_payloads(chunks: DataFrame, fields: list[tuple[str, str]]) -> DataFrame:
