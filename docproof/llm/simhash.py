@@ -201,6 +201,9 @@ BUCKET = 2048
 ASSURED, SEEN = 12, 0.98
 #: Of 128 further bits, so many differ at most between texts of a similarity of 0.8, but once in 1,000 times.
 FURTHER = 33
+#: Words of a long fingerprint, and bits that it may differ in: three standard deviations above what texts of a
+#: similarity of 0.8 do; at 0.7 one pair in 200 does.
+LONG, LONG_APART = 16, 190
 #: Up to so many candidates of a round are told to every task; beyond, texts are shuffled to them.
 BROADCAST_ASKS = 200_000
 #: Candidates that a task verifies against one text; a text with more is sent to several tasks.
@@ -266,42 +269,78 @@ def _united(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def proposals(buckets: DataFrame, radius: int, lo: int, hi: int) -> DataFrame:
-    """a, b, more: for each node ``a`` of a bucket its nearest candidates ``b`` that come before it, by
-    first_id and node. What the bit-sliced comparison lets pass is looked at again with the 128 further
-    bits, which tell copies from texts that share a part. Candidates are ranked by distance and place, ranks ``lo`` to ``hi`` - 1 are given, and
-    ``more`` says that there are others. Only rows with ``ask`` ask."""
+def _candidates(t: pa.Table, starts: np.ndarray, radius: int):
+    """Pairs i < j of a bucket within the radius where j asks, and their distance. What the bit-sliced
+    comparison lets pass is looked at again with the 128 further bits, which tell copies from texts
+    that share a part."""
+    fp, f2, f3, ask = (t.column(c).to_numpy() for c in ("fp", "f2", "f3", "ask"))
+    for i, j in close_pairs(fp.view(np.uint64), starts, radius, ask > 0):
+        further = np.bitwise_count(f2[i] ^ f2[j]) + np.bitwise_count(f3[i] ^ f3[j])
+        like = further <= FURTHER
+        i, j = i[like], j[like]
+        yield i, j, further[like] + np.bitwise_count(fp[i] ^ fp[j])
+
+
+KEY = ["tab", "bits", "bucket"]
+
+
+def _in_buckets(rows: DataFrame, work, schema: str) -> DataFrame:
+    return rows.repartition(*KEY).sortWithinPartitions(*KEY, "first_id", "node").mapInArrow(by_group(KEY, work), schema)
+
+
+def nearest(buckets: DataFrame, radius: int, most: int) -> DataFrame:
+    """a, b, more: for each node ``a`` of a bucket its ``most`` nearest candidates ``b`` that come before it, by
+    first_id and node; ``more`` says that there are others."""
 
     def work(t: pa.Table, starts: np.ndarray):
-        fp, f2, f3, node, ask = (t.column(c).to_numpy() for c in ("fp", "f2", "f3", "node", "ask"))
-        fp, near, held = fp.view(np.uint64), [np.zeros(0, np.int64)], 0
-        count = np.zeros(len(fp), np.int64)
+        node, near, held = t.column("node").to_numpy(), [np.zeros(0, np.int64)], 0
+        count = np.zeros(len(node), np.int64)
 
         def best() -> np.ndarray:
-            """The candidates held, in the order of who asks, distance and place, up to rank ``hi``."""
+            """The candidates held, in the order of who asks, distance and place, up to ``most`` of each."""
             keys = np.sort(np.concatenate(near))
             j = keys >> 40
-            rank = np.arange(len(j)) - np.searchsorted(j, j)
-            return keys[rank < hi]
-
-        for i, j in close_pairs(fp, starts, radius, ask > 0):
-            further = np.bitwise_count(f2[i] ^ f2[j]) + np.bitwise_count(f3[i] ^ f3[j])
-            like = further <= FURTHER
-            i, j, further = i[like], j[like], further[like]
-            count += np.bincount(j, minlength=len(fp))
-            near.append((j << 40) | ((further + np.bitwise_count(fp[i] ^ fp[j])).astype(np.int64) << 32) | i)
+            return keys[np.arange(len(j)) - np.searchsorted(j, j) < most]
+
+        for i, j, distance in _candidates(t, starts, radius):
+            count += np.bincount(j, minlength=len(node))
+            near.append((j << 40) | (distance.astype(np.int64) << 32) | i)
             held += len(j)
             if held > 1 << 21:
                 near, held = [best()], 0
         keys = best()
-        j = keys >> 40
-        keep = np.arange(len(j)) - np.searchsorted(j, j) >= lo
-        i, j = (keys & 0xFFFFFFFF)[keep], j[keep]
-        yield pa.record_batch({"a": node[j], "b": node[i], "more": count[j] > hi})
+        i, j = keys & 0xFFFFFFFF, keys >> 40
+        yield pa.record_batch({"a": node[j], "b": node[i], "more": count[j] > most})
+
+    return _in_buckets(buckets, work, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
-    key = ["tab", "bits", "bucket"]
-    dealt = buckets.repartition(*key).sortWithinPartitions(*key, "first_id", "node")
-    return dealt.mapInArrow(by_group(key, work), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+
+def _involved(buckets: DataFrame, radius: int) -> DataFrame:
+    """node: those that ask and have a candidate, and their candidates."""
+
+    def work(t: pa.Table, starts: np.ndarray):
+        node, some = t.column("node").to_numpy(), np.zeros(t.num_rows, bool)
+        for i, j, _ in _candidates(t, starts, radius):
+            some[i] = True
+            some[j] = True
+        yield pa.record_batch({"node": np.unique(node[some])})
+
+    return _in_buckets(buckets, work, "node long").distinct()
+
+
+def _all_near(buckets: DataFrame, radius: int) -> DataFrame:
+    """a, b: all candidates ``b`` of each node ``a`` that asks, by fingerprints (``long``) of 1,024 bits."""
+
+    def work(t: pa.Table, starts: np.ndarray):
+        node = t.column("node").to_numpy()
+        words = np.frombuffer(b"".join(t.column("long").to_pylist()), np.uint64).reshape(len(node), -1)
+        for i, j, _ in _candidates(t, starts, radius):
+            for lo in range(0, len(i), 1 << 16):
+                p, q = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
+                like = np.bitwise_count(words[p] ^ words[q]).sum(axis=1) <= LONG_APART
+                yield pa.record_batch({"a": node[q[like]], "b": node[p[like]]})
+
+    return _in_buckets(buckets, work, "a long, b long").distinct()
 
 
 def _sets(shingle: int):
@@ -369,7 +408,8 @@ def similar_links(docs: DataFrame, shingle: int = 5, radius: int = 15, least: fl
     their verified links a, b.
 
     Each node first asks its two nearest candidates of each bucket. Those that had more and found no
-    link ask the next ones, eight times as many each time, until none is left that could have one."""
+    link, most of them texts of a family that is alike but not alike enough, then ask all of theirs:
+    fingerprints of 1,024 bits, made for those concerned, leave few that have to be verified."""
     text = F.coalesce("text", F.lit(""))
     docs = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(99), text).alias("d2"))
     docs = docs.filter("doc_id is not null")
@@ -384,17 +424,29 @@ def similar_links(docs: DataFrame, shingle: int = 5, radius: int = 15, least: fl
     nodes = marked.groupBy("d1", "d2", "fp", "f2", "f3").agg(F.min("doc_id").alias("first_id"))
     nodes = settled(nodes.withColumn("node", F.monotonically_increasing_id()))
     buckets = bucketed(nodes)
-    found, waiting, lo, hi = [], None, 0, 2
-    while True:
-        asking = buckets.withColumn("ask", F.lit(1)) if waiting is None else buckets.join(waiting.withColumn("ask", F.lit(1)), "node", "left").withColumn("ask", F.coalesce("ask", F.lit(0)))
-        asked = settled(proposals(asking, radius, lo, hi))
-        links = settled(verified(asked, nodes, docs, shingle, least))
-        found.append(links)
-        waiting = settled(asked.groupBy("a").agg(F.max("more").alias("more")).filter("more").select(F.col("a").alias("node")).join(links.select(F.col("a").alias("node")), "node", "left_anti"))
-        dropped(asked)
-        if waiting.isEmpty():
-            return nodes, _united(found)
-        lo, hi = hi, 8 * hi
+    asked = settled(nearest(buckets.withColumn("ask", F.lit(1)), radius, 2))
+    links = settled(verified(asked, nodes, docs, shingle, least))
+    waiting = asked.filter("more").select(F.col("a").alias("node")).distinct().join(links.select(F.col("a").alias("node")), "node", "left_anti")
+    waiting = settled(waiting.withColumn("ask", F.lit(1)))
+    dropped(asked)
+    if waiting.isEmpty():
+        return nodes, links
+    asking = buckets.join(waiting, "node", "left").withColumn("ask", F.coalesce("ask", F.lit(0)))
+    concerned = nodes.join(settled(_involved(asking, radius)), "node").select("node", F.col("first_id").alias("doc_id"), "d1", "d2")
+    if concerned.count() <= BROADCAST_ASKS:
+        concerned = F.broadcast(concerned)
+
+    def longer(batches):
+        for batch in batches:
+            fp = [fingerprint_block(data, offsets, shingle, LONG - 1) for _, _, data, offsets in text_blocks(batch, "text")]
+            fp = np.concatenate([np.zeros((0, LONG), np.uint64), *fp])
+            yield pa.record_batch({"node": batch.column("node"), "long": pa.array([x.tobytes() for x in fp], pa.binary())})
+
+    texts = docs.join(concerned, ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"])
+    long = settled(texts.select("node", "text").mapInArrow(longer, "node long, long binary"))
+    asked = settled(_all_near(asking.join(long, "node"), radius))
+    more = settled(verified(asked, nodes, docs, shingle, least))
+    return nodes, links.unionByName(more)
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, radius: int = 15, least: float = 0.8) -> DataFrame:
