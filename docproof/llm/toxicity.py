@@ -2,9 +2,9 @@
 
 A text's terms are its distinct lower-cased words and their first 4, 5 and 6 bytes (stems), as
 64-bit hashes. Of those in three and more documents of the bounded training sample the ``TERMS`` that
-tell the classes apart best are the features; the machine learns a weight for each (FTRL, sparse) and ``FACTORS`` factors whose products
-weigh pairs of terms, such as an insult beside a mention of a group, that no sum of single
-weights can express.
+tell the classes apart best are the features; the machine learns a weight for each (FTRL, sparse)
+and ``FACTORS`` factors whose products weigh pairs of terms, such as an insult beside a mention of
+a group, that no sum of single weights can express.
 
 Cases: a null or empty text has only the bias; unlabelled, null-labelled or id-less rows teach
 nothing; without any label the score is 0.5; repeated rows get the same score; long texts are
@@ -25,7 +25,7 @@ from docproof.llm.textbytes import LOWER, hashed, mixed, positions, text_blocks,
 SAMPLE = 20_000
 #: Terms of the model. More of them do worse on held-out documents: the sample is too small to learn
 #: factors for terms that stand in a few of its documents (figures are in the README).
-TERMS, FACTORS, ROUNDS = 8192, 4, 4
+TERMS, PER_LABEL, FACTORS, ROUNDS = 8192, 3, 4, 4
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.3, 1e-3
 STEP, DECAY = 0.05, 1e-4
 STEMS = (4, 5, 6)
@@ -67,9 +67,11 @@ def _counts(batches):
 
 
 def telling_terms(rows: DataFrame, most: int) -> np.ndarray:
-    """The ``most`` hashes with the largest z of their log odds ratio between the classes, sorted."""
+    """The ``most`` hashes with the largest z of their log odds ratio between the classes, sorted; no more
+    than ``PER_LABEL`` for each labelled document."""
     n = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("p")).first()
     pos, neg = float(n["p"]), float(n["n"] - n["p"])
+    most = min(most, PER_LABEL * n["n"])
     found = rows.mapInArrow(_counts, "term long, df long, a long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("df").alias("df")).filter("df >= 3")
     a, b = F.col("a") + 0.5, F.col("df") - F.col("a") + 0.5
     z = (F.log(a / (pos + 1 - a)) - F.log(b / (neg + 1 - b))) / F.sqrt(1 / a + 1 / b)
