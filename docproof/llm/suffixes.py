@@ -46,7 +46,9 @@ LENGTH, GRAM = 100, 32
 #: Contexts of one gram that a shard takes; a gram with more is dealt to several shards.
 SHARD = 16384
 #: Rows whose contexts are cut out and compared at a time.
-CUT = 200_000
+CUT = 100_000
+#: Bytes that are copied at a time.
+GATHERED = 1 << 20
 #: Up to so many grams with more contexts than a shard takes are sent to every task; beyond, a shuffle join is used.
 BROADCAST_GRAMS = 20_000
 
@@ -303,7 +305,12 @@ def _gathered(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndar
     """``data[lo:hi]`` of all intervals put end to end, and where each begins (and the end)."""
     size = hi - lo
     cut = np.append(0, np.cumsum(size))
-    return data[np.arange(int(cut[-1])) - np.repeat(cut[:-1] - lo, size)], cut
+    out, a = np.empty(int(cut[-1]), np.uint8), 0
+    while a < len(size):  # some at a time, as each byte takes two places in the index
+        b = max(a + 1, int(np.searchsorted(cut, cut[a] + GATHERED, "right")) - 1)
+        out[cut[a] : cut[b]] = data[np.arange(cut[a], cut[b]) - np.repeat(cut[a:b] - lo[a:b], size[a:b])]
+        a = b
+    return out, cut
 
 
 def _kinds(gram: np.ndarray, held: pa.Array, who: tuple[np.ndarray, ...], lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -477,7 +484,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     else:
         cut = cut.withColumns({"part": F.lit(0), "parts": F.lit(1)})
     dealt = cut.select("deal", "part", "parts", "gone", *WHO, "lo", "hi", "bytes").repartition("deal", "part").sortWithinPartitions("deal", "part")
-    shards = settled(dealt.mapInArrow(by_group(["deal", "part"], _shard(length), 20_000), SHARDED))
+    shards = settled(dealt.mapInArrow(by_group(["deal", "part"], _shard(length), 10_000), SHARDED))
     dropped(look)
 
     gone = shards.filter("kind = 1").select(*WHO, "lo", "hi")
