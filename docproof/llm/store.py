@@ -44,6 +44,7 @@ def settled(df: DataFrame) -> DataFrame:
     """``df`` written once as a table in the shared folder and read back, so that lost executors
     cost no recomputation of what led to it, and later reads see only the columns they need."""
     spark = df.sparkSession
+    tidy(spark)
     path = f"{checkpoint_dir(spark)}/docproof-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
