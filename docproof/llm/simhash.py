@@ -68,7 +68,7 @@ def fingerprint_block(data: np.ndarray, offsets: np.ndarray, shingle: int, more:
     rows, cut, total = np.unique(owner, return_index=True, return_counts=True)
     # shingles are hashed and unpacked some thousands at a time, so a long text needs no more memory
     sums = np.zeros((len(rows), 64 * (1 + more)), np.int64)
-    step = 1 << 14
+    step = (1 << 20) // (64 * (1 + more))
     for lo in range(0, len(s), step):
         hi = min(lo + step, len(s))
         from_, upto = int(s[lo:hi].min()), int(e[lo:hi].max())

@@ -21,7 +21,7 @@ _SYMBOL = (np.arange(1, 257, dtype=np.uint64) * _M1) ^ (np.arange(1, 257, dtype=
 _POWERS = np.cumprod(np.full(1 << 12, _M2, dtype=np.uint64))
 
 
-def text_blocks(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_blocks(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows lo..hi of ``batch`` with their bytes and offsets, about ``most_bytes`` at a time
     (a longer text comes alone); null texts are empty."""
     col = pc.fill_null(batch.column(column), "").cast(pa.large_string())
