@@ -46,7 +46,7 @@ def settled(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     tidy(spark)
     path = f"{checkpoint_dir(spark)}/docproof-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._settled_at = path
     return table
