@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docproof.llm import chat, embeddings, mixing, negatives, neighbours, packing, passages, quality, simhash, suffixes, toxicity
+from docproof.llm import chat, divergence, embeddings, mixing, negatives, neighbours, packing, passages, quality, simhash, suffixes, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,6 +142,39 @@ SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, n
 """
 
 
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every (lang, source) of all documents from the other sources and from its language."""
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS n, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), kept AS (
+  SELECT lang, term FROM (SELECT n, lang, unnest(list_distinct(terms)) AS term FROM docs) GROUP BY lang, term HAVING count(*) >= 3
+), counted AS (
+  SELECT lang, source, term, count(*)::HUGEINT AS c FROM (SELECT lang, source, unnest(terms) AS term FROM docs) JOIN kept USING (lang, term) GROUP BY ALL
+), grp AS (
+  SELECT lang, source, coalesce(v, 0)::HUGEINT AS v, coalesce(total, 0)::HUGEINT AS total FROM (SELECT DISTINCT lang, source FROM docs)
+  LEFT JOIN (SELECT lang, count(*) AS v FROM kept GROUP BY lang) USING (lang) LEFT JOIN (SELECT lang, source, sum(c) AS total FROM counted GROUP BY ALL) USING (lang, source)
+), own AS (
+  SELECT lang, source, term, coalesce(c, 0) AS c, 1 + 1000000000 * (coalesce(c, 0) + 1) // (total + v) AS p FROM grp JOIN kept USING (lang) LEFT JOIN counted USING (lang, source, term)
+), whole AS (
+  SELECT lang, term, 1 + 1000000000 * (c + 1) // (sum(c) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)) AS q FROM (SELECT lang, term, sum(c)::HUGEINT AS c FROM counted GROUP BY ALL)
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM own a JOIN own b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) s
+  ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), term AS (
+  SELECT lang, source, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM own JOIN whole USING (lang, term) WHERE c > 0 AND p > q
+)
+SELECT lang, source, part, item, value, rank::INT AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL SELECT lang, source, 'term', item, value FROM term))
+WHERE part = 'pair' OR rank <= 200
+"""
+
+
 QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_packing": op2_packing,
@@ -154,9 +187,11 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op13_source_audit": op13_source_audit,
 }
 ORACLES = {
     "op3_chat_formatting": OP3_SQL,
     "op4_source_mixing": OP4_SQL,
     "op11_hard_negatives": OP11_SQL,
+    "op13_source_audit": OP13_SQL,
 }
