@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docproof.llm import chat, divergence, embeddings, mixing, negatives, neighbours, packing, passages, quality, simhash, suffixes, toxicity
+from docproof.llm import chat, divergence, embeddings, mixing, negatives, neighbours, packing, passages, private, quality, simhash, suffixes, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,6 +142,12 @@ SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, n
 """
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents: identifiers of fixed form, and those that learnt contexts give away."""
+    found = private.personal_data(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_learnt")
+
+
 def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergence of every (lang, source) of all documents from the other sources and from its language."""
     return divergence.audit(_read(spark, sf_dir, "documents"))
@@ -187,6 +193,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_personal_data": op12_personal_data,
     "op13_source_audit": op13_source_audit,
 }
 ORACLES = {
