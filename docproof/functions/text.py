@@ -17,15 +17,17 @@ STOPWORDS = """
 """.split()
 
 # White space within a line, where a sentence ends, and what is a label alone.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACES = "[ \\t\\f\\x0B\\u00A0]+"
 BOUNDARY = "(?<=[.!?;:])(?U)\\s+(?=[A-Z0-9(£\"'“‘])"
-LABEL_ONLY = r"^(?:\(?\d+(?:\.\d+)*[.)]?|\([a-z]{1,4}\)|[A-Za-z][.)])$"
+LABEL = r"(?:\(?\d+(?:\.\d+)*[.)]?|\([a-z]{1,4}\)|[A-Za-z][.)])"
+LABEL_ONLY = f"^{LABEL}$"
 EMPTY = "cast(array() as array<string>)"
 
 
 def strip(c: Column) -> Column:
     """Without white space of any alphabet at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def normalise(text: Column) -> Column:
@@ -41,19 +43,12 @@ def split_sentences(text: Column) -> Column:
     """Sentence blocks; a label on its own goes to the piece after it in its line, or stays if it is last."""
     lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x: strip(F.regexp_replace(x, SPACES, " "))), lambda x: x != "")
 
-    def fold(line: Column) -> Column:
-        pieces = F.filter(F.transform(F.split(line, BOUNDARY, -1), strip), lambda y: y != "")
-        start = F.struct(F.expr(EMPTY).alias("done"), F.lit("").alias("label"))
+    # Lines hold no line feed, so one can mark where a piece ends; a mark behind a label goes again.
+    def pieces(line: Column) -> Column:
+        marked = F.regexp_replace(line, BOUNDARY, "\n")
+        return F.split(F.regexp_replace(marked, f"(^|\n)({LABEL})\n", "$1$2 "), "\n", -1)
 
-        def step(acc: Column, x: Column) -> Column:
-            piece = F.when(acc["label"] == "", x).otherwise(F.concat(acc["label"], F.lit(" "), x))
-            return F.when(piece.rlike(LABEL_ONLY), F.struct(acc["done"].alias("done"), piece.alias("label"))).otherwise(
-                F.struct(F.concat(acc["done"], F.array(piece)).alias("done"), F.lit("").alias("label"))
-            )
-
-        return F.aggregate(pieces, start, step, lambda a: F.when(a["label"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["label"]))))
-
-    return F.flatten(F.transform(lines, fold))
+    return F.flatten(F.transform(lines, pieces))
 
 
 def token_estimate(text: Column) -> Column:

@@ -30,45 +30,74 @@ def chunk_pages(pages: DataFrame, target_chars: int = 1100, overlap: int = 1) ->
     """document_id, page_number, ordinal_in_page, sentences, text, char_start, char_end, token_estimate.
 
     A chunk holds as many whole sentences as fit ``target_chars`` when joined by a character, one at
-    least; the next begins ``overlap`` sentences before its end. Where the chunk that begins with a
-    sentence ends follows from running totals of the lengths alone, so those that are taken are read
-    off in one pass over the sentences. A sentence is looked for in the page after the one before
-    it, and where it is not found as it stands it is put there."""
-    target, overlap, s = max(1, target_chars), max(0, overlap), F.col("sentences")
-    rows = pages.select("document_id", "page_number", F.coalesce("text", F.lit("")).alias("page")).withColumn("sentences", T.split_sentences(F.col("page"))).filter(F.size("sentences") > 0)
-    total = F.aggregate(s, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x) + 1)))
-    spans = F.aggregate(
-        s, F.struct(F.expr("cast(array() as array<struct<char_start:int,char_end:int>>)").alias("spans"), F.lit(1).alias("at")),
-        lambda a, x: F.struct(
-            F.concat(a["spans"], F.array(F.struct((_found(x, a["at"]) - 1).alias("char_start"), (_found(x, a["at"]) - 1 + F.length(x)).alias("char_end")))).alias("spans"),
-            (_found(x, a["at"]) + F.length(x)).alias("at"),
-        ),
-        lambda a: a["spans"],
-    )
-    rows = rows.withColumns({"total": total, "spans": spans})
-    places = F.sequence(F.lit(0), F.size("sentences") - 1)
-    fits = lambda i: F.size(F.filter("total", lambda x: x <= F.get("total", i) + target + 1)) - 2
-    rows = rows.withColumn("last", F.transform(places, lambda i: F.greatest(i, fits(i))))
-    taken = F.aggregate(
-        places, F.struct(F.expr("cast(array() as array<int>)").alias("begins"), F.lit(0).alias("next")),
-        lambda a, i: F.when(i != a["next"], a).otherwise(F.struct(
-            F.concat(a["begins"], F.array(i)).alias("begins"),
-            F.when(F.get("last", i) + 1 >= F.size("sentences"), F.size("sentences")).otherwise(F.greatest(F.get("last", i) + 1 - overlap, i + 1)).alias("next"),
-        )),
-        lambda a: a["begins"],
-    )
-    cut = rows.select("document_id", "page_number", "sentences", "spans", "last", F.posexplode(taken).alias("ordinal_in_page", "b")).withColumn("e", F.get("last", F.col("b")))
-    whole = cut.select(
-        "document_id", "page_number", "ordinal_in_page", F.slice("sentences", F.col("b") + 1, F.col("e") - F.col("b") + 1).alias("sentences"),
-        F.get("spans", F.col("b"))["char_start"].alias("char_start"), F.get("spans", F.col("e"))["char_end"].alias("char_end"),
-    ).withColumn("text", F.array_join("sentences", "\n"))
+    least; the next begins ``overlap`` sentences before its end. A sentence is looked for in the page after
+    the one before it, and where it is not found as it stands it is put there. The work on a page grows
+    with its sentences: see :func:`_ends` and :func:`_taken`."""
+    target, overlap = max(1, target_chars), max(0, overlap)
+    rows = pages.select("document_id", "page_number", F.coalesce("text", F.lit("")).alias("page"))
+    rows = rows.withColumn("sentences", T.split_sentences(F.col("page")))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, PAGES):
+                part = batch.slice(lo, PAGES)
+                column = part.column("sentences")
+                flat = column.flatten()
+                begins = column.offsets.to_numpy() - column.offsets[0].as_py()
+                end = _ends(pc.utf8_length(flat).to_numpy(), begins, target)
+                page, b = _taken(end, begins, overlap)
+                e = end[b]
+                start, stop = _places(part.column("page").to_pylist(), flat.to_pylist(), begins)
+                n = e - b + 1
+                cut = np.append(0, np.cumsum(n))
+                held = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), flat.take(pa.array(np.repeat(b - cut[:-1], n) + np.arange(cut[-1]))))
+                yield pa.record_batch({
+                    "document_id": part.column("document_id").take(pa.array(page)), "page_number": part.column("page_number").take(pa.array(page)),
+                    "ordinal_in_page": pa.array(np.arange(len(page)) - np.searchsorted(page, page), pa.int32()), "sentences": held,
+                    "text": pc.binary_join(held, "\n"), "char_start": pa.array(start[b], pa.int32()), "char_end": pa.array(stop[e], pa.int32()),
+                })
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("document_id", "page_number"))
+    whole = rows.mapInArrow(packed, f"{kinds}, ordinal_in_page int, sentences array<string>, text string, char_start int, char_end int")
     return whole.withColumn("token_estimate", T.token_estimate(F.col("text")))
 
 
-def _found(sentence: Column, at: Column) -> Column:
-    """Where ``sentence`` stands in the page, from place ``at`` (1-based) on; ``at`` if it does not."""
-    place = F.position(sentence, F.col("page"), at)
-    return F.when(place > 0, place).otherwise(at)
+#: Pages packed at a time.
+PAGES = 256
+
+
+def _ends(sizes: np.ndarray, begins: np.ndarray, target: int) -> np.ndarray:
+    """For each sentence the last of the chunk that would begin with it: one sorted search in the running totals."""
+    total = np.append(0, np.cumsum(sizes + 1))
+    last = np.repeat(begins[1:], np.diff(begins)) - 1
+    fits = np.searchsorted(total, total[:-1] + target + 1, "right") - 2
+    return np.maximum(np.arange(len(sizes)), np.minimum(fits, last))
+
+
+def _taken(end: np.ndarray, begins: np.ndarray, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Page and first sentence of each chunk, in order: from each page's first sentence on to where the next begins."""
+    page = np.flatnonzero(np.diff(begins))
+    at, out = begins[page], [(page[:0], begins[:0])]
+    while len(at):
+        out.append((page, at))
+        on = end[at] + 1 < begins[page + 1]
+        page, at = page[on], np.maximum(end[at[on]] + 1 - overlap, at[on] + 1)
+    page, at = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.lexsort((at, page))
+    return page[order], at[order]
+
+
+def _places(pages: list[str], sentences: list[str], begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each sentence begins and ends in its page."""
+    start, size = np.zeros(len(sentences), np.int64), np.array([len(s) for s in sentences], np.int64)
+    for page, lo, hi in zip(pages, begins.tolist(), begins[1:].tolist(), strict=False):
+        at = 0
+        for i in range(lo, hi):
+            found = page.find(sentences[i], at)
+            at = at if found < 0 else found
+            start[i] = at
+            at += len(sentences[i])
+    return start, start + size
 
 
 def chunk_ordinals(chunks: DataFrame) -> DataFrame:

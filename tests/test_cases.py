@@ -3,6 +3,8 @@
 import datetime
 from decimal import Decimal
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +70,22 @@ def test_chunks_by_definition(spark, target, overlap):
     assert not [r for r in rows if r.document_id == 9]
 
 
+def test_chunks_of_long_pages_take_linear_time(spark):
+    """Sentences of one line as well as lines: eight times the sentences must not take anything like the square."""
+
+    def took(n):
+        df = spark.createDataFrame([(1, 1, " ".join(f"Sentence {i} of the table has some words in it." for i in range(n)) + "\n" + "Row;\n" * n)], "document_id int, page_number int, text string")
+        times = []
+        for _ in range(2):
+            began = time.monotonic()
+            assert P.chunk_pages(df).count() > n // 40
+            times.append(time.monotonic() - began)
+        return min(times)
+
+    took(200)
+    assert took(32_000) < 12 * max(took(4_000), 0.5)
+
+
 @pytest.mark.parametrize("digest", ["blake2b", "md5"])
 def test_hash_features_by_definition(spark, digest):
     texts = ["break notice and rent review", "rent", "the of", None, "rent rent review rent"]
