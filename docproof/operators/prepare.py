@@ -163,7 +163,7 @@ def hashed_embeddings(texts: DataFrame, key: str, *carried: str, dims: int = 384
     """``key``, ``carried`` columns and ``embedding`` of each text; ``embed`` takes the place of feature hashing, 32 texts a call.
 
     ``digest`` names the hash of a feature: its first eight bytes, as a big-endian number, give the
-    axis and the sign."""
+    axis and the sign. ``tokens`` are taken as they are where ``texts`` has them."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +183,15 @@ def hashed_embeddings(texts: DataFrame, key: str, *carried: str, dims: int = 384
     if embed:
         return texts.select(key, *carried, called("text").alias("embedding"))
     kinds = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in (key, *carried))
-    return texts.select(key, *carried, T.content_tokens(F.col("text")).alias("tokens")).mapInArrow(hashed, f"{kinds}, embedding array<float>")
+    tokens = F.col("tokens") if "tokens" in texts.columns else T.content_tokens(F.col("text"))
+    return texts.select(key, *carried, tokens.alias("tokens")).mapInArrow(hashed, f"{kinds}, embedding array<float>")
+
+
+def embed_missing(rows: DataFrame, key: str, *carried: str, embed: Callable[[list[str]], list] | None = None, digest: str = "blake2b") -> DataFrame:
+    """As :func:`hashed_embeddings`, for rows that may have an ``embedding``: those keep it, and only the texts of the
+    others (null: not embedded yet) are embedded."""
+    known = rows.filter("embedding is not null").select(key, *carried, "embedding")
+    return known.unionByName(hashed_embeddings(rows.filter("embedding is null").drop("embedding"), key, *carried, embed=embed, digest=digest))
 
 
 def lexeme_places(chunks: DataFrame, *carried: str) -> DataFrame:
@@ -191,6 +199,11 @@ def lexeme_places(chunks: DataFrame, *carried: str) -> DataFrame:
     return chunks.select("chunk_id", *carried, F.explode(T.lexemes(F.col("text"))).alias("l")).select("chunk_id", *carried, "l.lexeme", "l.position")
 
 
+def token_places(passages: DataFrame, *carried: str) -> DataFrame:
+    """chunk_id, ``carried`` columns, lexeme of passages whose ``tokens`` are kept: one row for each place."""
+    return passages.select("chunk_id", *carried, F.explode("tokens").alias("lexeme"))
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """chunk_id, lexeme, positions: one row for each lexeme of a chunk, made without a shuffle of texts."""
     each = chunks.select("chunk_id", F.explode(T.lexemes(F.col("text"))).alias("l"))

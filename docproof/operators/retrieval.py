@@ -6,14 +6,11 @@ configuration (no stemming)."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from docproof.functions import text as T
-from docproof.session import written
+from docproof.operators import nearest, postings
 
 WORD = "[A-Za-z0-9£][A-Za-z0-9£',.\\-]*"
 #: Rarest share of documents, least terms of a name, most documents of a focus, head of page one.
@@ -33,8 +30,7 @@ def word_lexemes(words: DataFrame) -> DataFrame:
 def query_lexemes(words: DataFrame) -> DataFrame:
     """question_id, lexeme, first (the place of the first word with it), in questions with at least two."""
     rows = word_lexemes(words).groupBy("question_id", "lexeme").agg(F.min("place").alias("first"))
-    enough = rows.groupBy("question_id").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_TERMS)
-    return rows.join(enough.select("question_id"), "question_id", "left_semi")
+    return rows.withColumn("n", F.count("*").over(W.partitionBy("question_id"))).filter(F.col("n") >= LEAST_TERMS).drop("n")
 
 
 def document_identities(documents: DataFrame, pages: DataFrame) -> DataFrame:
@@ -57,8 +53,7 @@ def identifying_terms(lexemes: DataFrame, identities: DataFrame, documents: Data
     seen = asked.join(size, "portfolio_id").groupBy("question_id").agg(F.sum("docs").alias("docs"))
     rows = lexemes.join(asked, "question_id").join(df, ["portfolio_id", "lexeme"]).groupBy("question_id", "lexeme").agg(F.sum("df").alias("df")).join(seen, "question_id")
     few = rows.filter(F.col("df") <= F.greatest(F.lit(1), F.floor(F.col("docs") * COMMON_SHARE)))
-    enough = few.groupBy("question_id").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_TERMS)
-    return few.join(enough.select("question_id"), "question_id", "left_semi").select("question_id", "lexeme")
+    return few.withColumn("n", F.count("*").over(W.partitionBy("question_id"))).filter(F.col("n") >= LEAST_TERMS).select("question_id", "lexeme")
 
 
 def focus_documents(terms: DataFrame, identities: DataFrame, documents: DataFrame, asked: DataFrame) -> DataFrame:
@@ -70,10 +65,9 @@ def focus_documents(terms: DataFrame, identities: DataFrame, documents: DataFram
     seen = asked.join(size, "portfolio_id").groupBy("question_id").agg(F.sum("docs").alias("docs"))
     hits = terms.join(identities, "lexeme").join(asked, ["question_id", "portfolio_id"], "left_semi")
     score = hits.groupBy("question_id", "document_id").agg(F.sum(F.when(F.col("named"), 2).otherwise(1)).alias("score"))
-    best = score.groupBy("question_id").agg(F.max("score").alias("best"))
-    top = score.join(best, "question_id").filter("score = best and best >= 2").select("question_id", "document_id", "score")
-    ties = top.groupBy("question_id").agg(F.count("*").alias("n")).join(seen, "question_id").filter((F.col("n") <= MOST_FOCUS) & (F.col("n") < F.col("docs")))
-    return top.join(ties.select("question_id"), "question_id", "left_semi")
+    whole = W.partitionBy("question_id")
+    top = score.withColumn("best", F.max("score").over(whole)).filter("score = best and best >= 2").withColumn("n", F.count("*").over(whole)).filter(F.col("n") <= MOST_FOCUS)
+    return top.join(seen, "question_id").filter(F.col("n") < F.col("docs")).select("question_id", "document_id", "score")
 
 
 def passage_query(questions: DataFrame, words: DataFrame, terms: DataFrame, focus: DataFrame, identities: DataFrame) -> DataFrame:
@@ -87,71 +81,23 @@ def passage_query(questions: DataFrame, words: DataFrame, terms: DataFrame, focu
     return questions.join(rest, "question_id", "left").select("question_id", F.coalesce(F.nullif("rest", F.lit("")), "text").alias("query"))
 
 
-#: Questions that one pass over the corpus holds in each task, and those whose distances are worked out at a time.
-QUERY_BLOCK, STEP = 8192, 256
-
-
-def _nearest(shared, n: int, scoped: bool):
-    """For mapInArrow: each batch's ``n`` nearest passages of every question of the block."""
-
-    def near(batches):
-        ids, q, seen, portfolios = shared.value
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            key = batch.column("chunk_id").to_numpy()
-            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(key), -1)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            if scoped:  # which of the block's portfolios each passage is in, -1 for none
-                at = pc.index_in(batch.column("portfolio_id"), portfolios).fill_null(-1).to_numpy(zero_copy_only=False)
-            for lo in range(0, len(ids), STEP):
-                d = np.round(1 - q[lo : lo + STEP] @ x.T, 9)
-                if scoped:
-                    d[~seen[lo : lo + STEP, at]] = np.inf
-                if len(key) > n:
-                    d[d > np.partition(d, n - 1, axis=1)[:, n - 1 : n]] = np.inf
-                i, j = np.nonzero(np.isfinite(d))
-                order = np.lexsort((key[j], d[i, j], i))
-                i, j = i[order], j[order]
-                best = np.arange(len(i)) - np.searchsorted(i, i) < n
-                i, j = i[best], j[best]
-                yield pa.record_batch({"question_id": ids[lo + i], "chunk_id": key[j], "distance": d[i, j]})
-
-    return near
-
-
 def vector_top_n(questions: DataFrame, chunks: DataFrame, n: int = 30, scope: DataFrame | None = None) -> DataFrame:
     """question_id, chunk_id, distance, vector_rank: the ``n`` nearest by cosine distance, ties to the
     smaller chunk_id; null vectors are skipped.
 
     Both: id and ``embedding``. With ``scope`` (question_id, portfolio_id) a question sees the passages
-    (portfolio_id) of its portfolios only, and none without one. Questions go to the tasks in blocks
-    of a fixed size, each task keeps its own best ``n`` by matrix products, and only those are
-    shuffled. Distances are rounded to nine places before they are compared."""
+    (portfolio_id) of its portfolios only, and none without one. Blocks of questions and blocks of
+    passages meet in tiles (:mod:`nearest`): passages are read once, and neither side comes to the
+    driver. Distances are rounded to nine places before they are compared."""
     rows = questions.filter("embedding is not null").select("question_id", "embedding")
     if scope is not None:
         own = scope.groupBy("question_id").agg(F.collect_set("portfolio_id").alias("portfolios"))
         rows = rows.join(own, "question_id")
-    blocks = max(1, -(-rows.count() // QUERY_BLOCK))
-    if blocks > 1:
-        rows = written(rows)
-    out = None
-    for b in range(blocks):
-        block = rows.filter(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b).collect()  # about QUERY_BLOCK questions
-        ids = np.array([r["question_id"] for r in block], dtype=np.int64)
-        q = np.array([r["embedding"] for r in block], dtype=np.float64)
-        names = sorted({x for r in block for x in r["portfolios"]}) if scope is not None else []
-        place = {x: i for i, x in enumerate(names)}
-        seen = np.zeros((len(block), len(names) + 1), bool)
-        if scope is not None:
-            for i, r in enumerate(block):
-                seen[i, [place[x] for x in r["portfolios"]]] = True
-        shared = chunks.sparkSession.sparkContext.broadcast((ids, q / np.linalg.norm(q, axis=1, keepdims=True) if len(q) else q, seen, pa.array(names, pa.string())))
-        columns = ["chunk_id", "embedding", *(["portfolio_id"] if scope is not None else [])]
-        part = chunks.filter("embedding is not null").select(*columns).mapInArrow(_nearest(shared, n, scope is not None), "question_id long, chunk_id long, distance double")
-        out = part if out is None else out.unionByName(part)
+    else:
+        rows = rows.withColumn("portfolios", F.lit(None).cast("array<string>"))
     best = W.partitionBy("question_id").orderBy("distance", "chunk_id")
-    return out.withColumn("vector_rank", F.row_number().over(best)).filter(F.col("vector_rank") <= n)
+    near = nearest.nearest(rows, chunks.filter("embedding is not null"), n, scope is not None)
+    return near.withColumn("vector_rank", F.row_number().over(best)).filter(F.col("vector_rank") <= n)
 
 
 def vector_top_n_focused(questions: DataFrame, focus: DataFrame, chunks: DataFrame, n: int = 30, on: list[str] | None = None) -> DataFrame:
@@ -164,29 +110,47 @@ def vector_top_n_focused(questions: DataFrame, focus: DataFrame, chunks: DataFra
     return pairs.select("question_id", "chunk_id", distance.alias("distance")).withColumn("vector_rank", F.row_number().over(best)).filter(F.col("vector_rank") <= n)
 
 
-def lexical_top_n(queries: DataFrame, words: DataFrame, n: int = 30, scope: DataFrame | None = None, focus: DataFrame | None = None) -> DataFrame:
+def lexical_top_n(queries: DataFrame, words: DataFrame, n: int = 30, scope: DataFrame | None = None, focus: DataFrame | None = None, focused_only: bool = False) -> DataFrame:
     """question_id, chunk_id, score, lexical_rank: passages with any lexeme of the query, best first.
 
     ``queries``: question_id, query; ``words``: chunk_id, lexeme, one row for each place of a lexeme. With
     ``scope`` (question_id, portfolio_id) and ``focus`` (question_id, document_id) a question sees the
     passages (portfolio_id, document_id) of its portfolios, and of its focused documents if it has
-    any. Words that no question has go before anything is shuffled, hits are counted before the
-    shuffle, and only counts move."""
+    any (``focused_only``: and the others see none). Words that no question has go before anything is
+    shuffled, hits are counted before the shuffle, and only counts move. Where passages are searched
+    more than once, :func:`lexical_top_n_indexed` reads a stored index instead."""
     wanted = queries.select("question_id", F.explode(F.array_distinct(F.transform(T.lexemes(F.col("query")), lambda p: p["lexeme"]))).alias("lexeme"))
     if scope is None:
         hits = words.select("chunk_id", "lexeme").join(wanted, "lexeme")
     else:
         words = words.select("chunk_id", "document_id", "portfolio_id", "lexeme").join(wanted.select("lexeme").distinct(), "lexeme", "left_semi")
-        free = wanted if focus is None else wanted.join(focus, "question_id", "left_anti")
-        hits = words.join(free.join(scope.select("question_id", "portfolio_id").distinct(), "question_id"), ["lexeme", "portfolio_id"]).select("question_id", "chunk_id")
+        hits = None
+        if not focused_only:
+            free = wanted if focus is None else wanted.join(focus, "question_id", "left_anti")
+            hits = words.join(free.join(scope.select("question_id", "portfolio_id").distinct(), "question_id"), ["lexeme", "portfolio_id"]).select("question_id", "chunk_id")
         if focus is not None:
             named = wanted.join(focus.select("question_id", "document_id"), "question_id").join(scope.select("question_id", "portfolio_id").distinct(), "question_id")
-            hits = hits.unionByName(words.join(named, ["lexeme", "document_id", "portfolio_id"]).select("question_id", "chunk_id"))
+            own = words.join(named, ["lexeme", "document_id", "portfolio_id"]).select("question_id", "chunk_id")
+            hits = own if hits is None else hits.unionByName(own)
     score = hits.groupBy("question_id", "chunk_id").agg((F.count("*") * F.lit(0.1)).alias("score"))
     best = W.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
     return score.withColumn("lexical_rank", F.row_number().over(best)).filter(F.col("lexical_rank") <= n)
 
 
+def lexical_top_n_indexed(queries: DataFrame, index: DataFrame, n: int = 30, scope: DataFrame | None = None, gone: DataFrame | None = None) -> DataFrame:
+    """As :func:`lexical_top_n` without a focus, from a stored index (:func:`postings.index_blocks`): only the folders of
+    wanted lexemes are opened, and of the postings only those of ranges that can hold a result.
+
+    Without ``scope`` every question sees all passages."""
+    asked = postings.wanted_lexemes(queries)
+    if scope is None:
+        index, asked = index.withColumn("portfolio_id", F.lit("")), asked.withColumn("portfolio_id", F.lit(""))
+    else:
+        asked = asked.join(scope.select("question_id", "portfolio_id").distinct(), "question_id")
+    found = postings.search(asked, index, n, gone)
+    return found.select("question_id", "chunk_id", (F.col("n") * F.lit(0.1)).alias("score"), "lexical_rank")
+
+
 def rrf_fuse(vector: DataFrame, lexical: DataFrame, k: int = 8, rrf_k: int = 60) -> DataFrame:
     """question_id, chunk_id, source_index, fused_score, vector_rank, lexical_rank: reciprocal rank
     fusion; ties to the better vector rank (none is last), then the smaller chunk_id."""
@@ -206,10 +170,15 @@ def hybrid_search(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, wor
     (``focus``), these alone. A blank question has no sources."""
     asked = queries.filter(T.strip(F.col("query")) != "")
     vectors = vectors.join(asked.select("question_id"), "question_id", "left_semi")
+    return hybrid_fused(vectors, chunks, lexical_top_n(asked, words, candidates, scope, focus), scope, focus, k, candidates, rrf_k, embedding)
+
+
+def hybrid_fused(vectors: DataFrame, chunks: DataFrame, lexical: DataFrame, scope: DataFrame, focus: DataFrame, k: int = 8, candidates: int = 30, rrf_k: int = 60, embedding: str = "hashed features") -> DataFrame:
+    """The vector leg of ``vectors`` (question_id, embedding), fused with a ``lexical`` leg."""
     free = vector_top_n(vectors.join(focus.select("question_id").distinct(), "question_id", "left_anti"), chunks, candidates, scope)
     named = focus.select("question_id", "document_id").join(scope.select("question_id", "portfolio_id").distinct(), "question_id")
     own = vector_top_n_focused(vectors, named, chunks, candidates, ["document_id", "portfolio_id"])
-    fused = rrf_fuse(free.unionByName(own), lexical_top_n(asked, words, candidates, scope, focus), k, rrf_k)
+    fused = rrf_fuse(free.unionByName(own), lexical, k, rrf_k)
     limits = F.struct(F.lit(LEAST_TERMS).alias("min_terms"), F.lit(COMMON_SHARE).alias("common_share"), F.lit(MOST_FOCUS).alias("max_documents"))
     settings = F.struct(F.lit(k).alias("k"), F.lit(candidates).alias("candidates"), F.lit(rrf_k).alias("rrf_k"), F.lit(embedding).alias("embedding"), limits.alias("focus"))
     return fused.withColumn("settings", settings)

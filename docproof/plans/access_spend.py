@@ -11,7 +11,7 @@ from docproof.plans.registry import query
 from docproof.session import table
 
 V_VISIBLE = "SELECT user_id, portfolio_id FROM v_member WHERE user_id IN (SELECT user_id FROM v_user WHERE role <> 'director') UNION SELECT user_id, portfolio_id FROM v_user, v_portfolio WHERE role = 'director'"
-V_CITATION = "SELECT question_id, ((question_id * 7) % (SELECT count(*) FROM documents)) * 1000 + 1 AS chunk_id, 1 AS ordinal FROM v_question UNION ALL SELECT question_id, ((question_id * 11) % (SELECT count(*) FROM documents)) * 1000 + 1, 2 FROM v_question WHERE question_id % 3 = 0"
+V_CITATION = "SELECT question_id, ((question_id * 7) % (SELECT count(*) FROM documents)) * 1000000 + 1 AS chunk_id, 1 AS ordinal FROM v_question UNION ALL SELECT question_id, ((question_id * 11) % (SELECT count(*) FROM documents)) * 1000 + 1, 2 FROM v_question WHERE question_id % 3 = 0"
 COST = " + ".join(f"u.{n} * coalesce(p.{c}, 0)" for n, c in S.TOKENS)
 V_MATCH = "SELECT m.model, (SELECT price_model FROM v_price WHERE starts_with(m.model, price_model) ORDER BY length(price_model) DESC LIMIT 1) AS price_model FROM (SELECT DISTINCT model FROM v_usage) m"
 V_UNITS = f"SELECT u.*, (({COST}) * 10000)::HUGEINT AS units FROM v_usage u JOIN v_match m ON m.model = u.model LEFT JOIN v_price p ON p.price_model = m.price_model"
@@ -27,7 +27,7 @@ def citations(spark, d):
     """Each question cites the first page of one document, every third that of a second one."""
     q = D.questions(spark, d)
     n = table(spark, d, "documents").count()
-    chunk = lambda k: ((F.col("question_id") * k) % n) * 1000 + 1
+    chunk = lambda k: ((F.col("question_id") * k) % n) * D.WIDE + 1
     return q.select("question_id", chunk(7).alias("chunk_id"), F.lit(1).alias("ordinal")).unionByName(q.filter("question_id % 3 = 0").select("question_id", chunk(11).alias("chunk_id"), F.lit(2).alias("ordinal")))
 
 
@@ -81,14 +81,14 @@ def human_questions(spark, d):
     return A.human_questions(q, q.filter("question_id % 4 = 0").select("question_id")).select("question_id")
 
 
-V_SOURCES = "SELECT c.question_id, d.source AS portfolio_id FROM v_citation c JOIN documents d ON d.doc_id = c.chunk_id // 1000 WHERE c.question_id % 2 = 0"
+V_SOURCES = "SELECT c.question_id, d.source AS portfolio_id FROM v_citation c JOIN documents d ON d.doc_id = c.chunk_id // 1000000 WHERE c.question_id % 2 = 0"
 
 
 @query("evidence_visible_questions", sql("""SELECT q.user_id, q.question_id FROM v_question q JOIN v_user u USING (user_id) WHERE u.role <> 'director' AND NOT EXISTS (SELECT 1 FROM v_sources s WHERE s.question_id = q.question_id AND (q.user_id, s.portfolio_id) NOT IN (SELECT user_id, portfolio_id FROM v_visible))
  UNION ALL SELECT u.user_id, q.question_id FROM v_question q, v_user u WHERE u.role = 'director'""", v_sources=V_SOURCES, **ACCESS))
 def evidence_visible_questions(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id"), F.col("source").alias("portfolio_id"))
-    sources = citations(spark, d).filter("question_id % 2 = 0").join(docs, F.floor(F.col("chunk_id") / 1000) == F.col("doc_id")).select("question_id", "portfolio_id")
+    sources = citations(spark, d).filter("question_id % 2 = 0").join(docs, F.floor(F.col("chunk_id") / D.WIDE) == F.col("doc_id")).select("question_id", "portfolio_id")
     return A.evidence_visible_questions(D.questions(spark, d), sources, D.users(spark, d), visible(spark, d))
 
 

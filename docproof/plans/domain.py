@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docproof.session import table
 
+#: Ids of passages leave so many places for those of one document.
+WIDE = 1_000_000
 MODELS = ("alpha-large", "alpha-small", "beta-mini", "alpha-large-20260401", "gamma-next")
 #: model, and USD per million input, output, cache-read and cache-written tokens.
 PRICES = (("alpha-large", "5.00", "25.00", "0.50", "6.25"), ("alpha-small", "1.00", "5.00", "0.10", "1.25"), ("alpha", "2.00", "10.00", "0.20", "2.50"), ("beta-mini", "0.25", "1.25", "0.03", "0.30"))
@@ -43,7 +45,7 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """Passages for the queries that join them: one a page."""
-    return pages(spark, d).select((F.col("document_id") * 1000 + F.col("page_number")).alias("chunk_id"), "document_id", "page_number", (F.col("page_number") - 1).alias("ordinal"), "text")
+    return pages(spark, d).select((F.col("document_id") * WIDE + F.col("page_number")).alias("chunk_id"), "document_id", "page_number", (F.col("page_number") - 1).alias("ordinal"), "text")
 
 
 def users(spark: SparkSession, d: str) -> DataFrame:
@@ -138,7 +140,7 @@ SQL = {
     "v_page": """SELECT document_id, p + 1 AS page_number, array_to_string(lines[p * 10 + 1 : p * 10 + 10], chr(10)) AS text
         FROM (SELECT document_id, lines, unnest(range(0, (len(lines) - 1) // 10 + 1)) AS p
               FROM (SELECT doc_id AS document_id, string_split(text, chr(10)) AS lines FROM documents))""",
-    "v_chunk": "SELECT document_id * 1000 + page_number AS chunk_id, document_id, page_number, page_number - 1 AS ordinal, text FROM v_page",
+    "v_chunk": f"SELECT document_id * {WIDE} + page_number AS chunk_id, document_id, page_number, page_number - 1 AS ordinal, text FROM v_page",
     "v_user": "SELECT user_id, 'User ' || user_id AS full_name, CASE WHEN user_id = 0 THEN 'director' ELSE 'manager' END AS role FROM (SELECT DISTINCT user_id FROM events)",
     "v_member": """SELECT DISTINCT user_id, unnest(['src' || (user_id % 20), 'src' || ((user_id + 7) % 20)]) AS portfolio_id FROM v_user WHERE role <> 'director'""",
     "v_upload": "SELECT doc_id AS seq, source AS portfolio_id, source || '-' || lang || '_' || doc_id || '.pdf' AS filename, text AS content FROM documents",

@@ -1,5 +1,6 @@
 """Queries of hybrid retrieval. Questions are the benchmark items, asked of one portfolio each or, every
-second one, of all; passages are pages.
+second one, of all; passages are the chunks of ready documents, kept in a passage store that the first query of a
+session over the tables fills.
 
 Embeddings of the registered queries hash their features with MD5, which SQL has too."""
 
@@ -11,9 +12,10 @@ from docproof.functions import text as T
 from docproof.operators import prepare as P, retrieval as R
 from docproof.plans import domain as D
 from docproof.plans.domain import sql
-from docproof.plans.prepare import STOP, V_LEXEME
+from docproof.plans.prepare import SENTENCES, STOP
 from docproof.plans.registry import query
-from docproof.session import every_pair, table, written
+from docproof.session import every_pair, shared_path, table, written
+from docproof.sources.passages import PassageStore
 
 QTEXT = "SELECT item_id AS question_id, concat_ws(' ', 'en src' || (item_id % 20), text) AS text FROM benchmark"
 V_WORD = "SELECT question_id, i - 1 AS place, words[i] AS word FROM (SELECT question_id, regexp_extract_all(text, '[A-Za-z0-9£][A-Za-z0-9£'',.\\-]*') AS words FROM v_ask), unnest(generate_series(1, len(words))) t(i)"
@@ -41,7 +43,8 @@ V_FUSED = """SELECT * FROM (SELECT question_id, chunk_id, vector_rank, lexical_r
   FROM (SELECT coalesce(v.question_id, l.question_id) AS question_id, coalesce(v.chunk_id, l.chunk_id) AS chunk_id, vector_rank, lexical_rank, coalesce(1.0::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + lexical_rank), 0) AS fused_score
         FROM v_near v FULL JOIN v_leg2 l ON l.question_id = v.question_id AND l.chunk_id = v.chunk_id)) WHERE source_index < 8"""
 # Hybrid: what each question may see, and both legs over it. A feature's weight is spread by its MD5 digest.
-V_PASSAGE = "SELECT c.chunk_id, c.document_id, d.portfolio_id, c.text FROM v_chunk c JOIN v_docs d USING (document_id)"
+V_PASSAGE = f"SELECT c.document_id * {D.WIDE} + row_number() OVER (PARTITION BY document_id ORDER BY page_number, ordinal_in_page) AS chunk_id, document_id, d.portfolio_id, c.page_number, c.text FROM v_packed c JOIN v_docs d USING (document_id)"
+V_LEXEME = f"SELECT * FROM (SELECT chunk_id, document_id, portfolio_id, {LEX('text')} AS lexeme FROM v_passage) WHERE NOT list_contains({STOP}, lexeme)"
 V_ALLOWED = "SELECT a.question_id, d.document_id FROM v_asked a JOIN v_docs d USING (portfolio_id) WHERE a.question_id NOT IN (SELECT question_id FROM v_focus) UNION ALL SELECT f.question_id, f.document_id FROM v_focus f JOIN v_docs d USING (document_id) JOIN v_asked a ON a.question_id = f.question_id AND a.portfolio_id = d.portfolio_id"
 TOKENS = f"list_filter(regexp_extract_all(lower({{}}), '[a-z0-9]+'), lambda t: NOT list_contains({STOP}, t))"
 V_TOKEN = f"SELECT 'c' AS side, chunk_id AS id, {TOKENS.format('text')} AS tokens FROM v_passage UNION ALL SELECT 'q', question_id, {TOKENS.format('query')} FROM v_query"
@@ -54,9 +57,9 @@ V_DOT = "SELECT q.id AS question_id, c.id AS chunk_id, sum(q.v * c.v) AS dot FRO
 V_VLEG = """SELECT question_id, chunk_id, vector_rank FROM (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY distance, chunk_id)::INT AS vector_rank FROM (
   SELECT a.question_id, p.chunk_id, round(1 - coalesce(d.dot, 0), 9) AS distance FROM v_allowed a JOIN v_passage p USING (document_id) LEFT JOIN v_dot d ON d.question_id = a.question_id AND d.chunk_id = p.chunk_id)) WHERE vector_rank <= 30"""
 V_LLEG = f"""SELECT question_id, chunk_id, lexical_rank FROM (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY n DESC, chunk_id)::INT AS lexical_rank FROM (
-  SELECT w.question_id, l.chunk_id, count(*) AS n FROM (SELECT DISTINCT question_id, {LEX('query')} AS lexeme FROM v_query) w JOIN v_lexeme l USING (lexeme) JOIN v_allowed a ON a.question_id = w.question_id AND a.document_id = l.chunk_id // 1000 GROUP BY 1, 2)) WHERE lexical_rank <= 30"""
+  SELECT w.question_id, l.chunk_id, count(*) AS n FROM (SELECT DISTINCT question_id, {LEX('query')} AS lexeme FROM v_query) w JOIN v_lexeme l USING (lexeme) JOIN v_allowed a ON a.question_id = w.question_id AND a.document_id = l.document_id GROUP BY 1, 2)) WHERE lexical_rank <= 30"""
 V_HYBRID = V_FUSED.replace("v_near", "v_vleg").replace("v_leg2", "v_lleg")
-VIEWS = {"v_ask": QTEXT, "v_word": V_WORD, "v_wlex": V_WLEX, "v_qlex": V_QLEX, "v_docs": "SELECT * FROM v_document WHERE status = 'ready'", "v_ident": V_IDENT, "v_asked": V_ASKED, "v_size": V_SIZE, "v_term": V_TERM, "v_score": V_SCORE, "v_focus": V_FOCUS, "v_matched": V_MATCHED, "v_gone": V_GONE, "v_rest": V_REST, "v_query": V_QUERY, "v_lexeme": V_LEXEME, "v_lexical": V_LEXICAL, "v_near": V_NEAR, "v_leg2": V_LEG2, "v_fused": V_FUSED, "v_passage": V_PASSAGE, "v_allowed": V_ALLOWED, "v_token": V_TOKEN, "v_feature": V_FEATURE, "v_norm": V_NORM, "v_vector": V_VECTOR, "v_unit": V_UNIT, "v_dot": V_DOT, "v_vleg": V_VLEG, "v_lleg": V_LLEG, "v_hybrid": V_HYBRID}
+VIEWS = {**SENTENCES, "v_ask": QTEXT, "v_word": V_WORD, "v_wlex": V_WLEX, "v_qlex": V_QLEX, "v_docs": "SELECT * FROM v_document WHERE status = 'ready'", "v_ident": V_IDENT, "v_asked": V_ASKED, "v_size": V_SIZE, "v_term": V_TERM, "v_score": V_SCORE, "v_focus": V_FOCUS, "v_matched": V_MATCHED, "v_gone": V_GONE, "v_rest": V_REST, "v_query": V_QUERY, "v_lexeme": V_LEXEME, "v_lexical": V_LEXICAL, "v_near": V_NEAR, "v_leg2": V_LEG2, "v_fused": V_FUSED, "v_passage": V_PASSAGE, "v_allowed": V_ALLOWED, "v_token": V_TOKEN, "v_feature": V_FEATURE, "v_norm": V_NORM, "v_vector": V_VECTOR, "v_unit": V_UNIT, "v_dot": V_DOT, "v_vleg": V_VLEG, "v_lleg": V_LLEG, "v_hybrid": V_HYBRID}
 
 
 def q(body: str) -> str:
@@ -140,9 +143,60 @@ def vector_top_n_focused(spark, d):
     return R.vector_top_n_focused(questions, focus, chunks)
 
 
+_STORES: dict[tuple[str, str], PassageStore] = {}
+
+
+def passages(spark, d):
+    """The chunks of ready documents."""
+    cut = P.chunk_ordinals(P.chunk_pages(D.pages(spark, d)))
+    rows = cut.withColumn("chunk_id", F.col("document_id") * D.WIDE + F.col("ordinal") + 1).join(docs(spark, d).select("document_id", "portfolio_id"), "document_id")
+    return rows.select("chunk_id", "document_id", "portfolio_id", "page_number", "ordinal", "text")
+
+
+def filled(spark, d):
+    """A new passage store of all ready documents."""
+    store = PassageStore(spark, shared_path(spark, "passages"), digest="md5")
+    store.replace(docs(spark, d), passages(spark, d), R.document_identities(docs(spark, d), D.pages(spark, d)))
+    return store
+
+
+def store(spark, d):
+    """The session's store of the tables in ``d``, filled by the first who asks."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORES:
+        _STORES[key] = filled(spark, d)
+    return _STORES[key]
+
+
+def batch(spark, d):
+    """What each question may see, which documents it names and what is looked up for it; each is written once."""
+    words, sees = R.question_words(asks(spark, d)), written(asked(spark, d))
+    ident, known = store(spark, d).identities(), written(docs(spark, d).select("document_id", "portfolio_id"))
+    lexemes = written(R.query_lexemes(words))
+    terms = written(R.identifying_terms(lexemes, ident, known, sees))
+    focus = written(R.focus_documents(terms, ident, known, sees).select("question_id", "document_id"))
+    return sees, focus, written(R.passage_query(asks(spark, d), words, terms, focus, ident))
+
+
+@query("passage_store", q("SELECT p.chunk_id, p.document_id, p.portfolio_id, p.page_number::INT AS page_number, md5(p.text) AS digest, count(l.lexeme)::BIGINT AS tokens FROM v_passage p LEFT JOIN v_lexeme l USING (chunk_id) GROUP BY ALL"))
+def passage_store(spark, d):
+    """A store filled from the tables, and its passages that have vectors."""
+    _STORES[spark.sparkContext.applicationId, d] = held = filled(spark, d)
+    rows = held.passages().join(held.vectors().select("chunk_id"), "chunk_id")
+    return rows.select("chunk_id", "document_id", "portfolio_id", "page_number", F.md5("text").alias("digest"), F.size("tokens").cast("long").alias("tokens"))
+
+
+@query("postings_index", q("SELECT lexeme, portfolio_id, count(*)::BIGINT AS passages, sum(tf)::BIGINT AS places, max(tf)::INT AS most FROM (SELECT lexeme, portfolio_id, chunk_id, count(*) AS tf FROM v_lexeme GROUP BY ALL) GROUP BY ALL"))
+def postings_index(spark, d):
+    """The store's inverted index, its blocks added up again."""
+    rows = store(spark, d).tables.segments_of("postings")
+    places = F.aggregate("postings", F.lit(0).cast("long"), lambda a, x: a + x["tf"])
+    return rows.groupBy("lexeme", "portfolio_id").agg(F.sum(F.size("postings")).alias("passages"), F.sum(places).alias("places"), F.max("max_tf").alias("most"))
+
+
 @query("lexical_top_n", q("SELECT question_id, chunk_id, round(score, 9) AS score, lexical_rank FROM v_lexical"))
 def lexical_top_n(spark, d):
-    return R.lexical_top_n(queries_of(spark, d), P.lexeme_places(D.chunks(spark, d))).withColumn("score", F.round("score", 9))
+    return R.lexical_top_n_indexed(batch(spark, d)[2], store(spark, d).tables.segments_of("postings")).withColumn("score", F.round("score", 9))
 
 
 @query("rrf_fuse", q("SELECT question_id, chunk_id, source_index, round(fused_score, 9) AS fused_score, vector_rank, lexical_rank FROM v_fused"))
@@ -158,14 +212,9 @@ def rrf_fuse(spark, d):
 
 
 def hybrid(spark, d):
-    """Both legs over what a question's asker sees; what several steps read is written once."""
-    words, ident, terms, focus = parts(spark, d)
-    focus = written(focus.select("question_id", "document_id"))
-    queries = written(R.passage_query(asks(spark, d), words, terms, focus, ident))
-    passages = D.chunks(spark, d).join(docs(spark, d).select("document_id", "portfolio_id"), "document_id")
-    asking = P.hashed_embeddings(queries.withColumnRenamed("query", "text"), "question_id", digest="md5")
-    held = written(P.hashed_embeddings(passages, "chunk_id", "document_id", "portfolio_id", digest="md5"))
-    return R.hybrid_search(queries, asking, held, P.lexeme_places(passages, "document_id", "portfolio_id"), written(asked(spark, d)), focus)
+    """A batch of all questions, asked of the store."""
+    sees, focus, queries = batch(spark, d)
+    return store(spark, d).ask(queries, sees, focus)
 
 
 @query("hybrid_search", q("SELECT question_id, chunk_id, source_index, round(fused_score, 9) AS fused_score, 8 AS k FROM v_hybrid"))
@@ -173,6 +222,6 @@ def hybrid_search(spark, d):
     return hybrid(spark, d).select("question_id", "chunk_id", "source_index", F.round("fused_score", 9).alias("fused_score"), F.col("settings.k").alias("k"))
 
 
-@query("hydrate_sources", q("SELECT h.question_id, h.source_index, c.chunk_id, c.document_id, d.title, c.page_number::INT AS page_number, left(trim(c.text), 240) AS snippet FROM v_hybrid h JOIN v_chunk c USING (chunk_id) JOIN v_document d ON d.document_id = c.document_id"))
+@query("hydrate_sources", q("SELECT h.question_id, h.source_index, c.chunk_id, c.document_id, d.title, c.page_number::INT AS page_number, left(trim(c.text), 240) AS snippet FROM v_hybrid h JOIN v_passage c USING (chunk_id) JOIN v_document d ON d.document_id = c.document_id"))
 def hydrate_sources(spark, d):
-    return R.hydrate_sources(hybrid(spark, d).select("question_id", "chunk_id", "source_index"), D.chunks(spark, d), D.documents(spark, d)).drop("blocks")
+    return R.hydrate_sources(hybrid(spark, d).select("question_id", "chunk_id", "source_index"), store(spark, d).passages(), D.documents(spark, d)).drop("blocks")

@@ -1,15 +1,14 @@
 """Hand-built truth tables on tiny frames."""
 
 import datetime
-from decimal import Decimal
-
 import time
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from docproof.functions import parsing as V, text as T
-from docproof.operators import access as A, answering as Q, evaluation as E, evidence as X, jobs as J, prepare as P, retrieval as R, spend as S
+from docproof.operators import access as A, answering as Q, evaluation as E, evidence as X, jobs as J, nearest, prepare as P, retrieval as R, spend as S
 from docproof.sources import uploads as U
 
 
@@ -132,8 +131,8 @@ def test_vector_blocks_agree(spark, monkeypatch):
     c = spark.createDataFrame([(i, [float(rng.randrange(-2, 3)) or 1.0 for _ in range(6)], f"p{i % 3}") for i in range(300)], "chunk_id long, embedding array<float>, portfolio_id string")
     scope = q.select("question_id", F.concat(F.lit("p"), (F.col("question_id") % 4).cast("string")).alias("portfolio_id"))
     whole = [sorted(map(tuple, R.vector_top_n(q, c, 5, s).collect())) for s in (None, scope)]
-    monkeypatch.setattr(R, "QUERY_BLOCK", 7)
-    monkeypatch.setattr(R, "STEP", 3)
+    monkeypatch.setattr(nearest, "QUESTIONS", 7)
+    monkeypatch.setattr(nearest, "PASSAGES", 11)
     assert [sorted(map(tuple, R.vector_top_n(q, c.repartition(5), 5, s).collect())) for s in (None, scope)] == whole
     assert len(whole[0]) == 200 and {x[0] % 4 for x in whole[1]} == {0, 1, 2}
 
