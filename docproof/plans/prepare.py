@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docproof.functions import text as T
@@ -43,13 +45,14 @@ def admit_uploads(spark, d):
     return U.admit_uploads(files, "<!DOCTYPE", 2000).select("page_id", "reason")
 
 
-@query("page_table_io", sql("SELECT document_id, page_number, md5(text) AS digest FROM v_page"))
+@query("page_table_io", sql("SELECT p.document_id, page_number, md5(p.text) AS digest, length(d.text) AS chars FROM v_page p JOIN documents d ON d.doc_id = p.document_id"))
 def page_table_io(spark, d):
-    """Pages written, partitioned by portfolio, and read again."""
-    path = shared_path(spark, "pages")
-    rows = D.pages(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("portfolio_id")), "document_id")
-    U.write_table(rows, path, "portfolio_id")
-    return spark.read.schema(rows.schema).parquet(path).select("document_id", "page_number", F.md5("text").alias("digest"))
+    """Pages and documents written in buckets by document, and joined again without a shuffle."""
+    path, name = shared_path(spark, "pages"), f"pages_{uuid.uuid4().hex}"
+    pages = U.write_bucketed(D.pages(spark, d), name, f"{path}/pages", order=("page_number",), buckets=16)
+    sizes = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.length("text").cast("long").alias("chars"))
+    held = U.write_bucketed(sizes, f"{name}_chars", f"{path}/chars", buckets=16)
+    return pages.join(held.hint("merge"), "document_id").select("document_id", "page_number", F.md5("text").alias("digest"), "chars")
 
 
 @query("request_payloads", sql("""SELECT d.document_id AS question_id, md5(string_agg(title || ' — page ' || page_number || chr(10) || (page_number - 1) || ' ' || chunk_id || ' ' || page_number || chr(10) || c.text, chr(10) || chr(10) ORDER BY page_number)) AS documents_md5, count(*)::BIGINT AS sources, min(filename) AS question

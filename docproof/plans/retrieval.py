@@ -186,6 +186,15 @@ def passage_store(spark, d):
     return rows.select("chunk_id", "document_id", "portfolio_id", "page_number", F.md5("text").alias("digest"), F.size("tokens").cast("long").alias("tokens"))
 
 
+@query("passage_vectors", q("SELECT id AS chunk_id, count(*)::INT AS places, sum(place)::BIGINT AS place_sum, (count(*) FILTER (v > 0))::INT AS positive FROM v_vector WHERE side = 'c' GROUP BY 1"))
+def passage_vectors(spark, d):
+    """Which axes the store's vectors use."""
+    axes = F.filter(F.transform("embedding", lambda x, i: F.when(x != 0, i)), lambda i: i.isNotNull())
+    total = F.aggregate("axes", F.lit(0).cast("long"), lambda a, i: a + i)
+    rows = store(spark, d).vectors().select("chunk_id", axes.alias("axes"), F.size(F.filter("embedding", lambda x: x > 0)).alias("positive"))
+    return rows.select("chunk_id", F.size("axes").alias("places"), total.alias("place_sum"), "positive")
+
+
 @query("postings_index", q("SELECT lexeme, portfolio_id, count(*)::BIGINT AS passages, sum(tf)::BIGINT AS places, max(tf)::INT AS most FROM (SELECT lexeme, portfolio_id, chunk_id, count(*) AS tf FROM v_lexeme GROUP BY ALL) GROUP BY ALL"))
 def postings_index(spark, d):
     """The store's inverted index, its blocks added up again."""

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import io
+
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from docproof.operators import spend as S
 from docproof.plans import domain as D
 from docproof.plans.access_spend import ACCESS, BUDGET
 from docproof.plans.domain import sql
+from docproof.plans.prepare import SENTENCES
 from docproof.plans.registry import query
 from docproof.session import shared_path, table
+from docproof.sources import uploads as U
 from docproof.streaming import jobs as J
 
 
@@ -37,6 +42,23 @@ def stream_ingest(spark, d):
     return rows.select("document_id", "page_number", "ordinal_in_page", F.md5("text").alias("digest"), F.size("embedding").alias("dims"))
 
 
+#: The texts of the documents table in the order of its file, as the pages of one upload.
+V_UPLOADED = "SELECT 0 AS document_id, row_number() OVER () AS page_number, text FROM documents"
+
+
+def texts_of(blob: bytes) -> list[str]:
+    """The texts of a parquet file, as its pages."""
+    return pq.read_table(io.BytesIO(blob), columns=["text"]).column("text").to_pylist()
+
+
+@query("stream_uploads", sql("SELECT page_number::INT AS page_number, ordinal_in_page::INT AS ordinal_in_page, char_start::INT AS char_start, char_end::INT AS char_end, md5(text) AS digest FROM v_packed", **{**SENTENCES, "v_page": V_UPLOADED}))
+def stream_uploads(spark, d):
+    """The part files of the documents table as uploads that arrive, each text a page, to chunks with vectors. A path with
+    a pattern may be a file or a folder."""
+    rows = J.ingest_uploads(U.stream_uploads(spark, f"{d}/document[s].parquet"), texts_of, *folders(spark, "uploads"), magic="PAR1", largest=2**31 - 1)
+    return rows.select("page_number", "ordinal_in_page", "char_start", "char_end", F.md5("text").alias("digest"))
+
+
 @query("stream_dedup", sql("SELECT DISTINCT portfolio_id, sha256(content) AS sha256 FROM v_upload"))
 def stream_dedup(spark, d):
     rows = J.dedup(staged(spark, D.uploads(spark, d), "uploads")).select("portfolio_id", "sha256")

@@ -2,14 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+#: Columns of raw files, which a stream has to be told.
+FILE = "path string, modificationTime timestamp, length long, content binary"
+
 
 def read_uploads(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Raw files: path, modificationTime, length, content."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
 
 
+def stream_uploads(spark: SparkSession, path: str, glob: str = "*", files_per_batch: int = 100) -> DataFrame:
+    """As :func:`read_uploads`, as a stream: files that arrive in a folder, each once."""
+    return spark.readStream.format("binaryFile").schema(FILE).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch).load(path)
+
+
+def parsed_uploads(files: DataFrame, parse: Callable[[bytes], list[str]], magic: str = "%PDF", largest: int = 25 * 1024 * 1024) -> DataFrame:
+    """path, document_id (SHA-256 of the bytes), reason, pages of each file; ``parse`` makes page texts of bytes.
+
+    A file that is not admitted is not parsed; one that ``parse`` raises on is ``unreadable``, one without any text has
+    ``no_text_layer``. Neither has pages."""
+
+    @F.pandas_udf("struct<pages:array<string>,failed:boolean>")
+    def read(content: pd.Series) -> pd.DataFrame:
+        out = []
+        for blob in content:
+            try:
+                out.append((None, False) if blob is None else (list(parse(bytes(blob))), False))
+            except Exception:  # noqa: BLE001  whatever a parser raises on a damaged file
+                out.append((None, True))
+        return pd.DataFrame(out, columns=["pages", "failed"])
+
+    rows = admit_uploads(files, magic, largest).withColumn("document_id", F.sha2("content", 256))
+    rows = rows.withColumn("made", read(F.when(F.col("reason").isNull(), F.col("content"))))
+    blank = ~F.exists(F.coalesce("made.pages", F.expr("array()")), lambda x: F.coalesce(F.trim(x) != "", F.lit(False)))
+    reason = F.coalesce("reason", F.when(F.col("made.failed"), "unreadable").when(blank, "no_text_layer"))
+    return rows.select("path", "document_id", reason.alias("reason"), F.when(reason.isNull(), F.col("made.pages")).alias("pages"))
+
+
 def admit_uploads(files: DataFrame, magic: str = "%PDF", largest: int = 25 * 1024 * 1024) -> DataFrame:
     """``files`` (content) with ``reason``: too_large is tested before not_supported; null means admitted."""
     prefix = F.substring("content", 1, len(magic.encode()))
@@ -22,6 +56,22 @@ def write_table(rows: DataFrame, path: str, by: str | None = None) -> None:
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
+def write_bucketed(rows: DataFrame, name: str, path: str, by: str = "document_id", order: tuple[str, ...] = (), buckets: int = 64) -> DataFrame:
+    """A derived table in ``buckets`` files by hash of ``by``, each sorted by it and ``order``; returns the table ``name``.
+
+    Tables bucketed alike are joined and grouped by ``by`` without a shuffle."""
+    rows.repartition(buckets, by).write.mode("overwrite").option("path", path).bucketBy(buckets, by).sortBy(by, *order).saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
+def attach_bucketed(spark: SparkSession, name: str, path: str, by: str = "document_id", order: tuple[str, ...] = (), buckets: int = 64) -> DataFrame:
+    """The table that another session wrote with :func:`write_bucketed`, made known to this one."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    sorted_by = ", ".join(f"`{c}`" for c in (by, *order))
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (`{by}`) SORTED BY ({sorted_by}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def csv_safe(c: Column) -> Column:
     """No spreadsheet formula: an apostrophe before a leading = + - @, tab, carriage return or line feed; null is empty."""
     text = F.coalesce(c, F.lit(""))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docproof.operators import prepare as P
+from docproof.sources import uploads as U
 
 
 def stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
@@ -40,6 +41,22 @@ def ingest(pages: DataFrame, out: str, state: str) -> DataFrame:
     return available_now(pages, out, state, make=make)
 
 
+def ingest_uploads(files: DataFrame, parse: Callable[[bytes], list[str]], out: str, state: str, magic: str = "%PDF", largest: int = 25 * 1024 * 1024) -> DataFrame:
+    """Arriving files (:func:`uploads.stream_uploads`) to chunks with embeddings, or to the reason why there are none:
+    path, document_id, reason, and of each chunk its page, place, text, offsets and embedding."""
+    return available_now(files, out, state, make=lambda df: uploaded_chunks(df, parse, magic, largest))
+
+
+def uploaded_chunks(files: DataFrame, parse: Callable[[bytes], list[str]], magic: str = "%PDF", largest: int = 25 * 1024 * 1024) -> DataFrame:
+    """The batch twin of :func:`ingest_uploads`."""
+    read = U.parsed_uploads(files, parse, magic, largest)
+    pages = read.filter("reason is null").select(F.struct("path", "document_id").alias("document_id"), "pages")
+    chunks = P.chunk_pages(P.explode_pages(pages)).withColumn("key", F.concat_ws("/", "document_id.path", "page_number", "ordinal_in_page"))
+    held = P.hashed_embeddings(chunks, "key", "document_id", "page_number", "ordinal_in_page", "text", "char_start", "char_end").drop("key")
+    held = held.select("document_id.path", "document_id.document_id", F.lit(None).cast("string").alias("reason"), *held.columns[1:])
+    return held.unionByName(read.filter("reason is not null").select("path", "document_id", "reason"), allowMissingColumns=True)
+
+
 def dedup(uploads: DataFrame) -> DataFrame:
     """The first upload of each content in a portfolio; its keys are kept for good."""
     return uploads.withColumn("sha256", F.sha2("content", 256)).dropDuplicates(["portfolio_id", "sha256"])

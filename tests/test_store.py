@@ -178,3 +178,55 @@ def test_readers_see_a_change_whole_or_not_at_all(spark):
     with pytest.raises(RuntimeError):
         tables.switch(was, [*was["segments"], segment], was["gone"], {})
     assert see() == [(0, "newest"), (2, "new"), (3, "old"), (9, "new")]
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    from docproof.sources import uploads as U
+
+    path = shared_path(spark, "buckets")
+    rows = [(d, p, f"{d}/{p}") for d in range(300) for p in range(3)]
+    pages = U.write_bucketed(spark.createDataFrame(rows, "document_id int, page_number int, text string"), "t_pages", f"{path}/pages", order=("page_number",), buckets=4)
+    chunks = U.write_bucketed(spark.createDataFrame([(d, d * 2) for d in range(0, 300, 2)], "document_id int, n int"), "t_chunks", f"{path}/chunks", buckets=4)
+    spark.sql("DROP TABLE t_chunks")
+    chunks = U.attach_bucketed(spark, "t_chunks", f"{path}/chunks", buckets=4)
+    joined = pages.join(chunks.hint("merge"), "document_id").groupBy("document_id").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, joined.collect())) == [(d, 3) for d in range(0, 300, 2)]
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_uploads_become_chunks_after_a_batch_was_half_written(spark, tmp_path):
+    from docproof.sources import uploads as U
+    from docproof.streaming import jobs as J
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i in range(5):
+        (folder / f"u{i}.pdf").write_bytes(b"%PDF" + "\f".join(f"Page {p} of {i}. It says é things. " * 30 for p in range(3)).encode())
+    (folder / "bad.pdf").write_bytes(b"%PDF\xff\xfe\xfd")
+    (folder / "other.pdf").write_bytes(b"GIF89a")
+    (folder / "blank.pdf").write_bytes(b"%PDF \f ")
+    (folder / "large.pdf").write_bytes(b"%PDF" + b"x" * 9000)
+    (folder / "empty.pdf").write_bytes(b"")
+    (folder / "notes.txt").write_bytes(b"%PDFtext")
+
+    def parse(blob):
+        return blob[4:].decode("utf-8").split("\f")
+
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    files = lambda: U.stream_uploads(spark, str(folder), "*.pdf", 4)
+    whole = J.uploaded_chunks
+
+    def dies(df, batch):
+        whole(df, parse, "%PDF", 8000).limit(2).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        raise RuntimeError("lost")
+
+    with pytest.raises(Exception):  # noqa: B017
+        files().writeStream.trigger(availableNow=True).option("checkpointLocation", state).foreachBatch(dies).start().awaitTermination()
+    rows = J.ingest_uploads(files(), parse, out, state, "%PDF", 8000)
+    told = lambda df: sorted((r.path.rsplit("/", 1)[1], r.document_id, r.reason or "", r.page_number or 0, r.ordinal_in_page or 0, r.text or "", [round(x, 6) for x in r.embedding or []]) for r in df.collect())
+    want = told(whole(U.read_uploads(spark, str(folder), "*.pdf"), parse, "%PDF", 8000))
+    assert told(rows) == want and len(want) > 15
+    assert {w[0]: w[2] for w in want if w[2]} == {"bad.pdf": "unreadable", "other.pdf": "not_supported", "blank.pdf": "no_text_layer", "large.pdf": "too_large", "empty.pdf": "not_supported"}
+    # What comes later is read, what is known is not read again.
+    (folder / "u9.pdf").write_bytes(b"%PDFNew one. Here.")
+    assert len(told(J.ingest_uploads(files(), parse, out, state, "%PDF", 8000))) == len(want) + 1
