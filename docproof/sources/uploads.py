@@ -12,7 +12,7 @@ FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
 def read_uploads(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Raw files: path, modificationTime, length, content."""
+    """Raw files: path, modificationTime, length, content. Spark passes over files of no bytes."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
 
 
