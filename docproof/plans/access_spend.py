@@ -11,7 +11,7 @@ from docproof.plans.registry import query
 from docproof.session import table
 
 V_VISIBLE = "SELECT user_id, portfolio_id FROM v_member WHERE user_id IN (SELECT user_id FROM v_user WHERE role <> 'director') UNION SELECT user_id, portfolio_id FROM v_user, v_portfolio WHERE role = 'director'"
-V_CITATION = "SELECT question_id, ((question_id * 7) % (SELECT count(*) FROM documents)) * 1000000 + 1 AS chunk_id, 1 AS ordinal FROM v_question UNION ALL SELECT question_id, ((question_id * 11) % (SELECT count(*) FROM documents)) * 1000 + 1, 2 FROM v_question WHERE question_id % 3 = 0"
+V_CITATION = "SELECT question_id, ((question_id * 7) % (SELECT count(*) FROM documents)) * 1000000 + 1 AS chunk_id, 1 AS ordinal FROM v_question UNION ALL SELECT question_id, ((question_id * 11) % (SELECT count(*) FROM documents)) * 1000000 + 1, 2 FROM v_question WHERE question_id % 3 = 0"
 COST = " + ".join(f"u.{n} * coalesce(p.{c}, 0)" for n, c in S.TOKENS)
 V_MATCH = "SELECT m.model, (SELECT price_model FROM v_price WHERE starts_with(m.model, price_model) ORDER BY length(price_model) DESC LIMIT 1) AS price_model FROM (SELECT DISTINCT model FROM v_usage) m"
 V_UNITS = f"SELECT u.*, (({COST}) * 10000)::HUGEINT AS units FROM v_usage u JOIN v_match m ON m.model = u.model LEFT JOIN v_price p ON p.price_model = m.price_model"
