@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Columns of raw files, which a stream has to be told.
@@ -22,26 +22,36 @@ def stream_uploads(spark: SparkSession, path: str, glob: str = "*", files_per_ba
 
 
 def parsed_uploads(files: DataFrame, parse: Callable[[bytes], list[str]], magic: str = "%PDF", largest: int = 25 * 1024 * 1024) -> DataFrame:
-    """path, document_id (SHA-256 of the bytes), reason, pages of each file; ``parse`` makes page texts of bytes.
+    """path, document_id (SHA-256 of the bytes), reason, page_number, text: a row for each page of each file, or one that
+    says why there are none; ``parse`` makes page texts of bytes, of one file at a time.
 
     A file that is not admitted is not parsed; one that ``parse`` raises on is ``unreadable``, one without any text has
-    ``no_text_layer``. Neither has pages."""
-
-    @F.pandas_udf("struct<pages:array<string>,failed:boolean>")
-    def read(content: pd.Series) -> pd.DataFrame:
-        out = []
-        for blob in content:
-            try:
-                out.append((None, False) if blob is None else (list(parse(bytes(blob))), False))
-            except Exception:  # noqa: BLE001  whatever a parser raises on a damaged file
-                out.append((None, True))
-        return pd.DataFrame(out, columns=["pages", "failed"])
+    ``no_text_layer``."""
+
+    def pages_of(blob: bytes) -> tuple[str | None, list[str]]:
+        try:
+            texts = list(parse(blob))
+        except Exception:  # noqa: BLE001  whatever a parser raises on a damaged file
+            return "unreadable", []
+        return (None, texts) if any(t and t.strip() for t in texts) else ("no_text_layer", [])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                path, document, reason, blob = (batch.column(c)[i] for c in ("path", "document_id", "reason", "content"))
+                reason, texts = (reason.as_py(), []) if reason.is_valid else pages_of(blob.as_py() or b"")
+                for lo in range(0, max(1, len(texts)), 1000):
+                    part = texts[lo : lo + 1000]
+                    n = max(1, len(part))
+                    numbers = range(lo + 1, lo + n + 1) if reason is None else [None]
+                    yield pa.record_batch({
+                        "path": pa.array([path.as_py()] * n, pa.string()), "document_id": pa.array([document.as_py()] * n, pa.string()), "reason": pa.array([reason] * n, pa.string()),
+                        "page_number": pa.array(numbers, pa.int32()), "text": pa.array(part if reason is None else [None], pa.string()),
+                    })
 
     rows = admit_uploads(files, magic, largest).withColumn("document_id", F.sha2("content", 256))
-    rows = rows.withColumn("made", read(F.when(F.col("reason").isNull(), F.col("content"))))
-    blank = ~F.exists(F.coalesce("made.pages", F.expr("array()")), lambda x: F.coalesce(F.trim(x) != "", F.lit(False)))
-    reason = F.coalesce("reason", F.when(F.col("made.failed"), "unreadable").when(blank, "no_text_layer"))
-    return rows.select("path", "document_id", reason.alias("reason"), F.when(reason.isNull(), F.col("made.pages")).alias("pages"))
+    rows = rows.select("path", "document_id", "reason", F.when(F.col("reason").isNull(), F.col("content")).alias("content"))
+    return rows.mapInArrow(read, "path string, document_id string, reason string, page_number int, text string")
 
 
 def admit_uploads(files: DataFrame, magic: str = "%PDF", largest: int = 25 * 1024 * 1024) -> DataFrame:

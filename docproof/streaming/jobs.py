@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docproof.operators import prepare as P
+from docproof.session import written
 from docproof.sources import uploads as U
 
 
@@ -49,9 +50,9 @@ def ingest_uploads(files: DataFrame, parse: Callable[[bytes], list[str]], out: s
 
 def uploaded_chunks(files: DataFrame, parse: Callable[[bytes], list[str]], magic: str = "%PDF", largest: int = 25 * 1024 * 1024) -> DataFrame:
     """The batch twin of :func:`ingest_uploads`."""
-    read = U.parsed_uploads(files, parse, magic, largest)
-    pages = read.filter("reason is null").select(F.struct("path", "document_id").alias("document_id"), "pages")
-    chunks = P.chunk_pages(P.explode_pages(pages)).withColumn("key", F.concat_ws("/", "document_id.path", "page_number", "ordinal_in_page"))
+    read = written(U.parsed_uploads(files, parse, magic, largest))  # each file is parsed once
+    pages = read.filter("reason is null").select(F.struct("path", "document_id").alias("document_id"), "page_number", "text")
+    chunks = P.chunk_pages(pages).withColumn("key", F.concat_ws("/", "document_id.path", "page_number", "ordinal_in_page"))
     held = P.hashed_embeddings(chunks, "key", "document_id", "page_number", "ordinal_in_page", "text", "char_start", "char_end").drop("key")
     held = held.select("document_id.path", "document_id.document_id", F.lit(None).cast("string").alias("reason"), *held.columns[1:])
     return held.unionByName(read.filter("reason is not null").select("path", "document_id", "reason"), allowMissingColumns=True)
