@@ -6,15 +6,18 @@ configuration (no stemming)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from docproof.functions import text as T
 from docproof.operators import nearest, postings
+from docproof.session import broadcast_if_small, written
 
 WORD = "[A-Za-z0-9£][A-Za-z0-9£',.\\-]*"
 #: Rarest share of documents, least terms of a name, most documents of a focus, head of page one.
 COMMON_SHARE, LEAST_TERMS, MOST_FOCUS, HEAD = 0.34, 2, 4, 600
+#: Least score of a focus; documents of a rare term; parts that a frequent one is followed in.
+LEAST_SCORE, RARE, SALTS = 2, 64, 32
 
 
 def question_words(questions: DataFrame) -> DataFrame:
@@ -43,31 +46,71 @@ def document_identities(documents: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def identifying_terms(lexemes: DataFrame, identities: DataFrame, documents: DataFrame, asked: DataFrame) -> DataFrame:
-    """question_id, lexeme: the question's lexemes that few of the documents its asker sees are known by.
+    """question_id, lexeme, df, ceiling: the question's lexemes that few of the documents its asker sees are known by,
+    in how many of them, and the most that one can score by it (2 where any is named so, else 1).
 
     ``asked``: question_id, portfolio_id of every portfolio in view. Frequencies are counted per
-    portfolio once and summed over those in view, as a document is in one portfolio."""
-    wanted = lexemes.select("lexeme").distinct()
-    df = identities.join(wanted, "lexeme", "left_semi").groupBy("portfolio_id", "lexeme").agg(F.count("*").alias("df"))
-    size = documents.groupBy("portfolio_id").agg(F.count("*").alias("docs"))
-    seen = asked.join(size, "portfolio_id").groupBy("question_id").agg(F.sum("docs").alias("docs"))
-    rows = lexemes.join(asked, "question_id").join(df, ["portfolio_id", "lexeme"]).groupBy("question_id", "lexeme").agg(F.sum("df").alias("df")).join(seen, "question_id")
+    portfolio once and summed over those in view, as a document is in one portfolio. They are counted before they
+    meet the questions, so a lexeme of every document moves as one row a portfolio and map task."""
+    df = identities.groupBy("portfolio_id", "lexeme").agg(F.count("*").alias("df"), F.max(weight()).alias("ceiling"))
+    df = df.join(broadcast_if_small(lexemes.select("lexeme").distinct()), "lexeme", "left_semi")
+    seen = documents_seen(documents, asked)
+    rows = lexemes.join(asked, "question_id").join(df, ["portfolio_id", "lexeme"]).groupBy("question_id", "lexeme").agg(F.sum("df").alias("df"), F.max("ceiling").alias("ceiling")).join(seen, "question_id")
     few = rows.filter(F.col("df") <= F.greatest(F.lit(1), F.floor(F.col("docs") * COMMON_SHARE)))
-    return few.withColumn("n", F.count("*").over(W.partitionBy("question_id"))).filter(F.col("n") >= LEAST_TERMS).select("question_id", "lexeme")
+    return few.withColumn("n", F.count("*").over(W.partitionBy("question_id"))).filter(F.col("n") >= LEAST_TERMS).select("question_id", "lexeme", "df", "ceiling")
+
 
+def weight() -> Column:
+    """What a lexeme of a document's identity adds to its score."""
+    return F.when(F.col("named"), 2).otherwise(1)
 
-def focus_documents(terms: DataFrame, identities: DataFrame, documents: DataFrame, asked: DataFrame) -> DataFrame:
+
+def documents_seen(documents: DataFrame, asked: DataFrame) -> DataFrame:
+    """question_id, docs: how many documents are in view."""
+    size = documents.groupBy("portfolio_id").agg(F.count("*").alias("docs"))
+    return asked.join(size, "portfolio_id").groupBy("question_id").agg(F.sum("docs").alias("docs"))
+
+
+def focus_documents(terms: DataFrame, identities: DataFrame, documents: DataFrame, asked: DataFrame, rare: int = RARE, salts: int = SALTS) -> DataFrame:
     """question_id, document_id, score: the documents that a question names.
 
     Two for a term of the name, one for one on the first page only; all at the best score, which is
-    two at least; none if more than four tie, or all in view."""
-    size = documents.groupBy("portfolio_id").agg(F.count("*").alias("docs"))
-    seen = asked.join(size, "portfolio_id").groupBy("question_id").agg(F.sum("docs").alias("docs"))
-    hits = terms.join(identities, "lexeme").join(asked, ["question_id", "portfolio_id"], "left_semi")
-    score = hits.groupBy("question_id", "document_id").agg(F.sum(F.when(F.col("named"), 2).otherwise(1)).alias("score"))
-    whole = W.partitionBy("question_id")
-    top = score.withColumn("best", F.max("score").over(whole)).filter("score = best and best >= 2").withColumn("n", F.count("*").over(whole)).filter(F.col("n") <= MOST_FOCUS)
-    return top.join(seen, "question_id").filter(F.col("n") < F.col("docs")).select("question_id", "document_id", "score")
+    two at least; none if more than four tie, or all in view.
+
+    ``terms``: as of :func:`identifying_terms`. A document scores no more than the ceilings of its rarest term and of
+    those more frequent. Terms of at most ``rare`` documents are followed first, and the best of what they lead to is a
+    bar; a more frequent term is followed only if it and those above it can reach the bar, in ``salts`` parts, and
+    otherwise looked up for documents already found. So a lexeme of very many documents is joined to them only where
+    nothing rarer decides. No group of a question's documents comes to one task."""
+    by = W.partitionBy("question_id").orderBy(F.desc("df"), F.desc("lexeme")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = written(terms.withColumn("rest", F.sum("ceiling").over(by)))
+    known = identities.select("document_id", "portfolio_id", "lexeme", weight().alias("w"))
+    # Rare terms lead to candidates, whose other terms are looked up.
+    rare_ones, often = F.col("df") <= rare, F.col("df") > rare
+    led = ranked.filter(rare_ones).join(asked, "question_id").join(known, ["lexeme", "portfolio_id"]).groupBy("question_id", "document_id").agg(F.sum("w").alias("part"))
+    first = written(_looked_up(led, ranked.filter(often), known))
+    bar = first.groupBy("question_id").agg(F.max("score").alias("bar"))
+    # Frequent ones, where a document without any rare term could still reach the bar.
+    more = ranked.filter(often).join(bar, "question_id", "left").withColumn("follow", F.col("rest") >= F.greatest("bar", F.lit(LEAST_SCORE)))
+    copies = more.filter("follow").join(asked, "question_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = known.withColumn("salt", F.pmod(F.xxhash64("document_id"), F.lit(salts)).cast("int"))
+    found = copies.join(dealt, ["lexeme", "portfolio_id", "salt"]).groupBy("question_id", "document_id").agg(F.sum("w").alias("part"))
+    found = written(found.join(first, ["question_id", "document_id"], "left_anti"))
+    left = more.filter(~F.col("follow")).groupBy("question_id").agg(F.max("rest").alias("left"))
+    reach = found.groupBy("question_id").agg(F.max("part").alias("reach")).join(bar, "question_id", "left").join(left, "question_id", "left")
+    near = found.join(reach, "question_id").filter(F.col("part") + F.coalesce("left", F.lit(0)) >= F.greatest("bar", "reach", F.lit(LEAST_SCORE)))
+    second = _looked_up(near.select("question_id", "document_id", "part"), more.filter(~F.col("follow")), known)
+    score = written(first.unionByName(second).filter(F.col("score") >= LEAST_SCORE))
+    ties = score.groupBy("question_id", "score").agg(F.count("*").alias("n")).groupBy("question_id").agg(F.max(F.struct("score", "n")).alias("top"))
+    few = ties.filter(F.col("top.n") <= MOST_FOCUS).join(documents_seen(documents, asked), "question_id").filter(F.col("top.n") < F.col("docs"))
+    return score.join(few.select("question_id", "top.score"), ["question_id", "score"]).select("question_id", "document_id", "score")
+
+
+def _looked_up(found: DataFrame, terms: DataFrame, known: DataFrame) -> DataFrame:
+    """question_id, document_id, score: ``part`` and the weights of those ``terms`` that the document is known by."""
+    asks = found.join(terms.select("question_id", "lexeme"), "question_id").join(known.select("document_id", "lexeme", "w"), ["document_id", "lexeme"])
+    both = found.select("question_id", "document_id", F.col("part").cast("long").alias("w")).unionByName(asks.select("question_id", "document_id", F.col("w").cast("long").alias("w")))
+    return both.groupBy("question_id", "document_id").agg(F.sum("w").alias("score"))
 
 
 def passage_query(questions: DataFrame, words: DataFrame, terms: DataFrame, focus: DataFrame, identities: DataFrame) -> DataFrame:

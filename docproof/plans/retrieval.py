@@ -84,9 +84,9 @@ def asked(spark, d):
 
 def parts(spark, d):
     words = R.question_words(asks(spark, d))
-    ident = R.document_identities(docs(spark, d), D.pages(spark, d))
-    terms = R.identifying_terms(R.query_lexemes(words), ident, docs(spark, d), asked(spark, d))
-    return words, ident, terms, R.focus_documents(terms, ident, docs(spark, d), asked(spark, d))
+    ident, sees, known = written(R.document_identities(docs(spark, d), D.pages(spark, d))), written(asked(spark, d)), written(docs(spark, d).select("document_id", "portfolio_id"))
+    terms = written(R.identifying_terms(R.query_lexemes(words), ident, known, sees))
+    return words, ident, terms, R.focus_documents(terms, ident, known, sees)
 
 
 @query("question_words", q("SELECT question_id, place::INT AS place, word FROM v_word"))
@@ -106,7 +106,8 @@ def document_identities(spark, d):
 
 @query("identifying_terms", q("SELECT question_id, lexeme FROM v_term"))
 def identifying_terms(spark, d):
-    return parts(spark, d)[2]
+    words, ident = R.question_words(asks(spark, d)), R.document_identities(docs(spark, d), D.pages(spark, d))
+    return R.identifying_terms(R.query_lexemes(words), ident, docs(spark, d), asked(spark, d)).select("question_id", "lexeme")
 
 
 @query("focus_documents", q("SELECT question_id, document_id, score FROM v_focus"))
