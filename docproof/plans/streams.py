@@ -89,4 +89,4 @@ def stream_answers(spark, d):
     stop = F.when(F.col("question_id") % 7 == 0, "refusal").otherwise("end_turn")
     done = ids.select("question_id", F.lit(10**6 + 1).cast("long").alias("seq"), F.lit("finished").alias("type"), F.lit(0).cast("long").alias("block"), null.alias("text"), F.lit(False).alias("valid"), stop.alias("stop_reason"))
     rows = J.answers(staged(spark, texts.unionByName(cited).unionByName(done), "events"))
-    return J.available_now(rows, *folders(spark, "answers")).select("question_id", "status", "answer", "citations")
+    return J.available_now(rows, *folders(spark, "answers"), conf=J.APPENDED_STATE).select("question_id", "status", "answer", "citations")

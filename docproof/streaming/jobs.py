@@ -6,10 +6,12 @@ Each is held against its batch twin. Late events past the watermark are left out
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from docproof.operators import prepare as P
 from docproof.session import written
@@ -21,14 +23,36 @@ def stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFr
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def available_now(rows: DataFrame, out: str, state: str, mode: str = "append", make: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+#: Settings of a stream whose state is appended to: kept in RocksDB, of which a batch writes its changes.
+APPENDED_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings while a stream is started, which keeps them."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    try:
+        for name, value in values.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def available_now(rows: DataFrame, out: str, state: str, mode: str = "append", make: Callable[[DataFrame], DataFrame] | None = None, conf: dict[str, str] | None = None) -> DataFrame:
     """``rows`` run to the end; every batch is written to a folder of its number, so a batch that is
-    run again replaces itself. Returns what was written, with ``batch``."""
+    run again replaces itself. Returns what was written, with ``batch``. ``conf``: settings the stream is started with."""
 
     def write(df: DataFrame, batch: int) -> None:
         (make(df) if make else df).write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    rows.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", state).foreachBatch(write).start().awaitTermination()
+    with settings(rows.sparkSession, conf or {}):
+        running = rows.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", state).foreachBatch(write).start()
+    running.awaitTermination()
     return rows.sparkSession.read.option("basePath", out).parquet(out)
 
 
@@ -94,44 +118,70 @@ def budget_guard(priced: DataFrame, budget_micros: int) -> DataFrame:
     return calls.groupBy("day").applyInPandasWithState(decide, "event_id long, day date, refused boolean", "spent long", "append", GroupStateTimeout.NoTimeout)
 
 
+ANSWER = "question_id long, status string, answer string, citations long"
+
+
 def answers(events: DataFrame, timeout_ms: int | None = None) -> DataFrame:
     """question_id, status, answer, citations: an answer's events folded into a row when it finishes,
     or as failed when nothing comes for ``timeout_ms``.
 
-    Give a timeout to streams that run on: one that runs to the end of its input would wait for it.
+    Give a timeout to streams that run on: one that runs to the end of its input would wait for it. Pieces of an
+    unfinished answer are appended to a list, so a batch writes what is new in it and not the answer so far; the
+    list needs :data:`APPENDED_STATE` where the stream is started. Events that come after the end of their answer begin
+    another one.
 
     ``events``: question_id, seq, type (text, citation, finished), block, text, valid, stop_reason."""
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([(key[0], "failed", None, 0)], columns=["question_id", "status", "answer", "citations"])
-            return
-        seqs, blocks, texts, cited = state.get if state.exists else ([], [], [], 0)
-        seqs, blocks, texts, stop = list(seqs), list(blocks), list(texts), None
-        for df in batches:
-            for seq, kind, block, text, valid, reason in zip(df["seq"], df["type"], df["block"], df["text"], df["valid"], df["stop_reason"], strict=True):
-                if kind == "text":
-                    seqs.append(int(seq))
-                    blocks.append(int(block))
-                    texts.append(text)
-                elif kind == "citation":
-                    cited += bool(valid)
-                else:
-                    stop = reason or "end_turn"
+    mode = "processingTime" if timeout_ms else "none"
+    return events.groupBy("question_id").transformWithStateInPandas(AnswerFold(timeout_ms), ANSWER, "append", mode)
+
+
+class AnswerFold(StatefulProcessor):
+    """What there is of an answer: its pieces of text as a list, the count of its valid citations, and a timer."""
+
+    def __init__(self, timeout_ms: int | None) -> None:
+        self.timeout_ms = timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pieces = handle.getListState("pieces", "seq long, block long, text string")
+        self.cited = handle.getValueState("cited", "n long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new, valid, stop = [], 0, None
+        for df in rows:
+            said = df[df["type"] == "text"]
+            new += [(int(seq), int(block), text) for seq, block, text in zip(said["seq"], said["block"], said["text"], strict=True)]
+            valid += int(df.loc[df["type"] == "citation", "valid"].sum())
+            for reason in df.loc[df["type"] == "finished", "stop_reason"]:
+                stop = reason or "end_turn"
+        if self.timeout_ms:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+        cited = valid + (self.cited.get()[0] if self.cited.exists() else 0)
         if stop is None:
-            state.update((seqs, blocks, texts, cited))
-            if timeout_ms:
-                state.setTimeoutDuration(timeout_ms)
+            if new:
+                self.pieces.appendList(new)
+            if valid:
+                self.cited.update((cited,))
+            if self.timeout_ms:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
             return
-        if state.exists:
-            state.remove()
         joined: dict[int, str] = {}
-        for _, block, text in sorted(zip(seqs, blocks, texts, strict=True)):
+        for _, block, text in sorted([*(tuple(p) for p in self.pieces.get()), *new]):
             joined[block] = joined.get(block, "") + text
+        self.forget()
         answer = "\n".join(t for t in (x.strip() for x in joined.values()) if t) or None
         status = "failed" if stop in ("refusal", "error") else "answered" if cited else "unanswered"
-        yield pd.DataFrame([(key[0], status, answer, cited)], columns=["question_id", "status", "answer", "citations"])
+        yield self.row(key, status, answer, cited)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.forget()
+        yield self.row(key, "failed", None, 0)
+
+    def forget(self) -> None:
+        self.pieces.clear()
+        self.cited.clear()
 
-    out, kept = "question_id long, status string, answer string, citations long", "seqs array<long>, blocks array<long>, texts array<string>, cited long"
-    return events.groupBy("question_id").applyInPandasWithState(fold, out, kept, "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
+    @staticmethod
+    def row(key: tuple, *values: object) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *values)], columns=["question_id", "status", "answer", "citations"])
