@@ -16,8 +16,8 @@ from docproof.session import broadcast_if_small, written
 WORD = "[A-Za-z0-9£][A-Za-z0-9£',.\\-]*"
 #: Rarest share of documents, least terms of a name, most documents of a focus, head of page one.
 COMMON_SHARE, LEAST_TERMS, MOST_FOCUS, HEAD = 0.34, 2, 4, 600
-#: Least score of a focus; documents of a rare term; parts that a frequent one is followed in.
-LEAST_SCORE, RARE, SALTS = 2, 64, 32
+#: Least score of a focus; documents of a rare term; parts that a frequent one is followed in; rows of a plain join.
+LEAST_SCORE, RARE, SALTS, DIRECT = 2, 64, 32, 4_000_000
 
 
 def question_words(questions: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def documents_seen(documents: DataFrame, asked: DataFrame) -> DataFrame:
     return asked.join(size, "portfolio_id").groupBy("question_id").agg(F.sum("docs").alias("docs"))
 
 
-def focus_documents(terms: DataFrame, identities: DataFrame, documents: DataFrame, asked: DataFrame, rare: int = RARE, salts: int = SALTS) -> DataFrame:
+def focus_documents(terms: DataFrame, identities: DataFrame, documents: DataFrame, asked: DataFrame, rare: int = RARE, salts: int = SALTS, direct: int = DIRECT) -> DataFrame:
     """question_id, document_id, score: the documents that a question names.
 
     Two for a term of the name, one for one on the first page only; all at the best score, which is
@@ -81,29 +81,41 @@ def focus_documents(terms: DataFrame, identities: DataFrame, documents: DataFram
     those more frequent. Terms of at most ``rare`` documents are followed first, and the best of what they lead to is a
     bar; a more frequent term is followed only if it and those above it can reach the bar, in ``salts`` parts, and
     otherwise looked up for documents already found. So a lexeme of very many documents is joined to them only where
-    nothing rarer decides. No group of a question's documents comes to one task."""
+    nothing rarer decides. No group of a question's documents comes to one task. Where all terms together lead to no
+    more than ``direct`` rows, which their frequencies tell, all are followed at once, to the same result."""
     by = W.partitionBy("question_id").orderBy(F.desc("df"), F.desc("lexeme")).rowsBetween(W.unboundedPreceding, W.currentRow)
     ranked = written(terms.withColumn("rest", F.sum("ceiling").over(by)))
     known = identities.select("document_id", "portfolio_id", "lexeme", weight().alias("w"))
+    rows = ranked.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    score = _led(ranked, known, asked).withColumnRenamed("part", "score") if rows <= direct else _scored(ranked, known, asked, rare, salts)
+    score = written(score.filter(F.col("score") >= LEAST_SCORE))
+    ties = score.groupBy("question_id", "score").agg(F.count("*").alias("n")).groupBy("question_id").agg(F.max(F.struct("score", "n")).alias("top"))
+    few = ties.filter(F.col("top.n") <= MOST_FOCUS).join(documents_seen(documents, asked), "question_id").filter(F.col("top.n") < F.col("docs"))
+    return score.join(few.select("question_id", "top.score"), ["question_id", "score"]).select("question_id", "document_id", "score")
+
+
+def _led(terms: DataFrame, known: DataFrame, asked: DataFrame, *more: str) -> DataFrame:
+    """question_id, document_id, part: the documents in view that ``terms`` lead to, and what they score by them."""
+    hits = terms.join(asked, "question_id").join(known, ["lexeme", "portfolio_id", *more])
+    return hits.groupBy("question_id", "document_id").agg(F.sum("w").alias("part"))
+
+
+def _scored(ranked: DataFrame, known: DataFrame, asked: DataFrame, rare: int, salts: int) -> DataFrame:
+    """question_id, document_id, score of all documents that can be a question's best."""
     # Rare terms lead to candidates, whose other terms are looked up.
-    rare_ones, often = F.col("df") <= rare, F.col("df") > rare
-    led = ranked.filter(rare_ones).join(asked, "question_id").join(known, ["lexeme", "portfolio_id"]).groupBy("question_id", "document_id").agg(F.sum("w").alias("part"))
-    first = written(_looked_up(led, ranked.filter(often), known))
+    often = ranked.filter(F.col("df") > rare)
+    first = written(_looked_up(_led(ranked.filter(F.col("df") <= rare), known, asked), often, known))
     bar = first.groupBy("question_id").agg(F.max("score").alias("bar"))
     # Frequent ones, where a document without any rare term could still reach the bar.
-    more = ranked.filter(often).join(bar, "question_id", "left").withColumn("follow", F.col("rest") >= F.greatest("bar", F.lit(LEAST_SCORE)))
-    copies = more.filter("follow").join(asked, "question_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    more = often.join(bar, "question_id", "left").withColumn("follow", F.col("rest") >= F.greatest("bar", F.lit(LEAST_SCORE)))
+    copies = more.filter("follow").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     dealt = known.withColumn("salt", F.pmod(F.xxhash64("document_id"), F.lit(salts)).cast("int"))
-    found = copies.join(dealt, ["lexeme", "portfolio_id", "salt"]).groupBy("question_id", "document_id").agg(F.sum("w").alias("part"))
-    found = written(found.join(first, ["question_id", "document_id"], "left_anti"))
+    found = written(_led(copies, dealt, asked, "salt").join(first, ["question_id", "document_id"], "left_anti"))
     left = more.filter(~F.col("follow")).groupBy("question_id").agg(F.max("rest").alias("left"))
     reach = found.groupBy("question_id").agg(F.max("part").alias("reach")).join(bar, "question_id", "left").join(left, "question_id", "left")
     near = found.join(reach, "question_id").filter(F.col("part") + F.coalesce("left", F.lit(0)) >= F.greatest("bar", "reach", F.lit(LEAST_SCORE)))
     second = _looked_up(near.select("question_id", "document_id", "part"), more.filter(~F.col("follow")), known)
-    score = written(first.unionByName(second).filter(F.col("score") >= LEAST_SCORE))
-    ties = score.groupBy("question_id", "score").agg(F.count("*").alias("n")).groupBy("question_id").agg(F.max(F.struct("score", "n")).alias("top"))
-    few = ties.filter(F.col("top.n") <= MOST_FOCUS).join(documents_seen(documents, asked), "question_id").filter(F.col("top.n") < F.col("docs"))
-    return score.join(few.select("question_id", "top.score"), ["question_id", "score"]).select("question_id", "document_id", "score")
+    return first.join(bar, "question_id").filter("score = bar").select("question_id", "document_id", "score").unionByName(second)
 
 
 def _looked_up(found: DataFrame, terms: DataFrame, known: DataFrame) -> DataFrame:

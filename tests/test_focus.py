@@ -41,8 +41,8 @@ def frames(spark, lexemes, identities, documents, asked):
     )
 
 
-@pytest.mark.parametrize("rare,salts", [(0, 3), (2, 1), (5, 4), (64, 32)])
-def test_focus_by_definition(spark, rare, salts):
+@pytest.mark.parametrize("rare,salts,direct", [(0, 3, 0), (2, 1, 0), (5, 4, 0), (64, 32, 10_000)])
+def test_focus_by_definition(spark, rare, salts, direct):
     r = random.Random(rare)
     documents = [(d, f"p{d % 3}") for d in range(90)]
     identities = sorted({(d, p, f"w{int(r.paretovariate(0.5))}"): r.random() < 0.4 for d, p in documents for _ in range(8)}.items())
@@ -54,7 +54,7 @@ def test_focus_by_definition(spark, rare, salts):
     want_terms, want = by_definition(lexemes, identities, documents, asked)
     terms = R.identifying_terms(*some).cache()
     assert {(t.question_id, t.lexeme) for t in terms.collect()} == want_terms
-    got = [tuple(x) for x in R.focus_documents(terms, *some[1:], rare=rare, salts=salts).collect()]
+    got = [tuple(x) for x in R.focus_documents(terms, *some[1:], rare=rare, salts=salts, direct=direct).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 5
 
 
@@ -72,7 +72,7 @@ def test_frequent_lexemes_are_not_joined_where_rarer_ones_decide(spark, monkeypa
         return out
 
     monkeypatch.setattr(R, "written", counted)
-    focus = R.focus_documents(terms, *some[1:])
+    focus = R.focus_documents(terms, *some[1:], direct=0)
     assert {(f.question_id, f.document_id) for f in focus.collect()} == {(q, q * 7) for q in range(200)}
     assert focus.agg(F.min("score")).first()[0] >= 3
     assert max(rows) <= 800  # the terms; joined as it is, 'lease' alone gives 200,000 rows
