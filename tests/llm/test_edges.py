@@ -506,3 +506,37 @@ def test_deep_chain(spark):
     turns = spark.range(70).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
     row = chat.read_back(chat.format_conversations(chat.chained(turns))).first()
     assert [t.text for t in row.read_turns] == [str(i) for i in range(70)]
+
+
+def edited(rng: random.Random, passage: list[str], low: float, high: float, span: int) -> list[str]:
+    """``passage`` with words replaced, added and left out, ``span`` at a time, down to a similarity of low to high."""
+    out = list(passage)
+    while True:
+        at, n = rng.randrange(3, len(out) - span - 3), rng.randrange(1, span + 1)
+        trial = list(out)
+        trial[at : at + n * (rng.random() < 0.7)] = [f"n{rng.randrange(10**7)}" for _ in range(n * (rng.random() < 0.7))]
+        score = jaccard(passage, trial)
+        if score >= low:
+            out = trial
+            if score <= high:
+                return out
+
+
+@pytest.mark.parametrize("span", [1, 20])
+def test_long_edited_passages_are_found_whole(spark, span):
+    rng = random.Random(7 + span)
+    fresh = lambda n: [f"u{rng.randrange(10**7)}" for _ in range(n)]
+    rows, places = [], {}
+    for i in range(160):
+        passage = fresh(rng.randrange(100, 700))
+        before, other = fresh(rng.randrange(80)), edited(rng, passage, 0.80, 0.85, span)
+        rows += [(2 * i, " ".join(fresh(30) + passage + fresh(rng.randrange(80)))), (2 * i + 1, " ".join(before + other + fresh(50)))]
+        places[2 * i + 1] = (len(before), len(before) + len(other))
+    found = passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    seen = {d: set() for d in places}
+    for r in found:
+        assert r.match_id == r.doc_id - 1
+        seen[r.doc_id] |= set(range(r.first_word, r.last_word + 1))
+    cover = {d: len(seen[d] & set(range(a, b))) for d, (a, b) in places.items()}
+    assert sum(cover[d] >= 0.9 * (b - a) for d, (a, b) in places.items()) >= 0.9 * len(places)
+    assert sum(cover.values()) >= 0.9 * sum(b - a for a, b in places.values())
