@@ -256,6 +256,34 @@ def test_passages_of_common_sentences_are_found(spark, edits):
         assert sorted(found) == sorted(tuple(r) for r in passages.near_passages(df.repartition(parts)).collect())
 
 
+def test_edited_passages_around_a_very_common_stretch_are_found(spark, monkeypatch):
+    # 46 words that all texts have are no passage; with fresh words on either side that two texts share they are,
+    # and an early edit leaves what is beside most least shingles the same in all texts
+    rng = random.Random(11)
+    fresh = lambda n: [f"u{rng.randrange(10**7)}" for _ in range(n)]
+    common, rows, sides = fresh(46), [(i, fresh(20)) for i in range(100)], {}
+    rows = [(i, " ".join(w + common + fresh(30))) for i, w in rows]
+    for i in range(100, 260, 2):
+        passage = fresh(4) + common + fresh(4)
+        other = [*passage[:6], f"edit{i}", *passage[7:]]
+        sides[i] = passage, other
+        rows += [(i + k, " ".join([*fresh(25), *p, *fresh(35)])) for k, p in enumerate(sides[i])]
+    salt = np.random.default_rng(5).integers(1, 1 << 63, 1, dtype=np.uint64)[0]
+
+    def least_hash(words):
+        data = np.frombuffer(" ".join(words).encode(), np.uint8)
+        return int(passages.mixed(passages.shingles(data, np.array([0, len(data)]), 5)[0] ^ salt).min())
+
+    agree = {i for i, (p, q) in sides.items() if least_hash(p) == least_hash(q)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [tuple(r) for r in passages.near_passages(df.repartition(7), hashes=1).collect()]
+    hit = {(r[1], r[0]) for r in found if r[3] - r[2] >= 52}
+    assert len(agree) > 50 and all((i, i + 1) in hit for i in agree)
+    assert all(m >= 100 and d == m + 1 and s >= 0.8 for d, m, *_, s in found)
+    monkeypatch.setattr(passages, "TILE", 16)
+    assert sorted(found) == sorted(tuple(r) for r in passages.near_passages(df, hashes=1).collect())
+
+
 def test_copies_of_passages_and_shared_ids(spark):
     p, q = prose(90), prose(90)
     rows = [(3, p), (1, p), (2, p), (2, q), (4, q + " " + prose(20)), (None, p), (5, "a " * 400), (6, "a " * 400 + "b")]
