@@ -1,9 +1,9 @@
 """Embedding near-dedup by iterative quantisation.
 
 A rotation of the principal axes is learnt on a bounded sample so that the signs of the rotated
-vectors are balanced binary codes that lose little. Vectors of one label whose codes agree on whole
-blocks of bits meet in a bucket of those blocks' table (multi-index Hamming tables); the more vectors
-a label has, the more blocks a table takes. In a bucket, pairs whose codes are too many bits apart are
+vectors are balanced binary codes that lose little. Vectors of one label whose codes agree on a whole
+block of bits meet in a bucket of that block's table (multi-index Hamming tables); the tables are the
+same whatever the size, and a bucket of many vectors is compared in tiles. In a bucket, pairs whose codes are too many bits apart are
 dropped, and the others are ranked by the cosine of the original vectors in double precision. A pair
 that meets in several tables counts in the first of them only, so links are counted without
 emitting pairs.
@@ -18,7 +18,6 @@ columns are ignored.
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +32,8 @@ from docproof.llm.vectors import by_size, matrix
 #: Vectors that the rotation is learnt from, at most about.
 SAMPLE = 8192
 #: Blocks of the code. At cosine 0.98 a bit differs with a probability of about 0.064, so a pair has no
-#: block of 10 in common once in some 40,000 times, and fewer than two once in some 2,000 times.
-BLOCKS, BITS, TILE = 10, 64, 1024
-#: Blocks that a table takes, at most; the tables of three are 120.
-MOST_BLOCKS = 3
+#: block of 10 in common once in some 40,000 times.
+BLOCKS, BITS, TILE = 10, 64, 4096
 #: Pairs whose cosine is worked out at a time.
 PRODUCTS = 1 << 16
 
@@ -65,15 +62,11 @@ def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray
     return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def table_masks(bits: int, n: int) -> list[int]:
-    """Bits of each table for ``n`` vectors of a label: every choice of as many blocks as keep buckets small."""
+def table_masks(bits: int) -> list[int]:
+    """Bits of each table: one block each, of tables and labels of any size."""
     blocks = min(BLOCKS, bits)
     cuts = [round(bits * i / blocks) for i in range(blocks + 1)]
-    block = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
-    take = 1
-    while take < min(MOST_BLOCKS, blocks) and n / 2 ** (bits * take / blocks) > TILE:
-        take += 1
-    return [sum(block[i] for i in chosen) for chosen in combinations(range(blocks), take)]
+    return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def far_bits(bits: int, least: float) -> int:
@@ -110,8 +103,7 @@ def near_links(nodes: DataFrame, least: float, sample: int = SAMPLE) -> DataFram
         return nodes.sparkSession.createDataFrame([], "node long, n long, root long")
     mean, projection = learn_rotation(x)
     bits = projection.shape[1]
-    largest = nodes.groupBy("group").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"]
-    masks, far = np.array(table_masks(bits, largest), dtype=np.uint64), far_bits(bits, least)
+    masks, far = np.array(table_masks(bits), dtype=np.uint64), far_bits(bits, least)
     model = nodes.sparkSession.sparkContext.broadcast((mean, projection))
 
     def coded(batches):

@@ -479,6 +479,20 @@ def test_embeddings_match_brute_force(spark):
     assert by[219].component_id == 200 and embeddings.near_duplicates(df.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("tile", [4096, 100])
+def test_links_do_not_depend_on_how_many_vectors_a_label_has(spark, tile, monkeypatch):
+    # 8,000 pairs of one label at a cosine just above 0.98, most of which agree on few blocks of their codes
+    monkeypatch.setattr(embeddings, "TILE", tile)
+    rng = np.random.default_rng(3)
+    x, turn = rng.normal(size=(2, 8000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    turn -= (turn * x).sum(axis=1, keepdims=True) * x
+    turn *= math.tan(math.acos(0.9801)) / np.linalg.norm(turn, axis=1, keepdims=True)
+    rows = [(2 * i + k, v.tolist(), 1) for i, p in enumerate(zip(x, x + turn)) for k, v in enumerate(p)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(i, 1, i - i % 2) for i in range(16000)}
+
+
 def test_neighbours_match_brute_force(spark):
     rows, df = vectors(spark)
     got = neighbours.nearest(df, F.col("vec_id") % 20 == 0, 20).collect()
