@@ -111,9 +111,9 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def close_pairs(fp: np.ndarray, starts: np.ndarray, radius: int, ask: np.ndarray | None = None, chunk: int = 1 << 15):
+def close_pairs(fp: np.ndarray, starts: np.ndarray, radius: int, ask: np.ndarray | None = None, chunk: int = 1 << 15, upto: np.ndarray | None = None):
     """Pairs i < j within the groups that begin at ``starts`` (and end) whose distance is at most ``radius``;
-    with ``ask`` only those where j asks."""
+    with ``ask`` only those where j asks, with ``upto`` only those where i < upto[j]."""
     n = len(fp)
     lanes = -(-n // 64)
     padded = np.zeros(lanes * 64, np.uint64)
@@ -121,10 +121,10 @@ def close_pairs(fp: np.ndarray, starts: np.ndarray, radius: int, ask: np.ndarray
     bits = np.unpackbits(padded.astype("<u8").view(np.uint8).reshape(lanes, 64, 8), axis=2, bitorder="little")
     planes = np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view("<u8")[:, :, 0]
     begin = np.repeat(starts[:-1], np.diff(starts))
-    query = np.arange(n) if ask is None else np.flatnonzero(ask)
-    query = query[query > begin[query]]
+    upto = np.arange(n) if upto is None else upto
+    query = np.flatnonzero((upto > begin) if ask is None else (upto > begin) & ask)
     first = begin[query] // 64
-    many = (query - 1) // 64 - first + 1
+    many = (upto[query] - 1) // 64 - first + 1
     total = np.cumsum(many)
     ones = ~np.uint64(0)
     for lo in range(0, int(total[-1]) if len(query) else 0, chunk):
@@ -132,7 +132,7 @@ def close_pairs(fp: np.ndarray, starts: np.ndarray, radius: int, ask: np.ndarray
         q = np.searchsorted(total, at, "right")
         block = first[q] + at - (total[q] - many[q])
         q = query[q]
-        own, low, high = fp[q], begin[q] - block * 64, q - block * 64
+        own, low, high = fp[q], begin[q] - block * 64, upto[q] - block * 64
         valid = np.where(low > 0, ones << np.clip(low, 0, 63).astype(np.uint64), ones)
         valid &= np.where(high < 64, (np.uint64(1) << np.clip(high, 0, 63).astype(np.uint64)) - np.uint64(1), ones)
         c = np.zeros((max(radius.bit_length(), 1), len(q)), np.uint64)
@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Nodes of a bucket of sampled bits, at most; where more agree, further bits set them apart.
+#: Nodes of a bucket of sampled bits, at most, in the first round; where more agree, further bits set them apart.
 BUCKET = 2048
 #: Distance whose pairs the sampled tables see with the probability SEEN.
 ASSURED, SEEN = 12, 0.98
@@ -219,8 +219,8 @@ def sampled_tables(n: int) -> tuple[int, np.ndarray]:
     return bits, np.stack([rng.permutation(64) for _ in range(count)])
 
 
-def _keys(orders: np.ndarray):
-    """For each table a key whose leading bits are those that the table takes first."""
+def _keys(orders: np.ndarray, columns: list[str]):
+    """For each table a key whose leading bits are those that the table takes first, with ``columns``."""
 
     def run(batches):
         for batch in batches:
@@ -228,19 +228,27 @@ def _keys(orders: np.ndarray):
             bits = np.unpackbits(fp.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             for t, order in enumerate(orders):
                 key = np.ascontiguousarray(np.packbits(bits[:, order], axis=1, bitorder="big")).view(">u8").ravel().astype(np.uint64)
-                yield pa.record_batch({"tab": np.full(len(fp), t, np.int32), "key": key.view(np.int64), **{c: batch.column(c) for c in ("node", "first_id", "fp", "f2", "f3")}})
+                yield pa.record_batch({"tab": np.full(len(fp), t, np.int32), "key": key.view(np.int64), **{c: batch.column(c) for c in columns}})
 
     return run
 
 
+NODE = ["node", "first_id", "fp", "f2", "f3"]
+
+
+def keyed(nodes: DataFrame, orders: np.ndarray, columns: list[str]) -> DataFrame:
+    """tab, key and ``columns`` (all long) of every node in each table."""
+    return nodes.select(*columns).mapInArrow(_keys(orders, columns), "tab int, key long, " + ", ".join(f"{c} long" for c in columns))
+
+
 def bucketed(nodes: DataFrame) -> DataFrame:
     """tab, bits, bucket, node, first_id, fp, f2, f3: every node in a bucket of each table, of about ``BUCKET`` nodes.
 
     A bucket with more is split by the next four bits, again and again, so a group of copies that
     holds a third of all nodes comes in buckets of the same size; nodes that agree in all bits are
-    dealt by a hash."""
+    dealt by a hash. What is split apart here meets in :func:`across`."""
     bits, orders = sampled_tables(nodes.count())
-    rows = nodes.select("node", "first_id", "fp", "f2", "f3").mapInArrow(_keys(orders), "tab int, key long, node long, first_id long, fp long, f2 long, f3 long")
+    rows = keyed(nodes, orders, NODE)
     lead = lambda b: F.lit(0).cast("long") if not b else F.shiftrightunsigned("key", 64 - b)
     rows = settled(rows.withColumn("bits", F.lit(bits)).withColumn("bucket", lead(bits)))
     done, used = [], []
@@ -269,12 +277,12 @@ def _united(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _candidates(t: pa.Table, starts: np.ndarray, radius: int):
-    """Pairs i < j of a bucket within the radius where j asks, and their distance. What the bit-sliced
+def _candidates(t: pa.Table, starts: np.ndarray, radius: int, upto: np.ndarray | None = None):
+    """Pairs i < j of a bucket within the radius (i < upto[j]), and their distance. What the bit-sliced
     comparison lets pass is looked at again with the 128 further bits, which tell copies from texts
     that share a part."""
-    fp, f2, f3, ask = (t.column(c).to_numpy() for c in ("fp", "f2", "f3", "ask"))
-    for i, j in close_pairs(fp.view(np.uint64), starts, radius, ask > 0):
+    fp, f2, f3 = (t.column(c).to_numpy().view(np.uint64) for c in ("fp", "f2", "f3"))  # of signed numbers numpy counts the bits of the magnitude
+    for i, j in close_pairs(fp, starts, radius, upto=upto):
         further = np.bitwise_count(f2[i] ^ f2[j]) + np.bitwise_count(f3[i] ^ f3[j])
         like = further <= FURTHER
         i, j = i[like], j[like]
@@ -289,12 +297,11 @@ def _in_buckets(rows: DataFrame, work, schema: str) -> DataFrame:
 
 
 def nearest(buckets: DataFrame, radius: int, most: int) -> DataFrame:
-    """a, b, more: for each node ``a`` of a bucket its ``most`` nearest candidates ``b`` that come before it, by
-    first_id and node; ``more`` says that there are others."""
+    """a, b: for each node ``a`` of a bucket its ``most`` nearest candidates ``b`` that come before it, by
+    first_id and node."""
 
     def work(t: pa.Table, starts: np.ndarray):
         node, near, held = t.column("node").to_numpy(), [np.zeros(0, np.int64)], 0
-        count = np.zeros(len(node), np.int64)
 
         def best() -> np.ndarray:
             """The candidates held, in the order of who asks, distance and place, up to ``most`` of each."""
@@ -303,44 +310,70 @@ def nearest(buckets: DataFrame, radius: int, most: int) -> DataFrame:
             return keys[np.arange(len(j)) - np.searchsorted(j, j) < most]
 
         for i, j, distance in _candidates(t, starts, radius):
-            count += np.bincount(j, minlength=len(node))
             near.append((j << 40) | (distance.astype(np.int64) << 32) | i)
             held += len(j)
             if held > 1 << 21:
                 near, held = [best()], 0
         keys = best()
         i, j = keys & 0xFFFFFFFF, keys >> 40
-        yield pa.record_batch({"a": node[j], "b": node[i], "more": count[j] > most})
+        yield pa.record_batch({"a": node[j], "b": node[i]})
+
+    return _in_buckets(buckets, work, "a long, b long").distinct()
 
-    return _in_buckets(buckets, work, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
+def across(nodes: DataFrame) -> DataFrame:
+    """tab, bucket, node, first_id, fp, f2, f3, part: every node (with its component) in a bucket of each table, for
+    :func:`_apart`. No bucket is split."""
+    bits, orders = sampled_tables(nodes.count())
+    lead = F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long")
+    return settled(keyed(nodes, orders, [*NODE, "part_of"]).withColumn("bucket", lead).drop("key"))
 
-def _involved(buckets: DataFrame, radius: int) -> DataFrame:
-    """node: those that ask and have a candidate, and their candidates."""
 
-    def work(t: pa.Table, starts: np.ndarray):
+def _apart(rows: DataFrame, radius: int, work, schema: str) -> DataFrame:
+    """What ``work`` gives for a tile and each batch of its candidates i, j that are of different components.
+    Rows come by component, so those of one component are not compared."""
+    key = ["tab", "bucket"]
+    tile = [*key, "tile_i", "tile_j"]
+
+    def run(t: pa.Table, starts: np.ndarray):
+        new, own = np.zeros(t.num_rows, bool), t.column("part_of").to_numpy()
+        new[starts[:-1]] = True
+        new[1:] |= own[1:] != own[:-1]
+        found = _candidates(t, starts, radius, np.maximum.accumulate(np.where(new, np.arange(len(new)), 0)))
+        yield from work(t, ((i, j) for i, j, _ in found))
+
+    dealt = tiled(rows, key, F.col("node"), TILE).sortWithinPartitions(*tile, "part_of", "node")
+    return dealt.mapInArrow(by_group(tile, run), schema)
+
+
+def _involved(rows: DataFrame, radius: int) -> DataFrame:
+    """node: those that have a candidate of another component."""
+
+    def work(t: pa.Table, found):
         node, some = t.column("node").to_numpy(), np.zeros(t.num_rows, bool)
-        for i, j, _ in _candidates(t, starts, radius):
+        for i, j in found:
             some[i] = True
             some[j] = True
         yield pa.record_batch({"node": np.unique(node[some])})
 
-    return _in_buckets(buckets, work, "node long").distinct()
+    return _apart(rows, radius, work, "node long").distinct()
 
 
-def _all_near(buckets: DataFrame, radius: int) -> DataFrame:
-    """a, b: all candidates ``b`` of each node ``a`` that asks, by fingerprints (``long``) of 1,024 bits."""
+def _all_near(rows: DataFrame, radius: int) -> DataFrame:
+    """a, b: all candidates of different components (``b`` comes before ``a``), by fingerprints (``long``) of 1,024 bits."""
 
-    def work(t: pa.Table, starts: np.ndarray):
-        node = t.column("node").to_numpy()
+    def work(t: pa.Table, found):
+        node, first_id = t.column("node").to_numpy(), t.column("first_id").to_numpy()
         words = np.frombuffer(b"".join(t.column("long").to_pylist()), np.uint64).reshape(len(node), -1)
-        for i, j, _ in _candidates(t, starts, radius):
+        for i, j in found:
             for lo in range(0, len(i), 1 << 16):
                 p, q = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
                 like = np.bitwise_count(words[p] ^ words[q]).sum(axis=1) <= LONG_APART
-                yield pa.record_batch({"a": node[q[like]], "b": node[p[like]]})
+                p, q = p[like], q[like]
+                later = (first_id[p] > first_id[q]) | ((first_id[p] == first_id[q]) & (node[p] > node[q]))
+                yield pa.record_batch({"a": node[np.where(later, p, q)], "b": node[np.where(later, q, p)]})
 
-    return _in_buckets(buckets, work, "a long, b long").distinct()
+    return _apart(rows, radius, work, "a long, b long").distinct()
 
 
 def _sets(shingle: int):
@@ -407,9 +440,10 @@ def similar_links(docs: DataFrame, shingle: int = 5, radius: int = 15, least: fl
     """Nodes (node, first_id: distinct texts of rows with an id, d1, d2: 128 bits of a hash of them) and
     their verified links a, b.
 
-    Each node first asks its two nearest candidates of each bucket. Those that had more and found no
-    link, most of them texts of a family that is alike but not alike enough, then ask all of theirs:
-    fingerprints of 1,024 bits, made for those concerned, leave few that have to be verified."""
+    Each node first asks its two nearest candidates of each bucket of a bounded size. That joins most
+    of what belongs together. Then all candidates that are still in different components are compared,
+    in tiles of whole buckets: fingerprints of 1,024 bits, made for those concerned, leave few that have
+    to be verified. So a candidate is left only where it is in one component already."""
     text = F.coalesce("text", F.lit(""))
     docs = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(99), text).alias("d2"))
     docs = docs.filter("doc_id is not null")
@@ -424,15 +458,15 @@ def similar_links(docs: DataFrame, shingle: int = 5, radius: int = 15, least: fl
     nodes = marked.groupBy("d1", "d2", "fp", "f2", "f3").agg(F.min("doc_id").alias("first_id"))
     nodes = settled(nodes.withColumn("node", F.monotonically_increasing_id()))
     buckets = bucketed(nodes)
-    asked = settled(nearest(buckets.withColumn("ask", F.lit(1)), radius, 2))
+    asked = settled(nearest(buckets, radius, 2))
+    dropped(buckets)
     links = settled(verified(asked, nodes, docs, shingle, least))
-    waiting = asked.filter("more").select(F.col("a").alias("node")).distinct().join(links.select(F.col("a").alias("node")), "node", "left_anti")
-    waiting = settled(waiting.withColumn("ask", F.lit(1)))
-    dropped(asked)
-    if waiting.isEmpty():
+    linked = components(links).withColumnRenamed("component", "part_of")
+    rows = across(nodes.join(linked, "node", "left").withColumn("part_of", F.coalesce("part_of", "node")))
+    some = settled(_involved(rows, radius))
+    if some.isEmpty():
         return nodes, links
-    asking = buckets.join(waiting, "node", "left").withColumn("ask", F.coalesce("ask", F.lit(0)))
-    concerned = nodes.join(settled(_involved(asking, radius)), "node").select("node", F.col("first_id").alias("doc_id"), "d1", "d2")
+    concerned = nodes.join(some, "node").select("node", F.col("first_id").alias("doc_id"), "d1", "d2")
     if concerned.count() <= BROADCAST_ASKS:
         concerned = F.broadcast(concerned)
 
@@ -444,8 +478,8 @@ def similar_links(docs: DataFrame, shingle: int = 5, radius: int = 15, least: fl
 
     texts = docs.join(concerned, ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"])
     long = settled(texts.select("node", "text").mapInArrow(longer, "node long, long binary"))
-    asked = settled(_all_near(asking.join(long, "node"), radius))
-    more = settled(verified(asked, nodes, docs, shingle, least))
+    open_ = settled(_all_near(settled(rows.join(long, "node")), radius).join(asked, ["a", "b"], "left_anti"))
+    more = settled(verified(open_, nodes, docs, shingle, least))
     return nodes, links.unionByName(more)
 
 

@@ -100,6 +100,31 @@ def test_keep_first_matches_brute_force(spark, bucket, monkeypatch):
     assert gone <= expected and len(gone) >= 0.9 * len(expected), (len(gone), len(expected))
 
 
+@pytest.mark.parametrize("bucket", [2048, 4])
+def test_keep_first_joins_groups_through_later_texts(spark, bucket, monkeypatch):
+    # the last text of a family is like four texts that are alike, and like one more that is like no other
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    if bucket < 16:  # one bucket that holds all nodes
+        monkeypatch.setattr(simhash, "sampled_tables", lambda n: (0, np.arange(64)[None, :]))
+        monkeypatch.setattr(simhash, "TILE", 16)
+    rng, rows = random.Random(5), []
+    fresh = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+    for k in range(30):
+        text, end = fresh(150), fresh(6)
+        rows.append((10 * k, fresh(11) + text[11:]))
+        rows += [(10 * k + 1 + i, text[: 144 - i] + fresh(i) + end) for i in range(4)]
+        rows.append((10 * k + 9, text))
+    sets = {i: {tuple(w[x : x + 5]) for x in range(len(w) - 4)} for i, w in rows}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = {i: x if r == y else r for i, r in root.items()}
+    kept = [r.doc_id for r in simhash.keep_first(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()]
+    assert set(root.values()) == {10 * k for k in range(30)} and sorted(kept) == sorted(set(root.values()))
+
+
 def test_close_pairs_match_brute_force():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 20, dtype=np.uint64)
