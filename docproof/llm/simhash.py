@@ -208,6 +208,8 @@ LONG, LONG_APART = 16, 190
 BROADCAST_ASKS = 200_000
 #: Candidates that a task verifies against one text; a text with more is sent to several tasks.
 VERIFIED = 2000
+#: Nodes of a tile whose shingles are compared, and pairs of one node that are compared before links are looked at again.
+CLOSE, AT_ONCE = 512, 64
 
 
 def sampled_tables(n: int) -> tuple[int, np.ndarray]:
@@ -321,75 +323,149 @@ def nearest(buckets: DataFrame, radius: int, most: int) -> DataFrame:
     return _in_buckets(buckets, work, "a long, b long").distinct()
 
 
-def across(nodes: DataFrame) -> DataFrame:
-    """tab, bucket, node, first_id, fp, f2, f3, part: every node (with its component) in a bucket of each table, for
-    :func:`_apart`. No bucket is split."""
+def across(nodes: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """tab, bucket, node, first_id, fp, f2, f3, part_of: every node (with its component) in a bucket of each table, for
+    :func:`_apart`, and the bits that each table takes. No bucket is split."""
     bits, orders = sampled_tables(nodes.count())
     lead = F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long")
-    return settled(keyed(nodes, orders, [*NODE, "part_of"]).withColumn("bucket", lead).drop("key"))
+    masks = (np.uint64(1) << orders[:, :bits].astype(np.uint64)).sum(axis=1, dtype=np.uint64)
+    return settled(keyed(nodes, orders, [*NODE, "part_of"]).withColumn("bucket", lead).drop("key")), masks
 
 
-def _apart(rows: DataFrame, radius: int, work, schema: str) -> DataFrame:
-    """What ``work`` gives for a tile and each batch of its candidates i, j that are of different components.
-    Rows come by component, so those of one component are not compared."""
-    key = ["tab", "bucket"]
-    tile = [*key, "tile_i", "tile_j"]
+TILE_KEY = ["tab", "bucket", "tile_i", "tile_j"]
+
+
+def _apart(radius: int, masks: np.ndarray, work):
+    """For :func:`by_group`: what ``work`` gives for tiles, the first row of each row's component and each batch
+    of candidates i, j that are of different components. Rows come by component, so those of one component are
+    not compared. Of all tables and tiles where two nodes meet the first one counts."""
 
     def run(t: pa.Table, starts: np.ndarray):
         new, own = np.zeros(t.num_rows, bool), t.column("part_of").to_numpy()
         new[starts[:-1]] = True
         new[1:] |= own[1:] != own[:-1]
-        found = _candidates(t, starts, radius, np.maximum.accumulate(np.where(new, np.arange(len(new)), 0)))
-        yield from work(t, ((i, j) for i, j, _ in found))
+        first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        fp, tab, part, tile_i, tile_j = (t.column(c).to_numpy() for c in ("fp", "tab", "part", "tile_i", "tile_j"))
+
+        def found():
+            for i, j, _ in _candidates(t, starts, radius, first):
+                here = (part[i] != part[j]) | (tile_i[i] == tile_j[i])
+                i, j = i[here], j[here]
+                here, differ = np.ones(len(i), bool), (fp[i] ^ fp[j]).view(np.uint64)
+                for k, mask in enumerate(masks[: int(tab[i].max(initial=0))]):
+                    here &= (tab[i] <= k) | (differ & mask != 0)
+                yield i[here], j[here]
+
+        yield from work(t, first, found())
+
+    return run
 
-    dealt = tiled(rows, key, F.col("node"), TILE).sortWithinPartitions(*tile, "part_of", "node")
-    return dealt.mapInArrow(by_group(tile, run), schema)
 
+def _in_tiles(rows: DataFrame, tile: int) -> DataFrame:
+    return tiled(rows, ["tab", "bucket"], F.col("node"), tile).sortWithinPartitions(*TILE_KEY, "part_of", "node")
 
-def _involved(rows: DataFrame, radius: int) -> DataFrame:
+
+def _involved(rows: DataFrame, radius: int, masks: np.ndarray) -> DataFrame:
     """node: those that have a candidate of another component."""
 
-    def work(t: pa.Table, found):
+    def work(t: pa.Table, _, found):
         node, some = t.column("node").to_numpy(), np.zeros(t.num_rows, bool)
         for i, j in found:
             some[i] = True
             some[j] = True
         yield pa.record_batch({"node": np.unique(node[some])})
 
-    return _apart(rows, radius, work, "node long").distinct()
+    return _in_tiles(rows, TILE).mapInArrow(by_group(TILE_KEY, _apart(radius, masks, work)), "node long").distinct()
 
 
-def _all_near(rows: DataFrame, radius: int) -> DataFrame:
-    """a, b: all candidates of different components (``b`` comes before ``a``), by fingerprints (``long``) of 1,024 bits."""
+def _alike(t: pa.Table, found):
+    """Of the candidates those whose fingerprints of 1,024 bits (``long``) are near enough."""
+    words = np.frombuffer(b"".join(t.column("long").to_pylist()), np.uint64).reshape(t.num_rows, -1)
+    for i, j in found:
+        for lo in range(0, len(i), 1 << 16):
+            p, q = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
+            like = np.bitwise_count(words[p] ^ words[q]).sum(axis=1) <= LONG_APART
+            yield p[like], q[like]
 
-    def work(t: pa.Table, found):
-        node, first_id = t.column("node").to_numpy(), t.column("first_id").to_numpy()
-        words = np.frombuffer(b"".join(t.column("long").to_pylist()), np.uint64).reshape(len(node), -1)
-        for i, j in found:
-            for lo in range(0, len(i), 1 << 16):
-                p, q = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
-                like = np.bitwise_count(words[p] ^ words[q]).sum(axis=1) <= LONG_APART
-                p, q = p[like], q[like]
-                later = (first_id[p] > first_id[q]) | ((first_id[p] == first_id[q]) & (node[p] > node[q]))
-                yield pa.record_batch({"a": node[np.where(later, p, q)], "b": node[np.where(later, q, p)]})
 
-    return _apart(rows, radius, work, "a long, b long").distinct()
+MET = [*TILE_KEY, "part", *NODE, "part_of", "long"]
+
+
+def _meeting(rows: DataFrame, radius: int, masks: np.ndarray) -> DataFrame:
+    """``rows`` (with ``long``) in the tiles where they have a candidate of another component."""
+
+    def work(t: pa.Table, _, found):
+        some = np.zeros(t.num_rows, bool)
+        for i, j in _alike(t, found):
+            some[i] = True
+            some[j] = True
+        yield from t.select(MET).filter(pa.array(some)).combine_chunks().to_batches()
+
+    dealt = _in_tiles(rows, CLOSE).select(*MET)
+    return dealt.mapInArrow(by_group(TILE_KEY, _apart(radius, masks, work)), dealt.schema)
+
+
+def _spanning(t: pa.Table, label: np.ndarray, found, least: float):
+    """Pairs found whose shingle sets (``own``) have a Jaccard similarity of at least ``least``, as links that span
+    what they join: a pair whose rows are joined already is not compared any more. ``label`` is the first row of
+    each row's component."""
+    own, label = t.column("own").combine_chunks(), label.copy()
+    at = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1] // 4
+    token, size = np.frombuffer(own.buffers()[2], np.uint32), np.diff(at)
+    for i, j in found:
+        order = np.argsort(j, kind="stable")
+        i, j = i[order], j[order]
+        begin = np.flatnonzero(np.append(True, j[1:] != j[:-1])[: len(j)])
+        for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(j)], strict=True):
+            k, others = j[lo], i[lo:hi]
+            others = others[least * np.maximum(size[others], size[k]) <= np.minimum(size[others], size[k])]
+            mine = token[at[k] : at[k + 1]]
+            while len(others := others[label[others] != label[k]]):
+                p, others = others[:AT_ONCE], others[AT_ONCE:]
+                cut = np.append(0, np.cumsum(size[p]))
+                their = token[np.arange(int(cut[-1])) + np.repeat(at[p] - cut[:-1], size[p])]
+                known = mine[np.minimum(np.searchsorted(mine, their), len(mine) - 1)] == their
+                both = np.add.reduceat(known.astype(np.int64), cut[:-1])
+                linked = p[both >= least * (size[p] + size[k] - both)]
+                if not len(linked):
+                    continue
+                groups, which = np.unique(label[linked], return_index=True)
+                yield np.full(len(which), k), linked[which]
+                groups = np.append(groups, label[k])
+                label[np.isin(label, groups)] = groups.min()
+
+
+def _all_near(met: DataFrame, radius: int, masks: np.ndarray, least: float) -> DataFrame:
+    """a, b: links between all candidates of ``met`` (with their shingles, ``own``) that are similar, spanning in each tile."""
+
+    def work(t: pa.Table, first: np.ndarray, found):
+        node = t.column("node").to_numpy()
+        for i, j in _spanning(t, first, _alike(t, found), least):
+            yield pa.record_batch({"a": node[i], "b": node[j]})
+
+    dealt = met.repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY, "part_of", "node")
+    return dealt.mapInArrow(by_group(TILE_KEY, _apart(radius, masks, work), 4000), "a long, b long")
+
+
+def _set(token: np.ndarray, text: np.ndarray) -> bytes:
+    """The shingles of a text, 32 bits each, sorted, each once."""
+    own = np.unique((token >> np.uint64(32)).astype(np.uint32)).tobytes()
+    if own:
+        return own
+    whole = b" ".join(LOWER[text].tobytes().split())  # too short for a shingle: the whole sequence is one
+    return hashlib.blake2b(whole, digest_size=4).digest()
 
 
 def _sets(shingle: int):
-    """The shingles of a text (32 bits each, sorted, each once), for itself and for each text it asks."""
+    """The shingles of a text, for itself and for each text it asks."""
 
     def run(batches):
         for batch in batches:
             for lo, hi, data, offsets in text_blocks(batch, "text"):
                 token, cut = shingles(data, offsets, shingle)
-                token = (token >> np.uint64(32)).astype(np.uint32)
                 out = []
                 for i, r in enumerate(batch.slice(lo, hi - lo).select(["node", "asked", "salts"]).to_pylist()):
-                    own = np.unique(token[cut[i] : cut[i + 1]]).tobytes()
-                    if not own:  # too short for a shingle: the whole sequence is one
-                        whole = b" ".join(LOWER[data[offsets[i] : offsets[i + 1]]].tobytes().split())
-                        own = hashlib.blake2b(whole, digest_size=4).digest()
+                    own = _set(token[cut[i] : cut[i + 1]], data[offsets[i] : offsets[i + 1]])
                     out += [(r["node"], s, r["node"], 0, own) for s in range(r["salts"] or 0)]
                     out += [(c["b"], c["salt"], r["node"], 1, own) for c in r["asked"] or ()]
                 if out:
@@ -442,8 +518,10 @@ def similar_links(docs: DataFrame, shingle: int = 5, radius: int = 15, least: fl
 
     Each node first asks its two nearest candidates of each bucket of a bounded size. That joins most
     of what belongs together. Then all candidates that are still in different components are compared,
-    in tiles of whole buckets: fingerprints of 1,024 bits, made for those concerned, leave few that have
-    to be verified. So a candidate is left only where it is in one component already."""
+    in tiles of whole buckets: fingerprints of 1,024 bits, made for those concerned, tell in which tiles
+    two of them are alike, and only there their shingles are sent. A tile compares all its candidates and
+    gives the links that span what they join, so a group of many near copies gives a few for each of them.
+    A candidate is left only where it is in one component already."""
     text = F.coalesce("text", F.lit(""))
     docs = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(99), text).alias("d2"))
     docs = docs.filter("doc_id is not null")
@@ -462,8 +540,8 @@ def similar_links(docs: DataFrame, shingle: int = 5, radius: int = 15, least: fl
     dropped(buckets)
     links = settled(verified(asked, nodes, docs, shingle, least))
     linked = components(links).withColumnRenamed("component", "part_of")
-    rows = across(nodes.join(linked, "node", "left").withColumn("part_of", F.coalesce("part_of", "node")))
-    some = settled(_involved(rows, radius))
+    rows, masks = across(nodes.join(linked, "node", "left").withColumn("part_of", F.coalesce("part_of", "node")))
+    some = settled(_involved(rows, radius, masks))
     if some.isEmpty():
         return nodes, links
     concerned = nodes.join(some, "node").select("node", F.col("first_id").alias("doc_id"), "d1", "d2")
@@ -472,14 +550,17 @@ def similar_links(docs: DataFrame, shingle: int = 5, radius: int = 15, least: fl
 
     def longer(batches):
         for batch in batches:
-            fp = [fingerprint_block(data, offsets, shingle, LONG - 1) for _, _, data, offsets in text_blocks(batch, "text")]
-            fp = np.concatenate([np.zeros((0, LONG), np.uint64), *fp])
-            yield pa.record_batch({"node": batch.column("node"), "long": pa.array([x.tobytes() for x in fp], pa.binary())})
+            fp, own = [np.zeros((0, LONG), np.uint64)], []
+            for _, _, data, offsets in text_blocks(batch, "text"):
+                fp.append(fingerprint_block(data, offsets, shingle, LONG - 1))
+                token, cut = shingles(data, offsets, shingle)
+                own += [_set(token[cut[i] : cut[i + 1]], data[offsets[i] : offsets[i + 1]]) for i in range(len(cut) - 1)]
+            yield pa.record_batch({"node": batch.column("node"), "long": pa.array([x.tobytes() for x in np.concatenate(fp)], pa.binary()), "own": pa.array(own, pa.binary())})
 
     texts = docs.join(concerned, ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"])
-    long = settled(texts.select("node", "text").mapInArrow(longer, "node long, long binary"))
-    open_ = settled(_all_near(settled(rows.join(long, "node")), radius).join(asked, ["a", "b"], "left_anti"))
-    more = settled(verified(open_, nodes, docs, shingle, least))
+    long = settled(texts.select("node", "text").mapInArrow(longer, "node long, long binary, own binary"))
+    met = settled(_meeting(settled(rows.join(long.drop("own"), "node")), radius, masks))
+    more = settled(_all_near(met.join(long.drop("long"), "node"), radius, masks, least))
     return nodes, links.unionByName(more)
 
 

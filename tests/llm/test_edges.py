@@ -125,6 +125,32 @@ def test_keep_first_joins_groups_through_later_texts(spark, bucket, monkeypatch)
     assert set(root.values()) == {10 * k for k in range(30)} and sorted(kept) == sorted(set(root.values()))
 
 
+@pytest.mark.parametrize("tile", [512, 32])
+def test_a_large_group_of_candidates_gives_few_rows(spark, tile, monkeypatch):
+    # 300 texts whose fingerprints are near and whose shingles are not near enough, and 60 pairs among them that are
+    monkeypatch.setattr(simhash, "CLOSE", tile)
+    monkeypatch.setattr(simhash, "TILE", 4 * tile)
+    rng, made, settled = random.Random(8), [], simhash.settled
+    fresh = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+    frame = fresh(110)
+    rows = [(i, frame + fresh(16)) for i in range(300)]
+    rows += [(1000 + i, [*w[:-3], *fresh(3)]) for i, w in rows[:60]]
+    sets = {i: near_sets(" ".join(w)) for i, w in rows}
+    near = {b for b in sets for a in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert near == set(range(1000, 1060))
+
+    def counted(df):
+        made.append(settled(df))
+        return made[-1]
+
+    monkeypatch.setattr(simhash, "nearest", lambda buckets, radius, most: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(simhash, "settled", counted)
+    monkeypatch.setattr(simhash, "dropped", lambda *tables: None)
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(6)).collect()}
+    assert set(range(300)) <= kept and len(kept) <= 303
+    assert max(t.count() for t in made) <= 30 * len(rows)
+
+
 def test_close_pairs_match_brute_force():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 20, dtype=np.uint64)
