@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -342,6 +343,28 @@ def test_copies_of_passages_and_shared_ids(spark):
     assert {(2, 1, 1.0), (3, 1, 1.0), (4, 2, 1.0), (6, 5, 1.0)} <= found and all(a != b for a, b, _ in found)
 
 
+def test_a_stretch_of_a_candidate_is_compared_once(monkeypatch):
+    # 40 candidates have 60 shingles of the other text, which has as many others among them
+    rng, compared, jaccard_of = np.random.default_rng(3), [], passages._jaccard
+    whole = rng.integers(0, 1 << 32, 300, dtype=np.uint32)
+    whole[50:170:2] = whole[200:260]  # so the other side is twice as long as what it has in common
+    mine = [np.concatenate([rng.integers(0, 1 << 32, 20, dtype=np.uint32), whole[50:170:2]]) for _ in range(40)]
+    near = np.concatenate([whole[2:35], rng.integers(0, 1 << 32, 3, dtype=np.uint32), whole[38:50]])
+    rows = [(0, 0, 0, 0, -1, 0, 0, 0, 0, 0, whole)] + [(0, 0, 0, 1, 1 + i, 30, 60, 0, 0, 80, x) for i, x in enumerate(mine)] + [(0, 0, 0, 1, 90, 2, 0, 0, 0, 48, near)]
+    columns = list(zip(*[(*r[:-1], r[-1].tobytes()) for r in rows]))
+    kinds = ("int64", "int64", "int32", "int32", "int64", *["int32"] * 5, "binary")
+    t = pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in passages.PIECES.split(", ")])
+    monkeypatch.setattr(passages, "_jaccard", lambda *x: compared.append(1) or jaccard_of(*x))
+    found = [r for b in passages._verified(5, 50, 0.8)(t, np.array([0, len(rows)])) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["first_word"], r["last_word"], r["match_first_word"], r["match_last_word"]) for r in found] == [(90, 0, 51, 2, 53)]
+    assert 40 <= len(compared) <= 7 * 41
+
+    own = [rng.integers(0, 9, n, dtype=np.uint32) for n in (5, 0, 30)]
+    other, begin, end = rng.integers(0, 20, 25, dtype=np.uint32), np.array([3, 0, 24]), np.array([9, 25, 60])
+    match, cut = passages._known(own, other, begin, end)
+    assert match.tolist() == [x in other[a:b] for o, a, b in zip(own, begin, end) for x in o] and cut.tolist() == [0, 5, 5, 35]
+
+
 def test_compact_windows_partition_all_stretches():
     for t in range(60):
         n, least = random.randint(0, 40), random.randint(1, 6)
