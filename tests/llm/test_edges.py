@@ -336,6 +336,22 @@ def test_edited_passages_around_a_very_common_stretch_are_found(spark, monkeypat
     assert sorted(found) == sorted(tuple(r) for r in passages.near_passages(df, hashes=1).collect())
 
 
+def test_classes_of_near_passages_that_many_texts_have_come_without_all_pairs(spark, monkeypatch):
+    # three passages, each in 40 texts with a word of its own in the middle, so no 50 words of two texts are equal
+    rng = random.Random(17)
+    fresh = lambda n: [f"u{rng.randrange(10**7)}" for _ in range(n)]
+    sources = [fresh(60) for _ in range(3)]
+    rows = [(i, " ".join(fresh(20) + sources[i % 3][:30] + fresh(1) + sources[i % 3][31:] + fresh(20))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = passages.classes(passages.near_passages(df)).collect()
+    assert {r.doc_id: r.class_id for r in found} == {i: i % 3 for i in range(3, 120)}
+    assert len({(r.doc_id, r.match_id) for r in found}) <= 6 * len(rows)  # of 2340
+    # what the first candidates of each window do not connect is compared in all pairs
+    monkeypatch.setattr(passages, "_first_candidates", lambda near: near.select(*passages._names(passages.CANDIDATES)).limit(0))
+    found = passages.classes(passages.near_passages(df)).collect()
+    assert {r.doc_id: r.class_id for r in found} == {i: i % 3 for i in range(3, 120)}
+
+
 def test_copies_of_passages_and_shared_ids(spark):
     p, q = prose(90), prose(90)
     rows = [(3, p), (1, p), (2, p), (2, q), (4, q + " " + prose(20)), (None, p), (5, "a " * 400), (6, "a " * 400 + "b")]
